@@ -1,5 +1,5 @@
 """Registered queries: each operator over the given tables, with its SQL."""
 
-from catalog import documents
+from catalog import documents, indexing, requests, retrieval, statistics
 
-MODULES = (documents,)
+MODULES = (documents, indexing, statistics, retrieval, requests)

@@ -5,24 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fixtures import docs_v, links_v, packed_sql, sql, table, tokens_sql
+from catalog.registry import Registry
 from quarry.functions import dates, html, intents, privacy, replies, text, urls
 from quarry.operators import listing, normalize
 from quarry.plans.batch import document_chunks
 from quarry.schemas import RAW_FIELDS
 from quarry.sources import topic
 
-QUERIES = {}
-SQL = {}
-
-
-def entry(name: str, statement: str | None = None):
-    def register(query):
-        QUERIES[name] = query
-        if statement is not None:
-            SQL[name] = statement
-        return query
-
-    return register
+registry = Registry()
+QUERIES, SQL, entry = registry.queries, registry.sql, registry.entry
 
 
 # Question/answer records: German ones have no title, English ones no content.

@@ -99,7 +99,7 @@ def _replay_large(timed: DataFrame, ttl: int) -> DataFrame:
         if ahead.isEmpty():
             break
         reached = durable(reached.unionByName(ahead).distinct())
-        onward = jumps.withColumnsRenamed({"_at": "_next", "_next": "_after"})
+        onward = jumps.select(*keys, F.col("_at").alias("_next"), F.col("_next").alias("_after"))
         jumps = durable(
             jumps.filter("_next is not null").join(onward, [*keys, "_next"]).select(*keys, "_at", F.col("_after").alias("_next"))
         )

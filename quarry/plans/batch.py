@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import MAX_LENGTH, OVERLAP, clean_text, explode_chunks
-from quarry.operators.index import skip_indexed_docs, with_chunk_id
+from quarry.operators.index import last_per_key, skip_indexed_docs, with_chunk_id
 from quarry.operators.normalize import index_projection
 from quarry.operators.retrieval import embed_chunks
+from quarry.session import spread
 from quarry.sources.chunk_table import append_batch, delete_docs, note_version, read_index
 
 Embed = Callable[[list[str]], list[list[float]]]
@@ -19,10 +20,18 @@ Embed = Callable[[list[str]], list[list[float]]]
 
 def document_chunks(docs: DataFrame, max_length: int = MAX_LENGTH, overlap: int = OVERLAP) -> DataFrame:
     """Clean, split and number the chunks of raw documents."""
-    cleaned = docs.withColumn("clean_text", clean_text(F.col("content")))
+    cleaned = spread(docs).withColumn("clean_text", clean_text(F.col("content")))
     return with_chunk_id(index_projection(explode_chunks(cleaned, "clean_text", max_length, overlap)))
 
 
+def new_chunks(
+    docs: DataFrame, embed: Embed | None = None, max_length: int = MAX_LENGTH, overlap: int = OVERLAP
+) -> DataFrame:
+    """Chunks with vectors, one row per chunk id; repeats are dropped before embedding."""
+    chunks = document_chunks(docs, max_length, overlap)
+    return embed_chunks(last_per_key(chunks, ["chunk_id"], [F.desc("chunk_no")]), embed)
+
+
 def rebuild(
     docs: DataFrame,
     root: str,
@@ -39,8 +48,7 @@ def rebuild(
     spark = docs.sparkSession
     now = F.lit(datetime.now(timezone.utc))
     fresh = skip_indexed_docs(docs, read_index(spark, root, without_batch=batch), force)
-    chunks = embed_chunks(document_chunks(fresh, max_length, overlap), embed)
-    written = append_batch(chunks, root, batch, now)
+    written = append_batch(new_chunks(fresh, embed, max_length, overlap), root, batch, now)
     if force:
         delete_docs(docs, root, batch, now)
     if written:

@@ -63,3 +63,15 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting the side; leave a larger one alone."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a batch that arrives in fewer partitions than there are cores.
+
+    Meant to stand before work that is heavy per row. Input of any size comes
+    in many partitions and is left as it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

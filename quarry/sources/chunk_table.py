@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.index import distinct_ids, last_per_key
+from quarry.operators.index import distinct_ids
 from quarry.schemas import AUDIT, INDEX
 from quarry.sources.storage import child_names, exists, read_if_present
 
@@ -63,9 +63,9 @@ def read_index(spark: SparkSession, root: str, without_batch: str | None = None)
 
 
 def append_batch(chunks: DataFrame, root: str, batch: str, now: Column | None = None) -> int:
-    """Write a batch of chunks, one row per chunk id; returns the row count."""
+    """Write a batch of chunks with distinct chunk ids; returns the row count."""
     spark = chunks.sparkSession
-    rows = last_per_key(chunks, ["chunk_id"], [F.desc("chunk_no")]).select(
+    rows = chunks.select(
         *[F.col(f.name).cast(f.dataType) for f in INDEX.fields],
         (F.current_timestamp() if now is None else now).alias("written_at"),
     )

@@ -15,6 +15,15 @@ from quarry.sources.storage import read_if_present
 CORRUPT = "_corrupt_record"
 QUOTING = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
 
+# The writer trims values unless told not to.
+WRITING = {
+    "header": "true",
+    "quoteAll": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
@@ -58,15 +67,15 @@ def stream_landing_csv(
     return reader.csv(path)
 
 
-def read_master_json(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per file below ``path``; keys that are missing are null.
+def read_master_json(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """One JSON object (or array of them) per file below ``path``; keys that are missing are null.
 
     Unreadable files keep their text in ``_corrupt_record``.
     """
     return (
         spark.read.schema(_with_corrupt(RAW))
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", pattern)
         .option("multiLine", "true")
         .option("mode", "PERMISSIVE")
         .json(path)
@@ -134,7 +143,7 @@ def read_master(spark: SparkSession, path: str, all_versions: bool = False) -> D
 
 def write_csv_artifact(rows: DataFrame, path: str) -> None:
     """Sorted CSV with every field quoted."""
-    rows.write.mode("overwrite").options(header="true", quoteAll="true", escape='"').csv(path)
+    rows.write.mode("overwrite").options(**WRITING).csv(path)
 
 
 def landing_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -14,8 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.functions.text import MAX_LENGTH, OVERLAP
 from quarry.operators.index import skip_indexed_docs
 from quarry.operators.normalize import drop_blank_records, normalize_record
-from quarry.operators.retrieval import embed_chunks
-from quarry.plans.batch import Embed, document_chunks
+from quarry.plans.batch import Embed, new_chunks
 from quarry.sources.chunk_table import append_batch, note_version, read_index
 from quarry.sources.files import write_master
 from quarry.sources.topic import to_records
@@ -67,8 +66,8 @@ def speed_layer(
         name = f"speed-{batch_id:012d}"
         spark = batch.sparkSession
         known = read_index(spark, root, without_batch=name)
-        chunks = document_chunks(skip_indexed_docs(batch, known), max_length, overlap)
-        if append_batch(embed_chunks(chunks, embed), root, name):
+        chunks = new_chunks(skip_indexed_docs(batch, known), embed, max_length, overlap)
+        if append_batch(chunks, root, name):
             note_version(spark, root, name)
 
     return _start(docs, write, checkpoint, trigger or {"processingTime": "10 seconds"})
