@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators.index import last_per_key
 from quarry.plans.batch import document_chunks
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, spread
+from quarry.sources.chunk_table import append_batch, read_index
 
 LINK = r'href="([^"]+)"'
 SITE = "https://docs.example.com"
@@ -48,15 +49,28 @@ def docs_v(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_v(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunk index of all documents; a document's vector is that of its id."""
-    chunks = last_per_key(document_chunks(docs_v(spark, folder)), ["chunk_id"], [F.desc("chunk_no")])
-    vectors = table(spark, folder, "embeddings").selectExpr("cast(vec_id as string) doc_id", "embedding")
-    return chunks.join(vectors, "doc_id", "left")
+    """Chunk index of all documents; a document's vector is that of its id.
+
+    It is built and stored once per session, as a search index is, and read
+    by every query on it.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        docs = spread(docs_v(spark, folder))
+        chunks = last_per_key(document_chunks(docs), ["chunk_id"], [F.desc("chunk_no")])
+        vectors = table(spark, folder, "embeddings").selectExpr("cast(vec_id as string) doc_id", "embedding")
+        root = scratch(spark)
+        append_batch(chunks.join(vectors, "doc_id", "left"), root, "all")
+        _STORED[key] = root
+    return read_index(spark, _STORED[key])
+
+
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def chunks_v(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk index without vectors."""
-    return last_per_key(document_chunks(docs_v(spark, folder)), ["chunk_id"], [F.desc("chunk_no")])
+    return index_v(spark, folder).drop("embedding")
 
 
 def questions_v(spark: SparkSession, folder: str) -> DataFrame:

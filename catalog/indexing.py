@@ -9,6 +9,7 @@ from catalog.registry import Registry
 from quarry.operators import enrich, index, listing
 from quarry.plans.batch import document_chunks, rebuild
 from quarry.schemas import RAW_FIELDS
+from quarry.session import spread
 from quarry.sources import chunk_table, files, topic
 from quarry.streaming import layers
 
@@ -342,7 +343,7 @@ def landing_inventory(spark, folder):
 def rebuild_index(spark, folder):
     """A first run over the labelled documents, then one over all of them."""
     root = scratch(spark)
-    docs = docs_v(spark, folder)
+    docs = spread(docs_v(spark, folder))
     rebuild(docs.join(labelled_v(spark, folder), "id", "left_semi"), root, "first")
     rebuild(docs, root, "second")
     return chunk_table.read_index(spark, root).select("doc_id", "chunk_no", "chunk_text", "chunk_id")
@@ -355,7 +356,7 @@ def rebuild_index(spark, folder):
 def rebuild_forced(spark, folder):
     """A forced run with other chunk sizes leaves no old chunks behind."""
     root = scratch(spark)
-    docs = docs_v(spark, folder)
+    docs = spread(docs_v(spark, folder))
     rebuild(docs, root, "first", max_length=300, overlap=0)
     rebuild(docs, root, "second", force=True)
     return chunk_table.read_index(spark, root).select(*KEPT.split(", "))

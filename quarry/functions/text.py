@@ -175,10 +175,12 @@ _DIGRAPHS = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"))
 
 def fold(text: Column) -> Column:
     """Case- and accent-folded text."""
-    folded = F.lower(text)
+    lowered = F.lower(text)
+    folded = lowered
     for letter, pair in _DIGRAPHS:
         folded = F.replace(folded, F.lit(letter), F.lit(pair))
-    return F.translate(folded, _ACCENTED, _PLAIN)
+    folded = F.translate(folded, _ACCENTED, _PLAIN)
+    return F.when(lowered.rlike(r"[^\x00-\x7F]"), folded).otherwise(lowered)
 
 
 def fold_tokens(text: Column) -> Column:

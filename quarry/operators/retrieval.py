@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import fold_tokens
-from quarry.session import BROADCAST_ROWS, broadcast_if_small, is_small
+from quarry.session import BROADCAST_ROWS, is_small
 
 # Field weights, vector weight, hit count and BM25 constants.
 FIELD_BOOSTS = {"chunk_text": 5.0, "title": 3.0}
@@ -40,62 +40,73 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def postings(index: DataFrame, field: str, terms: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """``key, size, term, tf`` of the asked terms.
+def postings(index: DataFrame, fields: list[str], terms: DataFrame, small: bool, key: str = "chunk_id") -> DataFrame:
+    """``key, field, size, term, tf`` of the asked terms, in one pass over the index.
 
     Tokens that nobody asks for are dropped before the shuffle. The shuffle is
     by ``key`` alone, so the later sum over (query, key) needs no other one
     and a frequent term is spread over all partitions.
     """
-    tokens = index.select(key, fold_tokens(F.col(field)).alias("_tokens"))
-    sized = tokens.select(key, F.size("_tokens").alias("size"), F.explode("_tokens").alias("term"))
-    asked = broadcast_if_small(terms.select("term").distinct())
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), fold_tokens(F.col(f)).alias("tokens")) for f in fields])
+    tokens = index.select(key, F.inline(per_field))
+    sized = tokens.select(key, "field", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
+    asked = terms.select("term").distinct()
     return (
-        sized.join(asked, "term", "left_semi")
+        sized.join(F.broadcast(asked) if small else asked, "term", "left_semi")
         .repartition(key)
-        .groupBy(key, "size", "term")
+        .groupBy(key, "field", "size", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def field_size(index: DataFrame, field: str) -> DataFrame:
-    """One row: number of rows that have the field, and its mean length."""
-    size = F.size(fold_tokens(F.col(field)))
-    return index.agg(F.count_if(size > 0).alias("docs"), (F.sum(size) / F.count_if(size > 0)).alias("mean_size"))
-
-
-def bm25_field(index: DataFrame, terms: DataFrame, field: str, key: str = "chunk_id") -> DataFrame:
-    """``query_id, key, score`` of one field for every row that has a term."""
-    found = postings(index, field, terms, key)
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = field_size(index, field)
-    docs, mean_size = corpus.select("docs").scalar(), corpus.select("mean_size").scalar()
-    weighted = terms.join(frequency, "term").select(
-        "query_id", "term",
-        (F.col("weight") * F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"),
-    )
-    # No more rows than the question terms, whose number is checked.
-    if is_small(terms):
-        weighted = F.broadcast(weighted)
-    norm = K1 * (1 - B + B * F.col("size") / mean_size)
-    return (
-        found.join(weighted, "term")
-        .groupBy("query_id", key)
-        .agg(F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + norm)).alias("score"))
+def field_sizes(index: DataFrame, fields: list[str]) -> DataFrame:
+    """``field, docs, mean_size``: rows that have the field and its mean length."""
+    sizes = {f: F.size(fold_tokens(F.col(f))) for f in fields}
+    counted = index.agg(
+        *[F.count_if(size > 0).alias(f"_docs_{f}") for f, size in sizes.items()],
+        *[F.sum(size).alias(f"_size_{f}") for f, size in sizes.items()],
     )
+    rows = [
+        F.struct(
+            F.lit(f).alias("field"),
+            F.col(f"_docs_{f}").alias("docs"),
+            (F.col(f"_size_{f}") / F.nullif(F.col(f"_docs_{f}"), F.lit(0))).alias("mean_size"),
+        )
+        for f in fields
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def bm25_match(
     index: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None, key: str = "chunk_id"
 ) -> DataFrame:
-    """Sum of the boosted field scores: ``query_id, key, score``."""
+    """Sum of the boosted field scores: ``query_id, key, score``.
+
+    Per field and term it is idf * tf / (tf + norm). Rows without any term of
+    a question get no score.
+    """
+    boosts = boosts or FIELD_BOOSTS
+    fields = list(boosts)
     terms = query_terms(queries)
-    fields = [
-        bm25_field(index, terms, field, key).withColumn("score", F.lit(boost) * F.col("score"))
-        for field, boost in (boosts or FIELD_BOOSTS).items()
-    ]
-    both = reduce(DataFrame.unionByName, fields)
-    return both.groupBy("query_id", key).agg(F.round(F.sum("score"), SCORE_DIGITS).alias("score"))
+    small = is_small(terms)
+    found = postings(index, fields, terms, small, key)
+    frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    boost = F.element_at(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]), F.col("field"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = (
+        frequency.join(F.broadcast(field_sizes(index, fields)), "field")  # one row per field
+        .join(terms, "term")
+        .select("query_id", "field", "term", "mean_size", (boost * F.col("weight") * idf).alias("idf"))
+    )
+    # At most one row per field and question term, whose number is checked.
+    if small:
+        weighted = F.broadcast(weighted)
+    norm = K1 * (1 - B + B * F.col("size") / F.col("mean_size"))
+    return (
+        found.join(weighted, ["field", "term"])
+        .groupBy("query_id", key)
+        .agg(F.round(F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + norm)), SCORE_DIGITS).alias("score"))
+    )
 
 
 def topk_per_query(scores: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
@@ -209,13 +220,16 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     return topk_per_query(merged, k)
 
 
-def with_hit_fields(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Attach the stored fields of the hits, which are few per question."""
+def with_hit_fields(hits: DataFrame, index: DataFrame, most: int | None = None) -> DataFrame:
+    """Attach the stored fields of the hits.
+
+    ``most`` is a bound on the number of hits, such as questions times ``k``.
+    Within the broadcast limit the index is scanned without a shuffle.
+    """
     fields = ["chunk_id", "chunk_text", "title", "url", "category", "doc_type", "doc_id", "agency"]
     found = index.select(*fields)
-    if is_small(hits, BROADCAST_ROWS):
-        return found.join(F.broadcast(hits), "chunk_id").select(*hits.columns, *fields[1:])
-    return hits.join(found, "chunk_id").select(*hits.columns, *fields[1:])
+    few = F.broadcast(hits) if most is not None and most <= BROADCAST_ROWS else hits
+    return found.join(few, "chunk_id").select(*hits.columns, *fields[1:])
 
 
 def hashed_ngrams(size: int = 256, n: int = 3) -> Callable[[list[str]], list[list[float]]]:
@@ -264,13 +278,14 @@ def embed_chunks(
 def tfidf_rank(docs: DataFrame, queries: DataFrame, field: str = "content", key: str = "id") -> DataFrame:
     """Sum of tf * ln((N + 1) / (df + 1)) over the question's terms."""
     terms = query_terms(queries)
-    found = postings(docs, field, terms, key)
-    frequency = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    weighted = terms.join(frequency, "term").select(
-        "query_id", "term", (F.col("weight") * F.log((total + 1) / (F.col("df") + 1))).alias("idf")
+    small = is_small(terms)
+    found = postings(docs, [field], terms, small, key)
+    frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    weighted = frequency.join(F.broadcast(total)).join(terms, "term").select(  # one row of totals
+        "query_id", "term", (F.col("weight") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("idf")
     )
-    if is_small(terms):
+    if small:
         weighted = F.broadcast(weighted)
     return (
         found.join(weighted, "term")

@@ -10,18 +10,20 @@ from quarry.functions.privacy import question_hash, redact_pii
 from quarry.functions.replies import NO_INFO_REPLY, parse_model_reply
 from quarry.functions.text import strip_space
 from quarry.operators.rag import MIN_SCORE, build_context, cite_sources, route_path, threshold_gate
-from quarry.operators.retrieval import hybrid_search, with_hit_fields
+from quarry.operators.retrieval import TOP_K, hybrid_search, with_hit_fields
+from quarry.session import durable
 
 
 def prepare(questions: DataFrame, index: DataFrame, threshold: float = MIN_SCORE) -> tuple[DataFrame, DataFrame]:
     """Questions with intent, gate and user message, and their hits.
 
-    ``questions`` has ``query_id, question, embedding``; blank ones drop.
+    ``questions`` has ``query_id, question, embedding``; blank ones drop. The
+    hits serve four later steps, so they are searched once and checkpointed.
     """
     asked = questions.withColumn("question", strip_space(F.col("question"))).filter("question <> ''")
     asked = asked.withColumn("intent", smalltalk_intent(F.col("question")))
     searched = asked.filter("intent is null")
-    hits = with_hit_fields(hybrid_search(index, searched), index)
+    hits = durable(with_hit_fields(hybrid_search(index, searched), index, TOP_K * searched.count()))
     gated = threshold_gate(asked, hits, threshold)
     return build_context(gated, hits), hits
 

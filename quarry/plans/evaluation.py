@@ -15,7 +15,7 @@ TOP_K = 5
 def evaluate(gold: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     """Precision, recall, category hit and hit count per gold question."""
     queries = gold.select(F.col("id").alias("query_id"), "question")
-    hits = with_hit_fields(topk_per_query(bm25_match(index, queries), k), index)
+    hits = with_hit_fields(topk_per_query(bm25_match(index, queries), k), index, k * queries.count())
     return score_hits(join_hits_to_gold(gold, hits))
 
 

@@ -66,12 +66,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a batch that arrives in fewer partitions than there are cores.
+    """Repartition a table scan that comes in fewer partitions than there are cores.
 
-    Meant to stand before work that is heavy per row. Input of any size comes
-    in many partitions and is left as it is.
+    Meant to stand before work that is heavy per row. A large table comes in
+    many partitions and is left as it is.
     """
-    if df.isStreaming:
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
