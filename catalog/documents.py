@@ -10,6 +10,7 @@ from quarry.functions import dates, html, intents, privacy, replies, text, urls
 from quarry.operators import listing, normalize
 from quarry.plans.batch import document_chunks
 from quarry.schemas import RAW_FIELDS
+from quarry.session import spread
 from quarry.sources import topic
 
 registry = Registry()
@@ -93,7 +94,7 @@ def item_to_document(spark, folder):
     ),
 )
 def index_projection(spark, folder):
-    cleaned = docs_v(spark, folder).withColumn("clean_text", text.clean_text(F.col("content")))
+    cleaned = spread(docs_v(spark, folder)).withColumn("clean_text", text.clean_text(F.col("content")))
     return normalize.index_projection(text.explode_chunks(cleaned))
 
 
@@ -156,7 +157,7 @@ def article_link_filter(spark, folder):
     sql("SELECT id, clean AS text FROM cleaned", "cleaned"),
 )
 def clean_text(spark, folder):
-    return docs_v(spark, folder).select("id", text.clean_text(F.col("content")).alias("text"))
+    return spread(docs_v(spark, folder)).select("id", text.clean_text(F.col("content")).alias("text"))
 
 
 VISIBLE = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
@@ -166,7 +167,7 @@ VISIBLE = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replac
 
 @entry("clean_page_text", VISIBLE)
 def clean_page_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", text.clean_text(F.col("html")).alias("text"))
+    return spread(table(spark, folder, "pages")).select("page_id", text.clean_text(F.col("html")).alias("text"))
 
 
 @entry(
@@ -181,7 +182,7 @@ def clean_page_text(spark, folder):
 )
 def split_sentences(spark, folder):
     split = text.split_sentences(F.col("content"))
-    return docs_v(spark, folder).select("id", F.posexplode(split).alias("position", "sentence"))
+    return spread(docs_v(spark, folder)).select("id", F.posexplode(split).alias("position", "sentence"))
 
 
 def _chunk_entry(name: str, max_length: int, overlap: int) -> None:
@@ -193,7 +194,7 @@ def _chunk_entry(name: str, max_length: int, overlap: int) -> None:
 
     @entry(name, statement)
     def run(spark, folder):
-        cleaned = docs_v(spark, folder).select("id", text.clean_text(F.col("content")).alias("clean_text"))
+        cleaned = spread(docs_v(spark, folder)).select("id", text.clean_text(F.col("content")).alias("clean_text"))
         return text.explode_chunks(cleaned, "clean_text", max_length, overlap).drop("clean_text")
 
 
@@ -213,7 +214,7 @@ _chunk_entry("chunk_text_no_overlap", 300, 0)
 )
 def explode_chunks(spark, folder):
     return (
-        document_chunks(docs_v(spark, folder))
+        document_chunks(spread(docs_v(spark, folder)))
         .groupBy("doc_id")
         .agg(
             F.count(F.lit(1)).alias("chunks"),
@@ -226,7 +227,7 @@ def explode_chunks(spark, folder):
 
 @entry("chunk_id", sql("SELECT doc_id, chunk_no, chunk_id FROM chunks", "chunks"))
 def chunk_id(spark, folder):
-    return document_chunks(docs_v(spark, folder)).select("doc_id", "chunk_no", "chunk_id")
+    return document_chunks(spread(docs_v(spark, folder))).select("doc_id", "chunk_no", "chunk_id")
 
 
 @entry(
@@ -234,7 +235,7 @@ def chunk_id(spark, folder):
     sql(f"SELECT id, array_to_string({tokens_sql('content')}, ' ') AS tokens FROM docs_v", "docs_v"),
 )
 def fold_tokens(spark, folder):
-    return docs_v(spark, folder).select("id", F.array_join(text.fold_tokens(F.col("content")), " ").alias("tokens"))
+    return spread(docs_v(spark, folder)).select("id", F.array_join(text.fold_tokens(F.col("content")), " ").alias("tokens"))
 
 
 @entry(
@@ -246,7 +247,7 @@ def fold_tokens(spark, folder):
     ),
 )
 def normalize_lines(spark, folder):
-    return docs_v(spark, folder).select("id", text.normalize_lines(F.col("content")).alias("text"))
+    return spread(docs_v(spark, folder)).select("id", text.normalize_lines(F.col("content")).alias("text"))
 
 
 @entry(
@@ -256,18 +257,18 @@ def normalize_lines(spark, folder):
 )
 def extract_article_title(spark, folder):
     found = html.extract_article(F.col("html"), "article", None)
-    return table(spark, folder, "pages").select("page_id", found["title"].alias("title"))
+    return spread(table(spark, folder, "pages")).select("page_id", found["title"].alias("title"))
 
 
 @entry("extract_article")
 def extract_article(spark, folder):
-    pages = table(spark, folder, "pages").withColumn("found", html.extract_article(F.col("html"), "article", None))
+    pages = spread(table(spark, folder, "pages")).withColumn("found", html.extract_article(F.col("html"), "article", None))
     return pages.select("page_id", "url", "found.title", F.array_join("found.blocks", "\n\n").alias("content"))
 
 
 @entry("extract_page_meta")
 def extract_page_meta(spark, folder):
-    pages = table(spark, folder, "pages").withColumn("meta", html.extract_page_meta(F.col("html")))
+    pages = spread(table(spark, folder, "pages")).withColumn("meta", html.extract_page_meta(F.col("html")))
     published = dates.parse_published_date(dates.published_in_metadata(F.col("html")), F.col("meta.shown_date"))
     return pages.select(
         "page_id", "meta.author", urls.join_list(F.col("meta.legal_refs")).alias("legal_refs"),
@@ -296,7 +297,7 @@ REDACTED_COUNT = " + ".join(count for count, _ in REDACTED.values())
 )
 def redact_pii(spark, folder):
     sanitized, redactions = privacy.redact_pii(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         "doc_id", sanitized.alias("sanitized"), redactions.alias("redactions")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,14 +19,37 @@ PATTERNS = (
 CACHE_PREFIX = "chat:"
 
 
+# What a text must contain for a pattern to match at all.
+_EMAIL_SIGN = "@"
+_NINE_DIGITS = r"(?U)(?:\d[\s.-]?){9}"
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def redact_pii(text: Column) -> tuple[Column, Column]:
     """Redacted text and number of replacements over all patterns."""
-    redactions = F.lit(0)
-    for label, pattern in PATTERNS:
+
+    def apply(label: str, pattern: str) -> Callable[[Column], Column]:
         regex = F.lit("(?U)" + pattern)
-        redactions = redactions + F.regexp_count(text, regex)
-        text = F.regexp_replace(text, regex, F.lit(label))
-    return text, redactions
+        return lambda done: F.struct(
+            F.regexp_replace(done["text"], regex, F.lit(label)).alias("text"),
+            (done["n"] + F.regexp_count(done["text"], regex)).alias("n"),
+        )
+
+    def numbers(done: Column) -> Column:
+        for label, pattern in PATTERNS[1:]:
+            done = _bind(done, apply(label, pattern))
+        return done
+
+    untouched = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    mailed = F.when(F.contains(text, F.lit(_EMAIL_SIGN)), _bind(untouched, apply(*PATTERNS[0]))).otherwise(untouched)
+    result = _bind(
+        mailed, lambda done: F.when(done["text"].rlike(_NINE_DIGITS), numbers(done)).otherwise(done)
+    )
+    return result["text"], result["n"]
 
 
 def question_hash(question: Column) -> Column:

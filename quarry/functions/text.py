@@ -13,19 +13,18 @@ from pyspark.sql import functions as F
 
 from quarry.functions.html import strip_markup_udf
 
-# Characters counted as white space beyond the regex class \s.
-EXTRA_SPACE = "\x1c\x1d\x1e\x1f"
-SPACE = r"[\s\x1c-\x1f]"
+# Characters counted as white space, as a list and as a regex.
 SPACE_CHARS = (
-    "\t\n\x0b\x0c\r " + EXTRA_SPACE + "\x85\xa0\u1680"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(chr(point) for point in range(0x2000, 0x200B))
     + "\u2028\u2029\u202f\u205f\u3000"
 )
+SPACE = r"[\s\x1c-\x1f]"
 
-# Texts made only of these characters are in NFC already; markup and entity
-# references start with "<", "&name" or "&#".
+# Below U+0300 every text is in NFC; the second class adds letters that are too.
+# The first is tried first, as one range is much faster to match than several.
+ABOVE_LATIN = r"[\u0300-\x{10FFFF}]"
 NOT_NFC_SAFE = r"[^\x00-\u02FF\u1EA0-\u1EFF\u2010-\u2027]"
-NEEDS_PARSER = r"<|&[A-Za-z#]|" + NOT_NFC_SAFE
 
 # Chunk size limits in characters.
 MAX_LENGTH = 1000
@@ -35,7 +34,8 @@ SHORT_TEXT = 50
 
 def strip_space(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.btrim(text, F.lit(SPACE_CHARS))
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(f"(?U){SPACE}"), F.btrim(text, F.lit(SPACE_CHARS))).otherwise(text)
 
 
 def collapse_space(text: Column) -> Column:
@@ -44,7 +44,11 @@ def collapse_space(text: Column) -> Column:
 
 
 def needs_parser(text: Column) -> Column:
-    return text.rlike(NEEDS_PARSER)
+    """The text may hold markup, entity references or characters outside NFC."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    entity = F.contains(text, F.lit("&")) & text.rlike("&[A-Za-z#]")
+    not_nfc = ~ascii_only & text.rlike(ABOVE_LATIN) & text.rlike(NOT_NFC_SAFE)
+    return F.contains(text, F.lit("<")) | entity | not_nfc
 
 
 def clean_text(text: Column) -> Column:
@@ -55,9 +59,17 @@ def clean_text(text: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences end at white space after . ! ? or at a line break."""
-    pieces = F.split(text, rf"(?U)(?<=[.!?]){SPACE}+|\n+")
-    return F.filter(F.transform(pieces, strip_space), lambda s: s != "")
+    """Sentences end at white space after . ! ? or at a line break.
+
+    The separator takes all white space around it, so only the whole text has
+    to be trimmed.
+    """
+    after_mark = rf"(?U)(?<=[.!?]){SPACE}+"
+    stripped = strip_space(text)
+    pieces = F.when(
+        F.contains(stripped, F.lit("\n")), F.split(stripped, rf"{after_mark}|{SPACE}*\n{SPACE}*")
+    ).otherwise(F.split(stripped, after_mark))
+    return F.filter(pieces, lambda s: s != "")
 
 
 def chunk_text(text: Column, max_length: int = MAX_LENGTH, overlap: int = OVERLAP) -> Column:
@@ -79,7 +91,7 @@ def chunk_text(text: Column, max_length: int = MAX_LENGTH, overlap: int = OVERLA
 
     def windows(sentence: Column) -> Column:
         starts = F.sequence(F.lit(1), F.length(sentence), F.lit(max_length - overlap))
-        return F.transform(starts, lambda at: strip_space(F.substring(sentence, at, F.lit(max_length))))
+        return F.transform(starts, lambda at: F.btrim(F.substring(sentence, at, F.lit(max_length)), F.lit(SPACE_CHARS)))
 
     def flushed(acc: Column) -> Column:
         return F.when(acc["open"].isNull(), acc["done"]).otherwise(

@@ -238,11 +238,13 @@ def hashed_ngrams(size: int = 256, n: int = 3) -> Callable[[list[str]], list[lis
     def embed(texts: list[str]) -> list[list[float]]:
         vectors = []
         for text in texts:
-            padded = f" {text.lower()} "
-            grams = pd.Series([padded[i : i + n] for i in range(max(len(padded) - n + 1, 1))])
-            slots = pd.util.hash_array(grams.to_numpy(dtype=object)) % np.uint64(size)
-            vector = np.bincount(slots.astype(np.int64), minlength=size).astype(np.float64)
-            vectors.append((vector / np.linalg.norm(vector)).tolist())
+            padded = f" {text.lower()} ".ljust(n)
+            codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            mixed = np.zeros(len(codes) - n + 1, dtype=np.uint64)
+            for i in range(n):
+                mixed = mixed * np.uint64(1_000_003) + codes[i : len(codes) - n + 1 + i]
+            vector = np.bincount(((mixed >> np.uint64(7)) % np.uint64(size)).astype(np.int64), minlength=size)
+            vectors.append(vector / np.linalg.norm(vector))
         return vectors
 
     return embed
