@@ -6,8 +6,8 @@ Questions are a DataFrame with ``query_id`` and ``question``; the index has
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,12 @@ EMBED_BATCH = 100
 # Digits that order hits; beyond them a sum depends on its order.
 SCORE_DIGITS = 6
 
-# Vectors of one block of questions that are sent to the executors together.
-QUERY_BLOCK = 1024
+# Questions sent to every task; beyond that, questions and vectors that meet in
+# one task; questions multiplied at a time.
+BROADCAST_QUESTIONS = 4096
+BLOCK_QUESTIONS = 4096
+SLICE_VECTORS = 65_536
+QUESTION_STRIP = 256
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -119,84 +123,93 @@ def topk_per_query(scores: DataFrame, k: int = TOP_K, key: str = "chunk_id") ->
 
 
 def knn_cosine(
-    index: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "chunk_id", digits: int = SCORE_DIGITS
+    index: DataFrame,
+    queries: DataFrame,
+    k: int = TOP_K,
+    key: str = "chunk_id",
+    digits: int = SCORE_DIGITS,
+    broadcast_questions: int = BROADCAST_QUESTIONS,
 ) -> DataFrame:
     """Exact ``k`` nearest rows per query; score is (1 + cosine) / 2.
 
-    Scores are rounded so that equal vectors tie whatever batch they are in.
-
-    ``queries`` has ``query_id`` and ``embedding``. The questions travel in
-    blocks of bounded size. A task multiplies each Arrow batch with a block and
-    keeps its own best ``k`` per question, so no task emits all pairs. Null and
-    zero vectors take no part.
+    ``queries`` has ``query_id`` and ``embedding``. Every task keeps its own
+    best ``k`` per question, so pairs are never rows. Up to
+    ``broadcast_questions`` questions are sent to all tasks and the index is
+    scanned once; more are joined block by block. Scores are rounded so that
+    equal vectors tie wherever they are computed. Null and zero vectors take
+    no part.
     """
     vectors = index.select(key, "embedding").filter(F.col("embedding").isNotNull())
-    blocks = _query_blocks(queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()))
-    id_type = queries.schema["query_id"].dataType
-    key_type = index.schema[key].dataType
+    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     schema = T.StructType(
-        [T.StructField("query_id", id_type), T.StructField(key, key_type), T.StructField("score", T.DoubleType())]
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField(key, index.schema[key].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
     )
-    if not blocks:
-        return index.sparkSession.createDataFrame([], schema)
-    parts = [vectors.mapInPandas(_nearest(block, k, key, digits), schema) for block in blocks]
-    return topk_per_query(reduce(DataFrame.unionByName, parts), k, key)
-
+    some = asked.limit(broadcast_questions + 1).toPandas()
+    if len(some) <= broadcast_questions:
+        sent = index.sparkSession.sparkContext.broadcast(some)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
+            for batch in batches:
+                found = _best(batch, sent.value, k, key, digits)
+                best = found if best is None else _head(pd.concat([best, found]), k, key)
+            if best is not None:
+                yield best
+
+        return topk_per_query(vectors.mapInPandas(scan, schema), k, key)
+
+    def match(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        return _best(part, block, k, key, digits)
+
+    blocks = math.ceil(asked.count() / BLOCK_QUESTIONS)
+    slices = math.ceil(vectors.count() / SLICE_VECTORS)
+    places = ["_slice", "_block"]
+    left = vectors.select(
+        "*", F.pmod(F.xxhash64(key), F.lit(slices)).alias("_slice"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("_block"),
+    )
+    right = asked.select(
+        "*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(max(slices, 1) - 1))).cast("long").alias("_slice"),
+    )
+    found = left.groupBy(*places).cogroup(right.groupBy(*places)).applyInPandas(match, schema)
+    return topk_per_query(found, k, key)
 
-def _query_blocks(asked: DataFrame) -> Iterator:
-    """Broadcast (ids, matrix) pairs, one per block of questions.
 
-    The rows come to the driver block by block and are dropped there again.
-    """
-    context = asked.sparkSession.sparkContext
-    blocks, ids, rows = [], [], []
-
-    def close():
-        if ids:
-            known, matrix = _unit(np.array(ids, dtype=object), np.array(rows, dtype=np.float64))
-            blocks.append(context.broadcast((known, matrix)))
-            ids.clear()
-            rows.clear()
-
-    for row in asked.toLocalIterator():
-        ids.append(row["query_id"])
-        rows.append(row["embedding"])
-        if len(ids) == QUERY_BLOCK:
-            close()
-    close()
-    return blocks
-
-
-def _unit(ids: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows scaled to length one, without zero rows."""
-    length = np.linalg.norm(matrix, axis=1)
+def _unit(frame: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors scaled to length one, without zero vectors."""
+    if frame.empty:
+        return np.array([]), np.zeros((0, 0))
+    vectors = np.stack(frame["embedding"].to_numpy()).astype(np.float64)
+    length = np.linalg.norm(vectors, axis=1)
     kept = length > 0
-    return ids[kept], matrix[kept] / length[kept, None]
-
-
-def _nearest(block, k: int, key: str, digits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = block.value
-        best = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            keys, vectors = _unit(batch[key].to_numpy(), np.stack(batch["embedding"].to_numpy()).astype(np.float64))
-            if not len(keys) or not len(ids):
-                continue
-            scores = np.round((1.0 + vectors @ matrix.T) / 2.0, digits)
-            # np.partition gives the k-th best score; ties with it stay in.
-            floor = np.partition(scores, -min(k, len(scores)), axis=0)[-min(k, len(scores))]
+    return frame[name].to_numpy()[kept], vectors[kept] / length[kept, None]
+
+
+def _head(found: pd.DataFrame, k: int, key: str) -> pd.DataFrame:
+    ranked = found.sort_values(["query_id", "score", key], ascending=[True, False, True])
+    return ranked.groupby("query_id").head(k)
+
+
+def _best(part: pd.DataFrame, asked: pd.DataFrame, k: int, key: str, digits: int) -> pd.DataFrame:
+    """Best ``k`` vectors of ``part`` for each question of ``asked``."""
+    keys, vectors = _unit(part, key)
+    ids, questions = _unit(asked, "query_id")
+    out = [pd.DataFrame({"query_id": ids[:0], key: keys[:0], "score": np.zeros(0)})]
+    if len(keys):
+        for start in range(0, len(ids), QUESTION_STRIP):
+            strip = questions[start : start + QUESTION_STRIP]
+            scores = np.round((1.0 + vectors @ strip.T) / 2.0, digits)
+            # The k-th best score; whatever ties with it stays in for now.
+            floor = np.partition(scores, -min(k, len(keys)), axis=0)[-min(k, len(keys))]
             at, query = np.nonzero(scores >= floor)
-            found = pd.DataFrame({"q": query, key: keys[at], "score": scores[at, query]})
-            best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["q", "score", key], ascending=[True, False, True]).groupby("q").head(k)
-        if best is not None:
-            yield pd.DataFrame(
-                {"query_id": [ids[q] for q in best["q"]], key: best[key].to_numpy(), "score": best["score"].to_numpy()}
-            )
-
-    return run
+            found = pd.DataFrame({"query_id": ids[start + query], key: keys[at], "score": scores[at, query]})
+            out.append(_head(found, k, key))
+    return pd.concat(out) if len(out) > 1 else out[0]
 
 
 def merge_text_and_vector(

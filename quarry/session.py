@@ -7,9 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest number of rows a side may have to be broadcast by hint. Anything
-# larger goes through the ordinary shuffle join, where AQE splits skew.
+# Largest number of rows and bytes a side may have to be broadcast by hint.
+# Anything larger goes through the ordinary shuffle join, where AQE splits skew.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,12 +57,14 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` is within the broadcast limits; reads little more than that."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return seen["n"] <= max_rows and seen["b"] <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting the side; leave a larger one alone."""
+    """Hint a broadcast after measuring the side; leave a larger one alone."""
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 

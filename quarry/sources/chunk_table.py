@@ -85,11 +85,18 @@ def delete_docs(ids: DataFrame, root: str, batch: str, now: Column | None = None
 def compact(spark: SparkSession, root: str, keep: DataFrame | None = None) -> None:
     """Write the visible chunks, or ``keep``, as the next generation.
 
-    An empty ``keep`` wipes the index.
+    An empty ``keep`` wipes the index. The index must have no other writer
+    meanwhile.
     """
     following = _generation(spark, root) + 1
     rows = (read_index(spark, root) if keep is None else keep).withColumn("written_at", F.current_timestamp())
-    _put(rows, f"{root}/gen={following}/chunks", f"compacted-{following}")
+    (
+        rows.withColumn("batch", F.lit(f"compacted-{following}"))
+        .write.partitionBy("batch")
+        .option("partitionOverwriteMode", "static")
+        .mode("overwrite")
+        .parquet(f"{root}/gen={following}/chunks")
+    )
 
 
 def note_version(spark: SparkSession, root: str, batch: str) -> None:

@@ -85,8 +85,9 @@ def read_master_json(spark: SparkSession, path: str, pattern: str = "*.json") ->
 def split_unreadable(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readable documents, and the number of unreadable ones."""
     good = scanned.filter(F.col(CORRUPT).isNull()).select(*RAW_FIELDS)
-    # Spark wants another column next to the corrupt one in such a query.
-    skipped = scanned.select("id", CORRUPT).agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("skipped"))
+    # Spark refuses to read the corrupt column alone, so the id is looked at too.
+    unreadable = F.col(CORRUPT).isNotNull() & ~F.col(CORRUPT).eqNullSafe(F.col("id"))
+    skipped = scanned.agg(F.count_if(unreadable).alias("skipped"))
     return good, skipped
 
 
