@@ -17,6 +17,10 @@ QUERIES, SQL, entry = registry.queries, registry.sql, registry.entry
 HIT = "query_id, chunk_id, score, rank"
 
 
+def rounded(scores):
+    return scores.withColumn("score", F.round("score", 6))
+
+
 def text_hits(spark, folder, k=10):
     index = chunks_v(spark, folder)
     scores = retrieval.bm25_match(index, questions_v(spark, folder))
@@ -26,7 +30,7 @@ def text_hits(spark, folder, k=10):
 
 @entry("bm25_match", sql("SELECT query_id, chunk_id, round(score, 6) AS score FROM text_scores", "text_scores"))
 def bm25_match(spark, folder):
-    return retrieval.bm25_match(chunks_v(spark, folder), questions_v(spark, folder))
+    return rounded(retrieval.bm25_match(chunks_v(spark, folder), questions_v(spark, folder)))
 
 
 @entry("topk_per_query", sql(f"SELECT {HIT} FROM text_hits", "text_hits"))
@@ -63,7 +67,7 @@ def knn_label_centres(spark, folder):
 
 
 MERGED = """SELECT query_id, chunk_id, round(coalesce(t.score, 0) + 0.3 * coalesce(v.score, 0), 6) AS score
-    FROM (SELECT query_id, chunk_id, round(score, 6) AS score FROM text_scores) t
+    FROM text_scores t
     FULL OUTER JOIN vector_hits v USING (query_id, chunk_id)"""
 HYBRID = f"""SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
     FROM ({MERGED}) QUALIFY rank <= 10"""
@@ -72,9 +76,8 @@ HYBRID = f"""SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY q
 @entry("merge_text_and_vector", sql(MERGED, "text_scores", "vector_hits"))
 def merge_text_and_vector(spark, folder):
     index, questions = index_v(spark, folder), questions_v(spark, folder)
-    return retrieval.merge_text_and_vector(
-        retrieval.bm25_match(index, questions), retrieval.knn_cosine(index, questions)
-    )
+    text, vector = retrieval.bm25_match(index, questions), retrieval.knn_cosine(index, questions)
+    return rounded(retrieval.merge_text_and_vector(text, vector))
 
 
 @entry("hybrid_search", sql(HYBRID, "text_scores", "vector_hits"))
@@ -101,7 +104,7 @@ def embed_chunks(spark, folder):
     ),
 )
 def tfidf_rank(spark, folder):
-    return retrieval.tfidf_rank(docs_v(spark, folder), questions_v(spark, folder))
+    return rounded(retrieval.tfidf_rank(docs_v(spark, folder), questions_v(spark, folder)))
 
 
 # Unboosted thresholds never refuse on these texts; 150 refuses some of them.

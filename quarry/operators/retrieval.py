@@ -109,15 +109,17 @@ def bm25_match(
     return (
         found.join(weighted, ["field", "term"])
         .groupBy("query_id", key)
-        .agg(F.round(F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + norm)), SCORE_DIGITS).alias("score"))
+        .agg(F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + norm)).alias("score"))
     )
 
 
 def topk_per_query(scores: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
     """Best ``k`` rows per query with ``rank`` from 1; ties go to the smaller key.
 
+    Scores are rounded first, as the last digits of a sum depend on its order.
     Spark keeps ``k`` rows per query and input partition before the shuffle.
     """
+    scores = scores.withColumn("score", F.round("score", SCORE_DIGITS))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -166,15 +168,16 @@ def knn_cosine(
         return _best(part, block, k, key, digits)
 
     blocks = math.ceil(asked.count() / BLOCK_QUESTIONS)
-    slices = math.ceil(vectors.count() / SLICE_VECTORS)
+    slices = max(math.ceil(vectors.count() / SLICE_VECTORS), 1)
+    first = F.lit(0).cast("long")
     places = ["_slice", "_block"]
     left = vectors.select(
         "*", F.pmod(F.xxhash64(key), F.lit(slices)).alias("_slice"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("_block"),
+        F.explode(F.sequence(first, F.lit(blocks - 1).cast("long"))).alias("_block"),
     )
     right = asked.select(
         "*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(max(slices, 1) - 1))).cast("long").alias("_slice"),
+        F.explode(F.sequence(first, F.lit(slices - 1).cast("long"))).alias("_slice"),
     )
     found = left.groupBy(*places).cogroup(right.groupBy(*places)).applyInPandas(match, schema)
     return topk_per_query(found, k, key)
@@ -221,9 +224,7 @@ def merge_text_and_vector(
         vector.select("query_id", key, F.col("score").alias("_vector")), ["query_id", key], "full_outer"
     ).select(
         "query_id", key,
-        F.round(
-            F.coalesce("_text", nothing) + vector_boost * F.coalesce("_vector", nothing), SCORE_DIGITS
-        ).alias("score"),
+        (F.coalesce("_text", nothing) + vector_boost * F.coalesce("_vector", nothing)).alias("score"),
     )
 
 
@@ -305,5 +306,5 @@ def tfidf_rank(docs: DataFrame, queries: DataFrame, field: str = "content", key:
     return (
         found.join(weighted, "term")
         .groupBy("query_id", key)
-        .agg(F.round(F.sum(F.col("idf") * F.col("tf")), SCORE_DIGITS).alias("score"))
+        .agg(F.sum(F.col("idf") * F.col("tf")).alias("score"))
     )
