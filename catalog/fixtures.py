@@ -62,7 +62,7 @@ def index_v(spark: SparkSession, folder: str) -> DataFrame:
         root = scratch(spark)
         append_batch(chunks.join(vectors, "doc_id", "left"), root, "all")
         _STORED[key] = root
-    return read_index(spark, _STORED[key])
+    return spread(read_index(spark, _STORED[key]))
 
 
 _STORED: dict[tuple[str, str], str] = {}

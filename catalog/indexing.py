@@ -121,7 +121,7 @@ def filter_replaced(spark, folder):
     ),
 )
 def upsert_chunk_index(spark, folder):
-    again = docs_v(spark, folder).join(good_ids(spark, folder), "id", "left_semi")
+    again = spread(docs_v(spark, folder)).join(good_ids(spark, folder), "id", "left_semi")
     incoming = document_chunks(again.withColumn("category", F.concat("category", F.lit("-again"))))
     return index.upsert_chunks(chunks_v(spark, folder), incoming).select("doc_id", "chunk_no", "category", "chunk_id")
 
@@ -140,7 +140,7 @@ def upsert_chunk_index(spark, folder):
     ),
 )
 def replace_documents(spark, folder):
-    again = docs_v(spark, folder).join(good_ids(spark, folder), "id", "left_semi")
+    again = spread(docs_v(spark, folder)).join(good_ids(spark, folder), "id", "left_semi")
     incoming = document_chunks(again.withColumn("content", F.substring("title", 1, 40)))
     replaced = index.replace_documents(chunks_v(spark, folder), incoming)
     return replaced.select("doc_id", "chunk_id", F.length("chunk_text").cast("long").alias("characters"))
@@ -190,10 +190,9 @@ def deleted_count(spark, folder):
     ),
 )
 def serving_view(spark, folder):
-    docs = docs_v(spark, folder)
-    batch = document_chunks(docs.join(good_ids(spark, folder), "id", "left_anti"))
-    batch = index.last_per_key(batch, ["chunk_id"], [F.desc("chunk_no")])
-    speed = document_chunks(docs.join(labelled_v(spark, folder), "id", "left_semi"))
+    chunks = chunks_v(spark, folder)
+    batch = chunks.join(good_ids(spark, folder).selectExpr("id doc_id"), "doc_id", "left_anti")
+    speed = chunks.join(labelled_v(spark, folder).selectExpr("id doc_id"), "doc_id", "left_semi")
     view = index.serving_view(batch, speed.withColumn("category", F.lit("speed")))
     return view.select(*KEPT.split(", "))
 

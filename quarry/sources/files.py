@@ -113,8 +113,10 @@ def write_master(docs: DataFrame, path: str, batch: str, fallback: Column) -> No
 
 
 def _write_batch(rows: DataFrame, path: str, partitions: list[str], batch: str) -> None:
+    """Write a batch in few files per folder; a large folder is split by AQE."""
     (
         rows.withColumn("batch", F.lit(batch))
+        .hint("rebalance", *partitions)
         .write.partitionBy(*partitions)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
