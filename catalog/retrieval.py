@@ -23,9 +23,8 @@ def rounded(scores):
 
 def text_hits(spark, folder, k=10):
     index = chunks_v(spark, folder)
-    scores = retrieval.bm25_match(index, questions_v(spark, folder))
-    most = k * questions_v(spark, folder).count()
-    return retrieval.with_hit_fields(retrieval.topk_per_query(scores, k), index, most)
+    questions = questions_v(spark, folder)
+    return retrieval.with_hit_fields(retrieval.bm25_search(index, questions, k), index, k * questions.count())
 
 
 @entry("bm25_match", sql("SELECT query_id, chunk_id, round(score, 6) AS score FROM text_scores", "text_scores"))
@@ -39,6 +38,11 @@ def topk_per_query(spark, folder):
     return retrieval.topk_per_query(scores).select(*HIT.split(", "))
 
 
+@entry("bm25_search", sql(f"SELECT {HIT} FROM text_hits", "text_hits"))
+def bm25_search(spark, folder):
+    return retrieval.bm25_search(chunks_v(spark, folder), questions_v(spark, folder)).select(*HIT.split(", "))
+
+
 @entry("knn_cosine", sql(f"SELECT {HIT} FROM vector_hits", "vector_hits"))
 def knn_cosine(spark, folder):
     return retrieval.knn_cosine(index_v(spark, folder), questions_v(spark, folder)).select(*HIT.split(", "))
@@ -121,8 +125,7 @@ THRESHOLD = 150.0
     ),
 )
 def threshold_gate(spark, folder):
-    scores = retrieval.bm25_match(chunks_v(spark, folder), questions_v(spark, folder))
-    hits = retrieval.topk_per_query(scores)
+    hits = retrieval.bm25_search(chunks_v(spark, folder), questions_v(spark, folder))
     return rag.threshold_gate(questions_v(spark, folder).select("query_id"), hits, THRESHOLD)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +37,9 @@ BLOCK_QUESTIONS = 4096
 SLICE_VECTORS = 65_536
 QUESTION_STRIP = 256
 
+# Cells of the score matrix a task holds at a time.
+STRIP_CELLS = 2_000_000
+
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term, weight``; a repeated term counts as often as it occurs."""
@@ -44,6 +47,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _tokens(index: DataFrame, fields: list[str], key: str) -> DataFrame:
+    """``key, field, size, term``: one row per token of each field."""
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), fold_tokens(F.col(f)).alias("tokens")) for f in fields])
+    tokens = index.select(key, F.inline(per_field))
+    return tokens.select(key, "field", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
+
+
 def postings(index: DataFrame, fields: list[str], terms: DataFrame, small: bool, key: str = "chunk_id") -> DataFrame:
     """``key, field, size, term, tf`` of the asked terms, in one pass over the index.
 
@@ -51,12 +61,10 @@ def postings(index: DataFrame, fields: list[str], terms: DataFrame, small: bool,
     by ``key`` alone, so the later sum over (query, key) needs no other one
     and a frequent term is spread over all partitions.
     """
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), fold_tokens(F.col(f)).alias("tokens")) for f in fields])
-    tokens = index.select(key, F.inline(per_field))
-    sized = tokens.select(key, "field", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
     asked = terms.select("term").distinct()
     return (
-        sized.join(F.broadcast(asked) if small else asked, "term", "left_semi")
+        _tokens(index, fields, key)
+        .join(F.broadcast(asked) if small else asked, "term", "left_semi")
         .repartition(key)
         .groupBy(key, "field", "size", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -95,24 +103,141 @@ def bm25_match(
     small = is_small(terms)
     found = postings(index, fields, terms, small, key)
     frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    boost = F.element_at(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]), F.col("field"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = (
         frequency.join(F.broadcast(field_sizes(index, fields)), "field")  # one row per field
         .join(terms, "term")
-        .select("query_id", "field", "term", "mean_size", (boost * F.col("weight") * idf).alias("idf"))
+        .select("query_id", "field", "term", "mean_size", (F.col("weight") * _boosted_idf(boosts)).alias("idf"))
     )
     # At most one row per field and question term, whose number is checked.
     if small:
         weighted = F.broadcast(weighted)
-    norm = K1 * (1 - B + B * F.col("size") / F.col("mean_size"))
     return (
         found.join(weighted, ["field", "term"])
         .groupBy("query_id", key)
-        .agg(F.sum(F.col("idf") * F.col("tf") / (F.col("tf") + norm)).alias("score"))
+        .agg(F.sum(F.col("idf") * _saturation()).alias("score"))
     )
 
 
+def _boosted_idf(boosts: dict[str, float]) -> Column:
+    boost = F.element_at(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]), F.col("field"))
+    return boost * F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def _saturation() -> Column:
+    return F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+
+
+def bm25_candidates(
+    index: DataFrame,
+    queries: DataFrame,
+    k: int = TOP_K,
+    boosts: dict[str, float] | None = None,
+    key: str = "chunk_id",
+    also: DataFrame | None = None,
+    limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Scores of ``bm25_match`` for each query's best ``k`` rows at least.
+
+    ``also`` names further (query_id, key) pairs whose score is wanted. The
+    question terms, up to ``limit`` of them, are sent to all tasks. A task adds
+    up the scores of a batch of rows in a matrix and emits its best ``k`` per
+    query, so the many rows that share only a common term with a question are
+    never rows of a result. More terms than ``limit`` score every pair.
+    """
+    boosts = boosts or FIELD_BOOSTS
+    fields = list(boosts)
+    spark = index.sparkSession
+    asked = query_terms(queries).limit(limit + 1).toPandas()
+    if len(asked) > limit:
+        return bm25_match(index, queries, boosts, key)
+    schema = T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField(key, index.schema[key].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    if asked.empty:
+        return spark.createDataFrame([], schema)
+    asked["slot"], names = pd.factorize(asked["term"])
+    slots = spark.createDataFrame([(i, str(n)) for i, n in enumerate(names)], "slot int, term string")
+    found = (
+        _tokens(index, fields, key)
+        .join(F.broadcast(slots), "term")  # at most `limit` rows
+        .repartition(key)
+        .groupBy(key, "field", "size", "slot")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    frequency = (
+        found.groupBy("field", "slot")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .join(F.broadcast(field_sizes(index, fields)), "field")  # one row per field
+        .select("field", "slot", "mean_size", _boosted_idf(boosts).alias("idf"))
+    )
+    # One row per field and slot.
+    parts = found.join(F.broadcast(frequency), ["field", "slot"]).select(
+        key, F.struct("slot", (F.col("idf") * _saturation()).alias("part")).alias("item")
+    )
+    rows = parts.groupBy(key).agg(F.collect_list("item").alias("items"))
+    flat = rows.select(key, F.col("items.slot").alias("slots"), F.col("items.part").alias("parts"))
+    sent = spark.sparkContext.broadcast(_slot_table(asked, len(names)))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from _best_text(batch, sent.value, k, key)
+
+    best = flat.mapInPandas(scan, schema)
+    if also is None:
+        return best
+    weights = spark.createDataFrame(asked[["query_id", "slot", "weight"]])
+    pairs = (
+        also.select("query_id", key)
+        .join(rows, key)
+        .select("query_id", key, F.inline("items"))
+        .join(F.broadcast(weights), ["query_id", "slot"])  # at most `limit` rows
+        .groupBy("query_id", key)
+        .agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+    )
+    return best.unionByName(pairs).groupBy("query_id", key).agg(F.max("score").alias("score"))
+
+
+def _slot_table(asked: pd.DataFrame, slots: int) -> tuple[np.ndarray, ...]:
+    """Query ids, and for each slot the run of its queries with their weights."""
+    query, ids = pd.factorize(asked["query_id"])
+    order = np.argsort(asked["slot"].to_numpy(), kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(asked["slot"], minlength=slots))])
+    return np.asarray(ids), starts, query[order], asked["weight"].to_numpy(dtype=np.float64)[order]
+
+
+def _best_text(batch: pd.DataFrame, table: tuple[np.ndarray, ...], k: int, key: str) -> Iterator[pd.DataFrame]:
+    """Best ``k`` rows per query of strips of the batch; a strip's matrix is bounded."""
+    ids, starts, query, weight = table
+    strip = max(STRIP_CELLS // len(ids), 1)
+    for first in range(0, len(batch), strip):
+        rows = batch.iloc[first : first + strip]
+        slot = np.concatenate(rows["slots"].to_list())
+        part = np.concatenate(rows["parts"].to_list())
+        row = np.repeat(np.arange(len(rows)), rows["slots"].map(len))
+        runs = starts[slot + 1] - starts[slot]
+        # Position of every (posting, query of its term) pair in the slot table.
+        at = np.arange(runs.sum()) + np.repeat(starts[slot] - np.cumsum(runs) + runs, runs)
+        cell = np.repeat(row, runs) * len(ids) + query[at]
+        sums = np.bincount(cell, np.repeat(part, runs) * weight[at], len(rows) * len(ids)).reshape(len(rows), len(ids))
+        ranked = np.round(sums, SCORE_DIGITS)
+        floor = np.partition(ranked, -min(k, len(rows)), axis=0)[-min(k, len(rows))]
+        place, column = np.nonzero((ranked >= floor) & (sums > 0))
+        out = pd.DataFrame(
+            {"query_id": ids[column], key: rows[key].to_numpy()[place], "score": sums[place, column], "_r": ranked[place, column]}
+        )
+        out = out.sort_values(["query_id", "_r", key], ascending=[True, False, True]).groupby("query_id").head(k)
+        yield out.drop(columns="_r")
+
+
+def bm25_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
+    """Best ``k`` rows per query by text, with ``rank``."""
+    return topk_per_query(bm25_candidates(index, queries, k, key=key), k, key)
+
+
 def topk_per_query(scores: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
     """Best ``k`` rows per query with ``rank`` from 1; ties go to the smaller key.
 
@@ -229,9 +354,15 @@ def merge_text_and_vector(
 
 
 def hybrid_search(index: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """BM25 over both fields plus the vector part of its own best ``k``."""
-    merged = merge_text_and_vector(bm25_match(index, queries), knn_cosine(index, queries, k))
-    return topk_per_query(merged, k)
+    """BM25 over both fields plus the vector part of its own best ``k``.
+
+    A row without a vector part is among the best ``k`` only if at most ``k``
+    rows with one come before it by text, so the best ``2 * k`` by text and the
+    rows with a vector part are all that matter.
+    """
+    vector = knn_cosine(index, queries, k)
+    text = bm25_candidates(index, queries, 2 * k, also=vector)
+    return topk_per_query(merge_text_and_vector(text, vector), k)
 
 
 def with_hit_fields(hits: DataFrame, index: DataFrame, most: int | None = None) -> DataFrame:

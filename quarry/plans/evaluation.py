@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.evaluate import eval_summary, join_hits_to_gold, score_hits
-from quarry.operators.retrieval import bm25_match, topk_per_query, with_hit_fields
+from quarry.operators.retrieval import bm25_search, with_hit_fields
 
 # Fixed value: hits per question.
 TOP_K = 5
@@ -15,7 +15,7 @@ TOP_K = 5
 def evaluate(gold: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     """Precision, recall, category hit and hit count per gold question."""
     queries = gold.select(F.col("id").alias("query_id"), "question")
-    hits = with_hit_fields(topk_per_query(bm25_match(index, queries), k), index, k * queries.count())
+    hits = with_hit_fields(bm25_search(index, queries, k), index, k * queries.count())
     return score_hits(join_hits_to_gold(gold, hits))
 
 
