@@ -30,6 +30,10 @@ EMBED_BATCH = 100
 # Digits that order hits; beyond them a sum depends on its order.
 SCORE_DIGITS = 6
 
+# Stand for the rows that carry only a field's length.
+NO_TERM = ""
+NO_SLOT = -1
+
 # Questions sent to every task; beyond that, questions and vectors that meet in
 # one task; questions multiplied at a time.
 BROADCAST_QUESTIONS = 4096
@@ -48,20 +52,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _tokens(index: DataFrame, fields: list[str], key: str) -> DataFrame:
-    """``key, field, size, term``: one row per token of each field."""
+    """``key, field, size, term``: one row per token of each field.
+
+    Another row per field has the empty term. It survives any selection of
+    terms, so that field lengths need no pass of their own.
+    """
     per_field = F.array(*[F.struct(F.lit(f).alias("field"), fold_tokens(F.col(f)).alias("tokens")) for f in fields])
     tokens = index.select(key, F.inline(per_field))
-    return tokens.select(key, "field", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
+    return tokens.select(key, "field", F.size("tokens").alias("size"), F.explode(F.concat("tokens", F.array(F.lit(NO_TERM)))).alias("term"))
 
 
 def postings(index: DataFrame, fields: list[str], terms: DataFrame, small: bool, key: str = "chunk_id") -> DataFrame:
-    """``key, field, size, term, tf`` of the asked terms, in one pass over the index.
+    """``key, field, size, term, tf`` of the asked and the empty term, in one pass over the index.
 
     Tokens that nobody asks for are dropped before the shuffle. The shuffle is
     by ``key`` alone, so the later sum over (query, key) needs no other one
     and a frequent term is spread over all partitions.
     """
-    asked = terms.select("term").distinct()
+    marker = terms.sparkSession.createDataFrame([(NO_TERM,)], "term string")
+    asked = terms.select("term").distinct().union(marker)
     return (
         _tokens(index, fields, key)
         .join(F.broadcast(asked) if small else asked, "term", "left_semi")
@@ -71,22 +80,21 @@ def postings(index: DataFrame, fields: list[str], terms: DataFrame, small: bool,
     )
 
 
-def field_sizes(index: DataFrame, fields: list[str]) -> DataFrame:
-    """``field, docs, mean_size``: rows that have the field and its mean length."""
-    sizes = {f: F.size(fold_tokens(F.col(f))) for f in fields}
-    counted = index.agg(
-        *[F.count_if(size > 0).alias(f"_docs_{f}") for f, size in sizes.items()],
-        *[F.sum(size).alias(f"_size_{f}") for f, size in sizes.items()],
+def term_statistics(found: DataFrame, term: str, marker) -> DataFrame:
+    """``field, term, df, docs, mean_size`` of the asked terms.
+
+    ``docs`` and ``mean_size`` come from the rows of the empty term, one per
+    row and field of the index.
+    """
+    filled = F.col("size") > 0
+    counted = found.groupBy("field", term).agg(
+        F.count(F.lit(1)).alias("df"), F.count_if(filled).alias("docs"), F.sum("size").alias("total")
     )
-    rows = [
-        F.struct(
-            F.lit(f).alias("field"),
-            F.col(f"_docs_{f}").alias("docs"),
-            (F.col(f"_size_{f}") / F.nullif(F.col(f"_docs_{f}"), F.lit(0))).alias("mean_size"),
-        )
-        for f in fields
-    ]
-    return counted.select(F.inline(F.array(*rows)))
+    fields = counted.filter(F.col(term) == marker).select(
+        "field", "docs", (F.col("total") / F.nullif(F.col("docs"), F.lit(0))).alias("mean_size")
+    )
+    terms = counted.filter(F.col(term) != marker).select("field", term, "df")
+    return terms.join(F.broadcast(fields), "field")  # one row per field
 
 
 def bm25_match(
@@ -102,9 +110,8 @@ def bm25_match(
     terms = query_terms(queries)
     small = is_small(terms)
     found = postings(index, fields, terms, small, key)
-    frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     weighted = (
-        frequency.join(F.broadcast(field_sizes(index, fields)), "field")  # one row per field
+        term_statistics(found, "term", NO_TERM)
         .join(terms, "term")
         .select("query_id", "field", "term", "mean_size", (F.col("weight") * _boosted_idf(boosts)).alias("idf"))
     )
@@ -160,7 +167,9 @@ def bm25_candidates(
     if asked.empty:
         return spark.createDataFrame([], schema)
     asked["slot"], names = pd.factorize(asked["term"])
-    slots = spark.createDataFrame([(i, str(n)) for i, n in enumerate(names)], "slot int, term string")
+    slots = spark.createDataFrame(
+        [(NO_SLOT, NO_TERM), *[(i, str(n)) for i, n in enumerate(names)]], "slot int, term string"
+    )
     found = (
         _tokens(index, fields, key)
         .join(F.broadcast(slots), "term")  # at most `limit` rows
@@ -168,11 +177,8 @@ def bm25_candidates(
         .groupBy(key, "field", "size", "slot")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    frequency = (
-        found.groupBy("field", "slot")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .join(F.broadcast(field_sizes(index, fields)), "field")  # one row per field
-        .select("field", "slot", "mean_size", _boosted_idf(boosts).alias("idf"))
+    frequency = term_statistics(found, "slot", NO_SLOT).select(
+        "field", "slot", "mean_size", _boosted_idf(boosts).alias("idf")
     )
     # One row per field and slot.
     parts = found.join(F.broadcast(frequency), ["field", "slot"]).select(
