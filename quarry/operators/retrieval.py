@@ -145,11 +145,12 @@ def bm25_candidates(
 ) -> DataFrame:
     """Scores of ``bm25_match`` for each query's best ``k`` rows at least.
 
-    ``also`` names further (query_id, key) pairs whose score is wanted. The
-    question terms, up to ``limit`` of them, are sent to all tasks. A task adds
-    up the scores of a batch of rows in a matrix and emits its best ``k`` per
-    query, so the many rows that share only a common term with a question are
-    never rows of a result. More terms than ``limit`` score every pair.
+    ``also`` names further (query_id, key) pairs whose score is wanted. Up to
+    ``limit`` question terms, with their frequencies in the corpus, are sent to
+    all tasks. A task adds up the scores of a batch of rows in a matrix and
+    emits its best ``k`` per query: neither the tokens nor the many rows that
+    share only a common term with a question are ever shuffled. More terms
+    than ``limit`` score every pair by joins.
     """
     boosts = boosts or FIELD_BOOSTS
     fields = list(boosts)
@@ -167,44 +168,52 @@ def bm25_candidates(
     if asked.empty:
         return spark.createDataFrame([], schema)
     asked["slot"], names = pd.factorize(asked["term"])
-    slots = spark.createDataFrame(
-        [(NO_SLOT, NO_TERM), *[(i, str(n)) for i, n in enumerate(names)]], "slot int, term string"
-    )
-    found = (
-        _tokens(index, fields, key)
-        .join(F.broadcast(slots), "term")  # at most `limit` rows
-        .repartition(key)
-        .groupBy(key, "field", "size", "slot")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    frequency = term_statistics(found, "slot", NO_SLOT).select(
-        "field", "slot", "mean_size", _boosted_idf(boosts).alias("idf")
-    )
-    # One row per field and slot.
-    parts = found.join(F.broadcast(frequency), ["field", "slot"]).select(
-        key, F.struct("slot", (F.col("idf") * _saturation()).alias("part")).alias("item")
-    )
-    rows = parts.groupBy(key).agg(F.collect_list("item").alias("items"))
-    flat = rows.select(key, F.col("items.slot").alias("slots"), F.col("items.part").alias("parts"))
-    sent = spark.sparkContext.broadcast(_slot_table(asked, len(names)))
+    table = _slot_table(asked, len(names))
+    weights = _field_weights(index, boosts, list(names))
+    sent = spark.sparkContext.broadcast((pd.Index(names), weights, table))
+    rows = index.select(key, *[fold_tokens(F.col(f)).alias(f) for f in fields])
+    if also is None:
+        rows = rows.withColumn("_wanted", F.array().cast(T.ArrayType(schema["query_id"].dataType)))
+    else:
+        pairs = also.groupBy(key).agg(F.collect_set("query_id").alias("_wanted"))
+        rows = rows.join(pairs, key, "left")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, weights, table = sent.value
         for batch in batches:
-            yield from _best_text(batch, sent.value, k, key)
+            found = [_field_parts(batch[f], terms, *weights[f]) for f in fields]
+            row, slot, part = (np.concatenate(column) for column in zip(*found))
+            yield from _best_text(batch[key].to_numpy(), batch["_wanted"].to_list(), row, slot, part, table, k, key)
 
-    best = flat.mapInPandas(scan, schema)
-    if also is None:
-        return best
-    weights = spark.createDataFrame(asked[["query_id", "slot", "weight"]])
-    pairs = (
-        also.select("query_id", key)
-        .join(rows, key)
-        .select("query_id", key, F.inline("items"))
-        .join(F.broadcast(weights), ["query_id", "slot"])  # at most `limit` rows
-        .groupBy("query_id", key)
-        .agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+    return rows.mapInPandas(scan, schema)
+
+
+def _field_weights(index: DataFrame, boosts: dict[str, float], names: list[str]) -> dict[str, tuple[np.ndarray, float]]:
+    """Boosted idf of each term and mean length, per field.
+
+    One aggregation, combined before its shuffle; its result has a row per
+    field and question term.
+    """
+    slots = index.sparkSession.createDataFrame([(NO_SLOT, NO_TERM), *enumerate(names)], "slot int, term string")
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), fold_tokens(F.col(f)).alias("tokens")) for f in boosts])
+    terms = index.select(F.inline(per_field)).select(
+        "field", F.size("tokens").alias("size"),
+        F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(NO_TERM)))).alias("term"),
+    )
+    counted = (
+        terms.join(F.broadcast(slots), "term")  # a row per question term, whose number is checked
+        .groupBy("field", "slot")
+        .agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("size") > 0).alias("docs"), F.sum("size").alias("total"))
+        .toPandas()
     )
-    return best.unionByName(pairs).groupBy("query_id", key).agg(F.max("score").alias("score"))
+    weights = {}
+    for field, boost in boosts.items():
+        mine = counted[counted["field"] == field].set_index("slot")
+        df = mine["df"].reindex(range(len(names)), fill_value=0).to_numpy(dtype=np.float64)
+        docs = float(mine["docs"].get(NO_SLOT, 0))
+        mean = float(mine["total"].get(NO_SLOT, 0)) / docs if docs else 1.0
+        weights[field] = (boost * np.log1p(np.maximum(docs - df + 0.5, 0.5) / (df + 0.5)), mean)
+    return weights
 
 
 def _slot_table(asked: pd.DataFrame, slots: int) -> tuple[np.ndarray, ...]:
@@ -215,28 +224,52 @@ def _slot_table(asked: pd.DataFrame, slots: int) -> tuple[np.ndarray, ...]:
     return np.asarray(ids), starts, query[order], asked["weight"].to_numpy(dtype=np.float64)[order]
 
 
-def _best_text(batch: pd.DataFrame, table: tuple[np.ndarray, ...], k: int, key: str) -> Iterator[pd.DataFrame]:
-    """Best ``k`` rows per query of strips of the batch; a strip's matrix is bounded."""
+def _field_parts(tokens: pd.Series, terms: pd.Index, idf: np.ndarray, mean: float) -> tuple[np.ndarray, ...]:
+    """Row, slot and score part of each distinct asked term of each row."""
+    size = tokens.map(len).to_numpy()
+    flat = np.concatenate([np.empty(0, dtype=object), *tokens.to_list()])
+    slot = terms.get_indexer(flat)
+    known = slot >= 0
+    code = np.repeat(np.arange(len(size)), size)[known] * len(terms) + slot[known]
+    code, tf = np.unique(code, return_counts=True)
+    row, slot = code // len(terms), code % len(terms)
+    return row, slot, idf[slot] * tf / (tf + K1 * (1 - B + B * size[row] / mean))
+
+
+def _best_text(
+    keys: np.ndarray, wanted: list, row: np.ndarray, slot: np.ndarray, part: np.ndarray,
+    table: tuple[np.ndarray, ...], k: int, key: str,
+) -> Iterator[pd.DataFrame]:
+    """Best ``k`` rows per query, and wanted pairs, of strips of a bounded matrix."""
     ids, starts, query, weight = table
+    column_of = {q: c for c, q in enumerate(ids.tolist())}
+    order = np.argsort(row, kind="stable")
+    row, slot, part = row[order], slot[order], part[order]
     strip = max(STRIP_CELLS // len(ids), 1)
-    for first in range(0, len(batch), strip):
-        rows = batch.iloc[first : first + strip]
-        slot = np.concatenate(rows["slots"].to_list())
-        part = np.concatenate(rows["parts"].to_list())
-        row = np.repeat(np.arange(len(rows)), rows["slots"].map(len))
-        runs = starts[slot + 1] - starts[slot]
-        # Position of every (posting, query of its term) pair in the slot table.
-        at = np.arange(runs.sum()) + np.repeat(starts[slot] - np.cumsum(runs) + runs, runs)
-        cell = np.repeat(row, runs) * len(ids) + query[at]
-        sums = np.bincount(cell, np.repeat(part, runs) * weight[at], len(rows) * len(ids)).reshape(len(rows), len(ids))
+    for first in range(0, len(keys), strip):
+        count = min(strip, len(keys) - first)
+        low, high = np.searchsorted(row, [first, first + count])
+        runs = starts[slot[low:high] + 1] - starts[slot[low:high]]
+        # Position of every (part, query of its term) pair in the slot table.
+        at = np.arange(runs.sum()) + np.repeat(starts[slot[low:high]] - np.cumsum(runs) + runs, runs)
+        cell = np.repeat(row[low:high] - first, runs) * len(ids) + query[at]
+        sums = np.bincount(cell, np.repeat(part[low:high], runs) * weight[at], count * len(ids))
+        sums = sums.reshape(count, len(ids))
         ranked = np.round(sums, SCORE_DIGITS)
-        floor = np.partition(ranked, -min(k, len(rows)), axis=0)[-min(k, len(rows))]
+        floor = np.partition(ranked, -min(k, count), axis=0)[-min(k, count)]
         place, column = np.nonzero((ranked >= floor) & (sums > 0))
-        out = pd.DataFrame(
-            {"query_id": ids[column], key: rows[key].to_numpy()[place], "score": sums[place, column], "_r": ranked[place, column]}
-        )
-        out = out.sort_values(["query_id", "_r", key], ascending=[True, False, True]).groupby("query_id").head(k)
-        yield out.drop(columns="_r")
+        best = pd.DataFrame({"q": column, key: keys[first + place], "p": place, "r": ranked[place, column]})
+        best = best.sort_values(["q", "r", key], ascending=[True, False, True]).groupby("q").head(k)
+        asked = [
+            (column_of[q], p)
+            for p, names in enumerate(wanted[first : first + count])
+            for q in (names if names is not None else ())
+            if q in column_of
+        ]
+        pairs = pd.concat([best[["q", "p"]], pd.DataFrame(asked, columns=["q", "p"], dtype=np.int64)]).drop_duplicates()
+        q, p = pairs["q"].to_numpy(), pairs["p"].to_numpy()
+        found = sums[p, q] > 0
+        yield pd.DataFrame({"query_id": ids[q[found]], key: keys[first + p[found]], "score": sums[p[found], q[found]]})
 
 
 def bm25_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:

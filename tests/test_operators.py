@@ -179,6 +179,24 @@ def test_bm25_by_hand_and_plan(spark):
     assert "Python" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_candidates_hold_the_best_and_the_wanted(spark, limit, monkeypatch):
+    monkeypatch.setattr(retrieval, "STRIP_CELLS", 40)
+    draw = random.Random(2)
+    words = ["đất", "nhà", "luật", "thuế", "xe", "phạt", "lao", "động"]
+    texts = [(f"c{i:03d}", " ".join(draw.choices(words, k=draw.randint(0, 9))), draw.choice(words)) for i in range(150)]
+    index = spark.createDataFrame(texts, "chunk_id string, chunk_text string, title string").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(draw.choices(words[:6], k=3))) for q in range(6)], "query_id long, question string")
+    every = {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieval.bm25_match(index, queries).collect()}
+    best = retrieval.topk_per_query(retrieval.bm25_match(index, queries), 4)
+    wanted = spark.createDataFrame([(0, "c001"), (1, "c001"), (5, "c149"), (77, "c002")], "query_id long, chunk_id string")
+    found = retrieval.bm25_candidates(index, queries, 4, also=wanted, limit=limit)
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in found.collect()}
+    assert all(got[pair] == pytest.approx(every[pair]) for pair in got)
+    assert {p for p in [(0, "c001"), (1, "c001"), (5, "c149")] if p in every} <= set(got)
+    assert rows(retrieval.topk_per_query(found, 4), "query_id", "rank") == rows(best, "query_id", "rank")
+
+
 def test_embed_failure_gives_null(spark):
     def failing(texts):
         raise RuntimeError("no model")
