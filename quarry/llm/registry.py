@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import oracles
 from quarry.llm.common import table
 
 QUERIES: dict = {}
@@ -34,3 +35,13 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@_entry
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.secrets import scan
+
+    return scan(table(spark, folder, "documents")).drop("marked", "text_key")
+
+
+SQL["op10_secret_scan"] = oracles.secrets_sql(copied_owners=3)
