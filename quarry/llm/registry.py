@@ -45,3 +45,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op10_secret_scan"] = oracles.secrets_sql(copied_owners=3)
+
+
+@_entry
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.pii import find
+
+    return find(table(spark, folder, "documents")).drop("marked")

@@ -7,7 +7,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,stop:int,value:string>>"
+SPAN = "array<struct<start:int,stop:int,value:string,before:string>>"
+# Characters of context kept before a match, at most up to the match before it.
+CONTEXT = 40
 
 
 def found(text: Column, pattern: str, when: Column | None = None) -> Column:
@@ -17,17 +19,17 @@ def found(text: Column, pattern: str, when: Column | None = None) -> Column:
 
 
 def placed(text: Column, pattern: str, matches: Column) -> Column:
-    """Start, end (exclusive) in code points and value of each of ``matches``.
+    """Start, end (exclusive) in code points, value and context of each of ``matches``.
 
     What stands between two matches gives the distance to the next one.
     """
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    steps = F.zip_with(between, matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("value")))
+    steps = F.zip_with(between, matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("value")))
 
     def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
+        start = done["at"] + F.length(x["gap"])
         stop = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"))
+        span = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"))
         return F.struct(stop.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
     empty = F.array().cast(SPAN)
