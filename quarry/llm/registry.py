@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import oracles
-from quarry.llm.common import table
+from quarry.llm.common import fresh_folder, stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,22 @@ def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm.pii import find
 
     return find(table(spark, folder, "documents")).drop("marked")
+
+
+@_entry
+def op1_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm import warc
+
+    archives = fresh_folder(spark, "warc")
+    warc.write_archives(warc.captures_of(table(spark, folder, "pages")), archives)
+    records = stored(warc.read_archives(spark, archives, keep_payload=False), "records")
+    return warc.page_summary(warc.assemble(records))
+
+
+SQL["op1_warc_transactions"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d FROM pages),
+    f AS (SELECT d, min(page_id) AS holder FROM p WHERE strlen(h) >= 100 GROUP BY d)
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, d AS payload_digest,
+        CASE WHEN page_id > holder THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN page_id > holder THEN holder END AS refers_to
+    FROM p LEFT JOIN f USING (d)"""
