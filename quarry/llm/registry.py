@@ -71,3 +71,12 @@ SQL["op1_warc_transactions"] = """
         CASE WHEN page_id > holder THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN page_id > holder THEN holder END AS refers_to
     FROM p LEFT JOIN f USING (d)"""
+
+
+@_entry
+def op2_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.divergence import judge
+
+    judged = judge(table(spark, folder, "documents"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", *[judged[f"_{name}"].alias(name) for name in names])
