@@ -22,12 +22,37 @@ WINDOWS = 64
 SLACK = 8
 # Longest piece that goes into a pool: short ones leave differencing room to level out.
 PIECE = 256
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 # The tokenizer drops white space and never joins across it, so that what
 # stands between these blanks can be encoded alone.
 _CHUNK = re.compile(r"[^ \t\n\r]+")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#$%&]*)")
+
+
+def _encode(chunks: list[str], path: str, cache: dict[str, bytes]) -> None:
+    """Put the ids of ``chunks`` into ``cache``.
+
+    A Latin word with punctuation behind is put together from the lower-case word and the
+    punctuation, as the tokenizer itself lowers and parts them.
+    """
+    parts = {}
+    alone = set()
+    for chunk in chunks:
+        plain = _PLAIN.fullmatch(chunk)
+        if plain:
+            parts[chunk] = own = (plain[1].lower(), plain[2])
+            alone.update(x for x in own if x and x not in cache)
+        else:
+            alone.add(chunk)
+    missing = list(alone)
+    for at in range(0, len(missing), 20_000):
+        part = missing[at : at + 20_000]
+        for chunk, found in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
+            cache[chunk] = np.array(found.ids, "<u4").tobytes()
+    for chunk, (word, tail) in parts.items():
+        cache[chunk] = cache[word] + cache[tail] if tail else cache[word]
 
 
 def document_ids(texts: list[str], path: str, end_id: int) -> list[bytes]:
@@ -41,10 +66,7 @@ def document_ids(texts: list[str], path: str, end_id: int) -> list[bytes]:
     if len(cache) + len(missing) > CACHED_CHUNKS:
         cache.clear()
         missing = list({c for row in chunks for c in row})
-    for at in range(0, len(missing), 20_000):
-        part = missing[at : at + 20_000]
-        for chunk, found in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[chunk] = np.array(found.ids, "<u4").tobytes()
+    _encode(missing, path, cache)
     end = struct.pack("<I", end_id)
     return [b"".join([cache[c] for c in row]) + end for row in chunks]
 
