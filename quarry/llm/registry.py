@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import oracles
 from quarry.llm.common import fresh_folder, stored, table
@@ -80,3 +81,16 @@ def op2_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     judged = judge(table(spark, folder, "documents"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
     return judged.select("doc_id", *[judged[f"_{name}"].alias(name) for name in names])
+
+
+@_entry
+def op4_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.pieces import decoder, segment
+
+    path = vocabulary("piece_bpe_32k.model")
+    pieces = segment(table(spark, folder, "documents"), path)
+    back = pieces.withColumn("back", decoder(path)(F.col("pieces")))
+    return back.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"), (F.col("back") == F.col("text")).alias("lossless"),
+    )
