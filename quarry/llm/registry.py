@@ -94,3 +94,29 @@ def op4_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"),
         F.xxhash64("pieces").alias("pieces_hash"), (F.col("back") == F.col("text")).alias("lossless"),
     )
+
+
+@_entry
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.language import identify
+
+    found = identify(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.col("_language").alias("language"), F.round("_probability", 9).alias("probability"),
+        F.col("_text_language").alias("text_language"), F.col("lang").alias("declared"), F.col("_kept").alias("kept"),
+    )
+
+
+@_entry
+def page_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator where all its evidence exists: markup, address suffix and host levels."""
+    from quarry.llm.language import identify
+
+    markup = F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z]{2,3})", 1)
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[a-z]+;", " ")
+    pages = table(spark, folder, "pages").select("page_id", "url", F.when(markup != "", markup).alias("lang"), text.alias("text"))
+    found = identify(pages, id_column="page_id", host=None, address="url")
+    return found.select(
+        "page_id", F.col("_language").alias("language"), F.round("_probability", 9).alias("probability"),
+        F.col("_text_language").alias("text_language"), F.col("lang").alias("declared"), F.col("_kept").alias("kept"),
+    )
