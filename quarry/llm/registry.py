@@ -120,3 +120,10 @@ def page_languages(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", F.col("_language").alias("language"), F.round("_probability", 9).alias("probability"),
         F.col("_text_language").alias("text_language"), F.col("lang").alias("declared"), F.col("_kept").alias("kept"),
     )
+
+
+@_entry
+def op3_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.kmeans_tree import search
+
+    return search(table(spark, folder, "embeddings"))
