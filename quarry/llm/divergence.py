@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -18,10 +20,10 @@ REFERENCE_WORDS = 5_000
 COMMON_WORDS = 25
 COMMON_LETTERS = 5
 GUARD_CHARS = 200
-GUARD_WORDS = 50
+GUARD_WORDS = 100
 # Largest Jensen-Shannon distances (square root, base 2) to the language's references.
 CHAR_DISTANCE = 0.30
-WORD_DISTANCE = 0.60
+WORD_DISTANCE = 0.45
 
 CLASSES = {
     "lower": r"\p{Ll}",
@@ -30,28 +32,48 @@ CLASSES = {
     "digit": r"\p{N}",
     "blank": r"[\p{Z}\x09-\x0D]",
     "stop": r"[.,;:!?]",
-    "sign": r"[\p{P}\p{S}&&[^.,;:!?]]",
 }
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` has it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# Bits of a window's number that hold its place; longer texts take the form without packing.
+_PLACE = 20
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in a three-word window found twice or more in the text, the first one included.
 
-    Windows are sorted with their places, so that equal ones are neighbours; the places of repeated
-    windows, sorted again, cover up to three words each.
+    Windows are sorted with their places, so that equal ones are neighbours. Hash and place share one
+    number; where hashes are equal the words are compared. The places of repeated windows, sorted
+    again, cover up to three words each.
     """
     n = F.size(words)
-    windows = F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")),
+    first = F.slice(words, F.lit(1), n - 2)
+    low = F.lit((1 << _PLACE) - 1)
+    place = lambda x: x.bitwiseAND(low).cast("int")
+    packed = F.sort_array(
+        F.transform(first, lambda w, i: F.shiftleft(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), _PLACE).bitwiseOR(i.cast("long")))
     )
-    ordered = F.array_sort(windows)
-    last = F.struct(F.lit(None).cast("string").alias("w"), F.lit(None).cast("int").alias("i"))
-    following = F.concat(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.array(last))
-    preceding = F.concat(F.array(last), F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))))
-    same = F.zip_with(ordered, following, lambda a, b: F.struct(a["w"].alias("w"), a["i"].alias("i"), F.coalesce(a["w"] == b["w"], F.lit(False)).alias("next")))
-    both = F.zip_with(same, preceding, lambda a, b: F.struct(a["i"].alias("i"), (a["next"] | F.coalesce(a["w"] == b["w"], F.lit(False))).alias("again")))
-    places = F.array_sort(F.transform(F.filter(both, lambda x: x["again"]), lambda x: x["i"]))
+
+    def same(x: Column, y: Column) -> Column:
+        p, q = place(x), place(y)
+        equal = F.shiftright(x, _PLACE) == F.shiftright(y, _PLACE)
+        for k in range(3):
+            equal = equal & (F.get(words, p + k) == F.get(words, q + k))
+        return F.coalesce(equal, F.lit(False))
+
+    short = _let(packed, lambda s: F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))), place))
+    windows = F.array_sort(F.transform(first, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))))
+
+    def again(s: Column) -> Column:
+        equal = lambda x, j: F.coalesce(x["w"] == F.get(s, j)["w"], F.lit(False))
+        return F.transform(F.filter(s, lambda x, i: equal(x, i + 1) | equal(x, i - 1)), lambda x: x["i"])
+
+    places = F.sort_array(F.when(n < 1 << _PLACE, short).otherwise(_let(windows, again)))
 
     def step(done: Column, at: Column) -> Column:
         return F.struct((done["n"] + F.least(F.lit(3), at + 3 - done["to"])).alias("n"), (at + 3).alias("to"))
@@ -63,7 +85,7 @@ def repeated_words(words: Column) -> Column:
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    return F.size(lines) - F.size(F.array_distinct(lines))
+    return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
 def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -83,26 +105,30 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def class_counts(text: Column) -> Column:
-    """Code points of each character class, in the order of ``CLASSES``."""
-    return F.array(*[(F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})++", ""))).cast("double") for pattern in CLASSES.values()])
+    """Code points of each character class, in the order of ``CLASSES``; then of all others."""
+    size = F.length(text)
+    counts = F.array(*[(size - F.length(F.regexp_replace(text, f"(?:{pattern})++", ""))).cast("double") for pattern in CLASSES.values()])
+    return _let(counts, lambda c: F.concat(c, F.array(size.cast("double") - F.aggregate(c, F.lit(0.0), lambda s, x: s + x))))
 
 
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (base 2) of two arrays of counts; null if either is empty."""
     total = lambda counts: F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
-    n, m = total(p), total(q)
+
+    def shares(counts: Column) -> Column:
+        return _let(F.struct(counts.alias("c"), total(counts).alias("n")), lambda x: F.transform(x["c"], lambda c: c / x["n"]))
 
     def part(a: Column, b: Column) -> Column:
         mean = (a + b) / 2
         return F.when(a > 0, a * F.log2(a / mean)).otherwise(0.0) + F.when(b > 0, b * F.log2(b / mean)).otherwise(0.0)
 
-    sums = F.aggregate(F.zip_with(p, q, lambda a, b: part(a / n, b / m)), F.lit(0.0), lambda s, x: s + x)
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(F.lit(0.0), sums / 2)))
+    sums = total(F.zip_with(shares(p), shares(q), part))
+    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.lit(0.0), sums / 2)))
 
 
-def _core(word: Column) -> Column:
-    """A word in lower case without what surrounds its letters."""
-    return F.regexp_replace(F.lower(word), r"^[^\p{L}]+|[^\p{L}]+$", "")
+def letter_words(text: Column) -> Column:
+    """Runs of letters in lower case."""
+    return F.split(F.lower(text), r"[^\p{L}]++", -1)
 
 
 def references(docs: DataFrame, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
@@ -116,10 +142,10 @@ def references(docs: DataFrame, lang_column: str = "lang", text_column: str = "t
     read = read.where((F.size("_words") >= GUARD_WORDS) & (F.col("_lang").isNotNull()))
     counts = class_counts(F.col("_text"))
     shares = read.select("_lang", F.size("_words").alias("_n"), counts.alias("c")).select(
-        "_lang", "_n", *[(F.col("c")[i] / F.aggregate("c", F.lit(0.0), lambda s, x: s + x)).alias(f"c{i}") for i in range(len(CLASSES))]
+        "_lang", "_n", *[(F.col("c")[i] / F.aggregate("c", F.lit(0.0), lambda s, x: s + x)).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     )
-    chars = shares.groupBy("_lang").agg(F.sum("_n").alias("_total"), F.array(*[F.avg(f"c{i}") for i in range(len(CLASSES))]).alias("_ref_chars"))
-    short = F.filter(F.transform("_words", _core), lambda w: F.length(w).between(1, COMMON_LETTERS))
+    chars = shares.groupBy("_lang").agg(F.sum("_n").alias("_total"), F.array(*[F.avg(f"c{i}") for i in range(len(CLASSES) + 1)]).alias("_ref_chars"))
+    short = F.filter(letter_words(F.col("_text")), lambda w: F.length(w).between(1, COMMON_LETTERS))
     each = read.select("_lang", F.explode(short).alias("w")).groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("n"))
     best = each.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))).where(F.col("_rank") <= COMMON_WORDS)
     common = best.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("_best"))
@@ -143,7 +169,7 @@ def judge(docs: DataFrame, lang_column: str = "lang", text_column: str = "text",
     scored = measured(docs, text_column).join(refs.withColumnRenamed("_lang", "_ref_lang"), F.col(lang_column) == F.col("_ref_lang"), "left")
     text = whole_text(text_column)
     chars = F.when((F.length(text) >= GUARD_CHARS) & F.col("_ref_lang").isNotNull() & ~F.col("_base_failed"), distance(class_counts(text), F.col("_ref_chars")))
-    scored = scored.withColumn("_cores", F.when((F.col("_n_words") >= GUARD_WORDS) & F.col("_ref_lang").isNotNull() & ~F.col("_base_failed"), F.transform("_words", _core)))
+    scored = scored.withColumn("_cores", F.when((F.col("_n_words") >= GUARD_WORDS) & F.col("_ref_lang").isNotNull() & ~F.col("_base_failed"), letter_words(text)))
     own = F.transform("_common", lambda w: (F.size("_cores") - F.size(F.array_remove(F.col("_cores"), w))).cast("double"))
     # All other words make up the last bin of both histograms.
     rest = lambda counts, total: F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)))

@@ -127,3 +127,10 @@ def op3_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm.kmeans_tree import search
 
     return search(table(spark, folder, "embeddings"))
+
+
+@_entry
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.jaccard_join import link
+
+    return link(table(spark, folder, "documents"))
