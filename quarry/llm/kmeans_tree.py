@@ -19,8 +19,10 @@ BRANCHES = 8
 LEAF = 384
 ROUNDS = 8
 RECALL = 0.97
-# Vectors of a leaf, and queries of a leaf, that one task compares at a time.
+# Vectors of neighbouring leaves, and queries, that one task compares at a time.
 BLOCK = 1_024
+# Leaves whose sample vectors tell a score below which nothing can be among the nearest.
+FLOOR_LEAVES = 8
 
 
 class Tree:
@@ -91,6 +93,19 @@ class Tree:
             found.append(self.leaf_of[node])
         return found
 
+    def keep(self, ids: np.ndarray, vectors: np.ndarray, lifted: np.ndarray) -> None:
+        """Keep the sample by leaf, for lower bounds."""
+        leaf = self.assign(lifted)
+        order = np.argsort(leaf, kind="stable")
+        parts = np.split(order, np.searchsorted(leaf[order], np.arange(1, self.leaves)))
+        self.kept = [(ids[part], vectors[part]) for part in parts]
+
+    def floor(self, query: int, vector: np.ndarray, leaves: list[int], k: int) -> float:
+        """A score that ``k`` vectors of the sample reach, those of the first leaves; none if they hold fewer."""
+        ids, points = (np.concatenate([self.kept[leaf][i] for leaf in leaves]) for i in (0, 1))
+        scores = _exact(vector[None, :], points[ids != query])[0]
+        return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
+
 
 def _lifted(vectors: np.ndarray, most: float) -> np.ndarray:
     """Vectors with one more coordinate that makes all norms ``most``: then nearest means largest product."""
@@ -146,8 +161,9 @@ def search(
 
     A tree is fitted on a bounded sample; every vector is put into its leaf. A bounded set of
     queries is compared with all vectors, and the number of leaves to visit is widened until the leaves visited first
-    hold ``recall`` of their true neighbours. Then each query meets the vectors of its leaves. A leaf
-    is split into blocks of ``block`` rows and its queries likewise, so no leaf, however full, is one task's.
+    hold ``recall`` of their true neighbours. Then each query meets the vectors of the blocks its leaves lie
+    in and drops what scores below ``k`` vectors of the sample. A block has about ``block`` rows, a full
+    leaf several blocks, and queries are split likewise, so no leaf, however full, is one task's.
 
     Columns: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``, ties to the smaller id. Rows that
     ``usable`` leaves out take no part. Of repeated ids each row is a candidate and the query's own
@@ -159,8 +175,10 @@ def search(
     sized = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("most"), F.max(F.size("vector")).alias("size")).first()
     count, size = sized["n"], sized["size"] or 0
     most = float(np.sqrt(sized["most"] or 0.0))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, count // sample))) == 0).select("vector").limit(2 * sample).toPandas()
-    tree = Tree(_lifted(_matrix(drawn["vector"], size), most), leaf=leaf)
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, count // sample))) == 0).limit(2 * sample).toPandas()
+    lifted = _lifted(_matrix(drawn["vector"], size), most)
+    tree = Tree(lifted, leaf=leaf)
+    tree.keep(drawn["vec_id"].to_numpy(), _matrix(drawn["vector"], size), lifted)
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,35 +189,44 @@ def search(
     asked = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     wide = _calibrated(index, asked, tree, most, size, k, recall)
 
+    # One row per leaf, bounded by the tree. Neighbouring leaves of few rows share a block, a leaf of
+    # many rows has several.
+    full = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, blocks, room = {}, -1, 0
+    for number in sorted(full):
+        if full[number] > room:
+            blocks, room = blocks + 1, block
+        first[number] = blocks
+        more = -(-max(0, full[number] - room) // block)
+        blocks, room = blocks + more, room - full[number] + more * block
+    last = {number: first[number] + -(-max(0, full[number] - block) // block) for number in first}
+
     def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = shared.value
         for part in batches:
-            lifted = np.hstack([_matrix(part["vector"], size), np.zeros((len(part), 1))])
-            yield part.assign(leaf=[shared.value.visits(p, wide) for p in lifted])
+            points = _matrix(part["vector"], size)
+            leaves = [tree.visits(np.append(p, 0.0), wide) for p in points]
+            floors = [tree.floor(i, p, own[:FLOOR_LEAVES], k) for i, p, own in zip(part["vec_id"], points, leaves, strict=True)]
+            into = [sorted({b for leaf in own if leaf in first for b in range(first[leaf], last[leaf] + 1)}) for own in leaves]
+            yield part.assign(floor=floors, block=into)
 
-    routed = asked.mapInPandas(routes, "vec_id long, vector array<double>, leaf array<long>")
-    # One row per leaf, bounded by the tree.
-    full = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    routed = asked.repartition(spark.sparkContext.defaultParallelism, "vec_id").mapInPandas(routes, "vec_id long, vector array<double>, floor double, block array<long>")
     queries = index.where(F.col("vec_id") % every == 0).count()
-    # Queries of a leaf fall into as many shares as all of them may need.
+    # Queries of a block fall into as many shares as all of them may need.
     shares = max(1, -(-queries // block))
-    first, blocks = {}, 0
-    for number in sorted(full):
-        first[number] = blocks
-        blocks += -(-full[number] // block)
-    spread = spark.createDataFrame([(n, first[n], -(-full[n] // block)) for n in first], "leaf long, first long, blocks long")
+    spread = spark.createDataFrame([(n, first[n], last[n] - first[n] + 1) for n in first], "leaf long, first long, blocks long")
     stocked = index.join(F.broadcast(spread), "leaf").select("vec_id", "vector", (F.col("first") + F.pmod(F.xxhash64("vec_id", "vector"), "blocks")).alias("block"))
     stocked = stocked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    sought = routed.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.explode("leaf").alias("leaf")).join(F.broadcast(spread), "leaf")
-    sought = sought.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("block"))
+    sought = routed.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "floor", F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("share"), F.explode("block").alias("block"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         ids, points = right["vec_id"].to_numpy(), _matrix(right["vector"], size)
-        for query, scores in zip(left["query_id"], _exact(_matrix(left["query"], size), points), strict=True):
-            own = np.flatnonzero(ids != query)
-            best = own[_best(scores[own], ids[own], k)]
-            found += zip([query] * len(best), ids[best].tolist(), scores[best].tolist(), strict=True)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+        for query, floor, scores in zip(left["query_id"], left["floor"], _exact(_matrix(left["query"], size), points), strict=True):
+            near = np.flatnonzero((scores >= floor) & (ids != query))
+            best = near[_best(scores[near], ids[near], k)]
+            found.append((np.full(len(best), query), ids[best], scores[best]))
+        return pd.DataFrame({name: np.concatenate(part) for name, part in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
     pairs = sought.groupBy("block", "share").cogroup(stocked.groupBy("block", "share")).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
