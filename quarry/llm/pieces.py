@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,16 @@ from quarry.llm.common import process_cache, whole_text
 
 # Smoothing of the piece weights: 0 draws all segmentations alike, large values the best one.
 ALPHA = 0.6
-CACHED_SEGMENTS = 400_000
+CACHED_SEGMENTS = 200_000
+# Characters segmented together.
+BATCH_CHARS = 600_000
 CACHED_LENGTH = 64
 SPACE = "▁"
+# A run of blanks with what stands behind it, up to the next blank, or to where a Latin word meets
+# one of these signs. No piece may cross either border.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?|#*$%&\n"
+_SEGMENT = re.compile(f" *[{_LETTERS}]+(?=[{_SIGNS}])| *[^ ]+| +")
+_CROSSING = re.compile(f"[{_LETTERS}][{_SIGNS}]|[^ ] ")
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,8 +58,8 @@ class Vocabulary:
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                if SPACE in piece.lstrip(SPACE):
-                    raise ValueError("a piece crosses a word border")
+                if _CROSSING.search(piece.replace(SPACE, " ")):
+                    raise ValueError("a piece crosses a segment border")
                 pieces.append((-model.get_score(i), i, piece.replace(SPACE, " ")))
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         whole: dict[int, int] = {}
@@ -173,10 +181,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-# A run of blanks with the word behind it: no piece crosses from a word to a blank.
-_SEGMENT = re.compile(r" *[^ ]+| +")
-
-
 def sample(texts: list[str], keys: np.ndarray, lattices: Lattices) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after the other, and where each text's ids begin and end.
 
@@ -254,11 +258,15 @@ def encoder(path: str, alpha: float = ALPHA) -> Callable[[Column, Column], Colum
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, keys in batches:
-            parts = []
-            for at in range(0, len(texts), 500):
-                own = np.array(keys.slice(at, 500).fill_null(0), np.int64)
-                ids, ends = sample(texts.slice(at, 500).fill_null("").to_pylist(), own, lattices_of(path, alpha))
+            parts, at = [], 0
+            size = np.cumsum(np.array(pc.fill_null(pc.utf8_length(texts), 0), np.int64))
+            while at < len(texts):
+                before = size[at - 1] if at else 0
+                n = max(1, int(np.searchsorted(size, before + BATCH_CHARS)) - at)
+                own = np.array(keys.slice(at, n).fill_null(0), np.int64)
+                ids, ends = sample(texts.slice(at, n).fill_null("").to_pylist(), own, lattices_of(path, alpha))
                 parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+                at += n
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode
