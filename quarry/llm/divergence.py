@@ -25,6 +25,7 @@ GUARD_WORDS = 100
 CHAR_DISTANCE = 0.30
 WORD_DISTANCE = 0.45
 
+VERDICT = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_char_distance", "_word_distance", "_kept")
 CLASSES = {
     "lower": r"\p{Ll}",
     "upper": r"\p{Lu}",
@@ -177,4 +178,7 @@ def judge(docs: DataFrame, lang_column: str = "lang", text_column: str = "text",
     words = distance(rest(F.col("_own"), F.size("_cores").cast("double")), rest(F.col("_ref_words"), F.col("_total").cast("double")))
     scored = scored.withColumn("_word_distance", F.when(F.col("_cores").isNotNull(), words))
     within = (F.coalesce("_char_distance", F.lit(0.0)) <= char_distance) & (F.coalesce("_word_distance", F.lit(0.0)) <= word_distance)
-    return scored.withColumn("_kept", ~F.col("_base_failed") & within).drop("_words", "_cores", "_own", "_ref_lang", "_total", "_ref_chars", "_common", "_ref_words")
+    scored = scored.withColumn("_kept", ~F.col("_base_failed") & within)
+    # A generator: a filter on the verdict stays above it, where all measures are computed once.
+    verdict = F.inline(F.array(F.struct(*[F.col(name) for name in VERDICT])))
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], verdict)

@@ -329,7 +329,10 @@ def further_pairs(groups: DataFrame, label: DataFrame, points: DataFrame, share:
     of two blocks each, so that no task holds more than two blocks.
     """
     labelled = groups.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
+    digest = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    open_ = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"), *digest).where("low <> high")
+    # Sets that are alike meet under many keys: keys with the same sets are looked at once.
+    open_ = open_.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
     rows = labelled.join(open_, "key").join(points, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiled = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "root", "n", "point")
@@ -371,3 +374,23 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     least = rooted.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(least, "root", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, share: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id.
+
+    Documents without words are all kept, as they are linked with nothing. Rows that repeat the id
+    and the text of another are reduced to one of them; of a component whose ids are all null one row stays.
+    """
+    found = stored(link(docs, id_column, text_column, words, share), "linked")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(broadcast_if_small(gone), F.col(id_column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    # Repeated rows are few: only they go through a grouping of whole rows.
+    key = [F.col(id_column).cast("long").alias("_i"), F.xxhash64(whole_text(text_column)).alias("_k")]
+    worded = docs.where(whole_text(text_column).rlike(r"[^\x20\x09-\x0D]"))
+    again = worded.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    marked = kept.join(
+        broadcast_if_small(again), F.col(id_column).cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(whole_text(text_column)) == F.col("_k")), "left"
+    )
+    once = marked.where("_k is not null").dropDuplicates(["_i", "_k"])
+    return marked.where("_k is null").unionByName(once).select(*[f"`{c}`" for c in docs.columns])

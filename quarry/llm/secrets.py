@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, whole_text
 from quarry.llm.spans import listed, of_kind, with_spans
+from quarry.session import broadcast_if_small
 
 # A value that so many owners hold is a copied example.
 COPIED_OWNERS = 3
@@ -125,3 +126,17 @@ def redacted(text: Column, marked: Column, mask: str = "[SECRET]") -> Column:
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     rest = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
     return F.when(F.size(marked) > 0, F.aggregate(marked, first, step, rest)).otherwise(text)
+
+
+def mask_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
+    """``docs`` with the text's secrets masked and ``n_chars``, where it exists, counted anew; no row is dropped."""
+    found = scan(docs, id_column, text_column, owner, repository).where(F.size("marked") > 0)
+    spans = F.transform("marked", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    found = found.groupBy(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")).agg(F.first(spans).alias("_spans"))
+    same = F.col(id_column).eqNullSafe(F.col("_i")) & (F.xxhash64(whole_text(text_column)) == F.col("_k"))
+    joined = docs.join(broadcast_if_small(found), same, "left")
+    masked = F.when(F.col("_spans").isNotNull(), redacted(F.col(text_column), F.col("_spans"))).otherwise(F.col(text_column))
+    changed = {text_column: masked}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length(masked).cast("long")).otherwise(F.col("n_chars"))
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
