@@ -123,8 +123,11 @@ def distance(p: Column, q: Column) -> Column:
         mean = (a + b) / 2
         return F.when(a > 0, a * F.log2(a / mean)).otherwise(0.0) + F.when(b > 0, b * F.log2(b / mean)).otherwise(0.0)
 
-    sums = total(F.zip_with(shares(p), shares(q), part))
-    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.lit(0.0), sums / 2)))
+    def both(x: Column) -> Column:
+        sums = total(F.zip_with(shares(x["p"]), shares(x["q"]), part))
+        return F.when((total(x["p"]) > 0) & (total(x["q"]) > 0), F.sqrt(F.greatest(F.lit(0.0), sums / 2)))
+
+    return _let(F.struct(p.alias("p"), q.alias("q")), both)
 
 
 def letter_words(text: Column) -> Column:
