@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stored
 
 # Bounds of the sample that the tree is fitted on and of the queries it is calibrated with.
-SAMPLE = 40_000
+SAMPLE = 20_000
 CALIBRATION = 200
 BRANCHES = 8
 LEAF = 384

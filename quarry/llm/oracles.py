@@ -54,3 +54,46 @@ def secrets_sql(copied_owners: int) -> str:
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
         sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
     FROM documents d LEFT JOIN listed l USING (doc_id)"""
+
+
+def divergence_sql(least_words: int, repeated: int, guard_chars: int, guard_words: int, reference_words: int, common: int, letters: int, chars: float, words: float) -> str:
+    classes = [r"\p{Ll}", r"\p{Lu}", r"[\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"\p{N}", r"[\p{Z}\x09-\x0D]", "[.,;:!?]"]
+    counted = ", ".join(f"length(t) - length(regexp_replace(t, '(?:{c})+', '', 'g'))" for c in classes)
+    jensen = "sqrt(greatest(0, sum(CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0 END) / 2))"
+    return rf"""WITH w AS (
+        SELECT doc_id, lang, coalesce(text, '') AS t,
+            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+        FROM documents),
+    windows AS (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (
+            SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3))),
+    repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE c > 1) GROUP BY doc_id),
+    base AS (
+        SELECT doc_id, lang, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+            length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+            coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN repeats r USING (doc_id)),
+    judged AS (SELECT *, n_words < {least_words} OR 100 * n_repeat_words > {repeated} * n_words AS base_failed FROM base),
+    classes AS (SELECT *, list_append(c, length(t) - list_sum(c)) AS k FROM (SELECT doc_id, lang, n_words, t, base_failed, [{counted}] AS c FROM judged)),
+    points AS (SELECT doc_id, lang, n_words, t, base_failed, unnest(range(1, len(k) + 1)) AS i, unnest(k) / length(t) AS a FROM classes WHERE length(t) > 0),
+    totals AS (SELECT lang, sum(n_words) AS total FROM judged WHERE n_words >= {guard_words} AND lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {reference_words}),
+    ref_chars AS (SELECT lang, i, avg(a) AS b FROM points JOIN totals USING (lang) WHERE n_words >= {guard_words} GROUP BY lang, i),
+    char_distance AS (
+        SELECT doc_id, {jensen} AS d FROM points JOIN ref_chars USING (lang, i) WHERE NOT base_failed AND length(t) >= {guard_chars} GROUP BY doc_id),
+    cores AS (SELECT doc_id, lang, n_words, base_failed, string_split_regex(lower(t), '[^\p{{L}}]+') AS c FROM judged WHERE n_words >= {guard_words}),
+    each AS (SELECT doc_id, lang, base_failed, unnest(c) AS word FROM cores),
+    best AS (
+        SELECT lang, word, count(*) AS n FROM each JOIN totals USING (lang) WHERE length(word) BETWEEN 1 AND {letters} GROUP BY lang, word
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= {common}),
+    own AS (SELECT doc_id, word, count(*) AS n FROM each GROUP BY doc_id, word),
+    shares AS (
+        SELECT c.doc_id, coalesce(o.n, 0) / len(c.c) AS a, b.n / t.total AS b
+        FROM cores c JOIN totals t USING (lang) JOIN best b USING (lang) LEFT JOIN own o ON o.doc_id = c.doc_id AND o.word = b.word WHERE NOT c.base_failed),
+    rest AS (SELECT * FROM shares UNION ALL SELECT doc_id, 1 - sum(a), 1 - sum(b) FROM shares GROUP BY doc_id),
+    word_distance AS (SELECT doc_id, {jensen} AS d FROM rest GROUP BY doc_id)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+        NOT base_failed AND coalesce(c.d, 0) <= {chars} AND coalesce(x.d, 0) <= {words} AS kept,
+        round(c.d, 4) AS char_distance, round(x.d, 4) AS word_distance
+    FROM judged LEFT JOIN char_distance c USING (doc_id) LEFT JOIN word_distance x USING (doc_id)"""

@@ -80,7 +80,13 @@ def op2_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
     judged = judge(table(spark, folder, "documents"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
-    return judged.select("doc_id", *[judged[f"_{name}"].alias(name) for name in names])
+    rounded = {"char_distance", "word_distance"}
+    return judged.select("doc_id", *[(F.round(f"_{n}", 4) if n in rounded else F.col(f"_{n}")).alias(n) for n in names])
+
+
+SQL["op2_quality_divergence"] = oracles.divergence_sql(
+    least_words=50, repeated=50, guard_chars=200, guard_words=100, reference_words=5_000, common=25, letters=5, chars=0.30, words=0.45
+)
 
 
 @_entry
