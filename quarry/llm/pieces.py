@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import process_cache, whole_text
 
 # Smoothing of the piece weights: 0 draws all segmentations alike, large values the best one.
 ALPHA = 0.6
-CACHED_SEGMENTS = 200_000
+CACHED_SEGMENTS = 120_000
 # Characters segmented together.
 BATCH_CHARS = 600_000
 CACHED_LENGTH = 64
@@ -248,60 +249,44 @@ def lattices_of(path: str, alpha: float) -> Lattices:
     return known[path, alpha]
 
 
-def encoder(path: str, alpha: float = ALPHA) -> Callable[[Column, Column], Column]:
-    """A function of (text, 64-bit row key) that gives sampled piece ids.
-
-    Null and empty texts have no pieces. Equal texts under equal keys are segmented alike, whatever
-    the partitioning; repeated rows with different keys may differ.
-    """
-
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, keys in batches:
-            parts, at = [], 0
-            size = np.cumsum(np.array(pc.fill_null(pc.utf8_length(texts), 0), np.int64))
-            while at < len(texts):
-                before = size[at - 1] if at else 0
-                n = max(1, int(np.searchsorted(size, before + BATCH_CHARS)) - at)
-                own = np.array(keys.slice(at, n).fill_null(0), np.int64)
-                ids, ends = sample(texts.slice(at, n).fill_null("").to_pylist(), own, lattices_of(path, alpha))
-                parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
-                at += n
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-
-    return encode
-
-
-def decoder(path: str) -> Callable[[Column], Column]:
-    """A function that gives the text of piece ids, also of ids that hold bytes; null for null."""
-
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            content = lattices_of(path, ALPHA).vocabulary.bytes_of
-            texts = [
-                None if ids is None else b"".join(map(content.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
-                for ids in (None if x is None else x.values for x in _lists(lists))
-            ]
-            yield pa.array(texts, pa.string())
-
-    return decode
-
-
-def _lists(lists: pa.Array) -> Iterator[pa.ListScalar | None]:
-    for x in lists:
-        yield x if x.is_valid else None
-
-
 def segment(
     docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", seed: int = 1, alpha: float = ALPHA
 ) -> DataFrame:
     """``doc_id``, ``text`` and ``pieces`` of every row, the pieces drawn with a key made of seed and id.
 
     A null text is empty and has no pieces; a null id is a key of its own. Repeated rows are
-    segmented alike. An empty table gives no rows; other columns are ignored. Texts of any length
-    are segmented whole.
+    segmented alike, whatever the partitioning. An empty table gives no rows; other columns are
+    ignored. Texts of any length are segmented whole.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_column))
-    read = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"), key.alias("_key"))
-    return read.select("doc_id", "text", encoder(path, alpha)(F.col("text"), F.col("_key")).alias("pieces"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, at = np.cumsum(np.array(pc.utf8_length(batch.column(1)), np.int64)), 0
+            while at < len(size):
+                before = size[at - 1] if at else 0
+                part = batch.slice(at, max(1, int(np.searchsorted(size, before + BATCH_CHARS)) - at))
+                ids, ends = sample(part.column(1).to_pylist(), np.array(part.column(2), np.int64), lattices_of(path, alpha))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.record_batch([part.column(0), part.column(1), lists], names=["doc_id", "text", "pieces"])
+                at += part.num_rows
+
+    read = docs.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text"), F.xxhash64(F.lit(seed), F.col(id_column)).alias("key"))
+    kind = read.schema["doc_id"].dataType.simpleString()
+    return read.mapInArrow(run, f"doc_id {kind}, text string, pieces array<int>")
+
+
+def decode(pieces: DataFrame, path: str, column: str = "pieces", into: str = "decoded") -> DataFrame:
+    """``pieces`` with the text of its piece ids, also of ids that hold bytes; null for null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        content = lattices_of(path, ALPHA).vocabulary.bytes_of
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [
+                    b"".join(map(content.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace")[1:] if ids.is_valid else None
+                    for ids in part.column(column)
+                ]
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
+
+    return pieces.mapInArrow(run, T.StructType([*pieces.schema.fields, T.StructField(into, T.StringType())]))

@@ -91,11 +91,10 @@ SQL["op2_quality_divergence"] = oracles.divergence_sql(
 
 @_entry
 def op4_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    from quarry.llm.pieces import decoder, segment
+    from quarry.llm.pieces import decode, segment
 
     path = vocabulary("piece_bpe_32k.model")
-    pieces = segment(table(spark, folder, "documents"), path)
-    back = pieces.withColumn("back", decoder(path)(F.col("pieces")))
+    back = decode(segment(table(spark, folder, "documents"), path), path, into="back")
     return back.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"),
         F.xxhash64("pieces").alias("pieces_hash"), (F.col("back") == F.col("text")).alias("lossless"),
