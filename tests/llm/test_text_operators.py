@@ -100,7 +100,7 @@ def test_pieces_are_lossless_and_reproducible(hard, empty):
 
     path = vocabulary("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = pieces.segment(hard, path).withColumn("back", pieces.decoder(path)("pieces"))
+    found = pieces.decode(pieces.segment(hard, path), path, into="back")
     rows = found.collect()
     assert len(rows) == len(HARD) + 4 and all(r["back"] == r["text"] for r in rows)
     again = {(r["doc_id"], tuple(r["pieces"])) for r in pieces.segment(hard.repartition(3), path).collect()}
