@@ -279,12 +279,8 @@ def extract_page_meta(spark, folder):
 
 REDACTED = {}
 _text = "text"
-for _label, _pattern in (
-    ("EMAIL", r"\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"),
-    ("PHONE", r"\b(?:\+?84|0)(?:\d[\s.-]?){8,10}\b"),
-    ("TAX_ID", r"\b\d{10}(?:-\d{3})?\b"),
-    ("ID", r"\b\d{9}\b|\b\d{12}\b"),
-):
+for _name, _pattern in privacy.PATTERNS:
+    _label = _name.strip("[]")
     REDACTED[_label] = (f"len(regexp_extract_all({_text}, '{_pattern}'))", f"regexp_replace({_text}, '{_pattern}', '[{_label}]', 'g')")
     _text = REDACTED[_label][1]
 REDACTED_TEXT = _text

@@ -21,6 +21,7 @@ SHOWN_FORMATS = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
 )
+# Fixed value: how a date in ISO form begins.
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
 _OFFSET = r"(?:Z|[+-]\d{2}:?\d{2})$"
 _ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -69,3 +70,8 @@ def crawled_partition(crawled_at: Column, fallback: Column) -> tuple[Column, Col
     )
     date = F.when(valid, F.try_to_date(day, "yyyy-MM-dd")).otherwise(F.to_date(fallback))
     return F.year(date), F.month(date)
+
+
+def crawl_instant(crawled_at: Column) -> Column:
+    """The moment of an ISO time with its offset, UTC without one; null for anything else."""
+    return F.when(F.trim(crawled_at).rlike(_ISO_SHAPE), F.try_to_timestamp(F.trim(crawled_at)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -25,11 +26,12 @@ VOID = {
 }
 # Elements that form an article block.
 BLOCKS = ("h2", "h3", "p", "blockquote", "li")
-# Class lists looked up for page metadata, first match wins.
-AUTHOR_SELECTORS = (("author",), ("post-author",), ("author-name",), ("post-meta", "author"))
-REF_SELECTORS = (("legal-ref",), ("ref-list",), ("refs",), ("post-meta", "refs"))
-TAG_SELECTORS = (("tags", "<a>"), ("tag-list", "<a>"), ("post-tags", "<a>"))
-DATE_SELECTORS = (("small.text-muted.text-nowrap.ms-auto",), ("news-time",))
+# Selectors looked up for page metadata, first match wins.
+AUTHOR_SELECTORS = (".author", ".post-author", ".author-name", ".post-meta .author")
+REF_SELECTORS = (".legal-ref", ".ref-list", ".refs", ".post-meta .refs")
+TAG_SELECTORS = (".tags a", ".tag-list a", ".post-tags a")
+DATE_SELECTORS = ("span.small.text-muted.text-nowrap.ms-auto", "span.news-time")
+VIEW_SELECTOR = ".views"
 
 
 PAGE_META = T.StructType(
@@ -66,33 +68,44 @@ class _Page(HTMLParser):
     """Elements in document order, each with the text nodes below it.
 
     End tags close everything down to their start tag; elements are never
-    closed by a sibling, so an unclosed ``p`` holds what follows it.
+    closed by a sibling, so an unclosed ``p`` holds what follows it. With
+    ``root_only`` texts go to the root alone, in time linear in the page.
     """
 
-    def __init__(self):
+    def __init__(self, root_only: bool = False):
         super().__init__(convert_charrefs=False)
         self.root = _Node("", {}, None)
+        self.root_only = root_only
         self.nodes = []
         self.open = [self.root]
+        self.open_tags = Counter()
         self.pending = []
 
+    @property
+    def silent(self) -> bool:
+        return any(self.open_tags[tag] for tag in SILENT)
+
     def handle_starttag(self, tag, attrs):
         self._text_done()
         node = _Node(tag, dict(attrs), self.open[-1])
         self.nodes.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self.open_tags[self.open.pop().tag] -= 1
 
     def handle_endtag(self, tag):
         self._text_done()
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
+        if not self.open_tags[tag]:
+            return
+        while True:
+            closed = self.open.pop().tag
+            self.open_tags[closed] -= 1
+            if closed == tag:
                 break
 
     def handle_data(self, data):
@@ -125,17 +138,17 @@ class _Page(HTMLParser):
             return
         text = "".join(self.pending)
         self.pending = []
-        if any(node.tag in SILENT for node in self.open):
+        if self.silent:
             return
-        for node in self.open:
+        for node in self.open[:1] if self.root_only else self.open:
             node.texts.append(text)
 
     def within(self, root):
         return [n for n in self.nodes if root in n.ancestors()]
 
 
-def _parse(markup: str) -> _Page:
-    page = _Page()
+def _parse(markup: str, root_only: bool = False) -> _Page:
+    page = _Page(root_only)
     page.feed(markup)
     page.close()
     page._text_done()
@@ -148,7 +161,7 @@ def _flat(node: _Node) -> str:
 
 def visible_text(markup: str) -> str:
     """Text nodes joined by blanks, NFC, white space collapsed."""
-    text = unicodedata.normalize("NFC", " ".join(_parse(markup).root.texts))
+    text = unicodedata.normalize("NFC", " ".join(_parse(markup, root_only=True).root.texts))
     return " ".join(text.split())
 
 
@@ -188,19 +201,16 @@ def extract_article(markup: Column, body_tag: str = "section", body_id: str | No
     return run(markup)
 
 
-def _step(node: _Node, step: str) -> bool:
-    if step.startswith("<"):
-        return node.tag == step.strip("<>")
-    return set(step.split(".")) <= node.classes()
+def _fits(node: _Node, compound: str) -> bool:
+    """Whether a node has the tag and all classes of a compound such as ``span.a.b``."""
+    tag, *classes = compound.split(".")
+    return tag in ("", node.tag) and set(classes) <= node.classes()
 
 
-def _select(nodes: list[_Node], path: tuple[str, ...]) -> list[_Node]:
-    *outer, last = path
-    return [
-        n
-        for n in nodes
-        if _step(n, last) and all(any(_step(a, step) for a in n.ancestors()) for step in outer)
-    ]
+def _select(nodes: list[_Node], selector: str) -> list[_Node]:
+    """Nodes that fit the last compound of a selector and lie below nodes that fit the others."""
+    *outer, last = selector.split()
+    return [n for n in nodes if _fits(n, last) and all(any(_fits(a, part) for a in n.ancestors()) for part in outer)]
 
 
 def _lines(node: _Node) -> str:
@@ -212,19 +222,18 @@ def page_meta(markup: str) -> dict:
     first = next((n for n in page.nodes if n.tag == "article"), None)
     inner = page.within(first) if first else page.nodes
 
-    def found(path):
-        return _select(inner, path) or _select(page.nodes, path)
+    def found(selector):
+        return _select(inner, selector) or _select(page.nodes, selector)
 
-    def first_text(paths):
-        return next((_lines(hits[0]) for hits in map(found, paths) if hits), "")
+    def first_text(selectors):
+        return next((_lines(hits[0]) for hits in map(found, selectors) if hits), "")
 
-    def all_texts(paths):
-        return [t for path in paths for t in map(_lines, found(path)) if t]
+    def all_texts(selectors):
+        return [t for selector in selectors for t in map(_lines, found(selector)) if t]
 
-    views = found(("views",))
+    views = found(VIEW_SELECTOR)
     digits = re.search(r"\d[\d,]*", _lines(views[0])) if views else None
-    spans = [n for n in page.nodes if n.tag == "span"]
-    shown = next((hits[0] for hits in (_select(spans, p) for p in DATE_SELECTORS) if hits), None)
+    shown = next((hits[0] for hits in (_select(page.nodes, s) for s in DATE_SELECTORS) if hits), None)
     return {
         "author": first_text(AUTHOR_SELECTORS),
         "legal_refs": all_texts(REF_SELECTORS),

@@ -90,8 +90,14 @@ def serving_view(batch: DataFrame, speed: DataFrame) -> DataFrame:
     return batch.unionByName(newest.join(shared, "chunk_id", "left_anti"))
 
 
-def upsert_csv_rows(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows by id, incoming over existing, newest published date first."""
+def upsert_csv_rows(existing: DataFrame, incoming: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Rows by id, incoming over existing, newest published date first.
+
+    Of incoming rows with one id the last stays: the largest value of the column ``arrival``, which
+    is dropped, or without one the newest published date.
+    """
     fresh = incoming.filter(F.coalesce("id", F.lit("")) != "")
+    others = [F.desc(c) for c in existing.columns if c != "id"]
+    fresh = last_per_key(fresh, ["id"], [F.desc(arrival or "published_date"), *others]).select(*existing.columns)
     kept = existing.filter(F.coalesce("id", F.lit("")) != "").join(fresh.select("id"), "id", "left_anti")
     return kept.unionByName(fresh).orderBy(F.desc("published_date"), "id")

@@ -1,8 +1,9 @@
 """The chunk index as parquet: batches of chunks and of deletions.
 
 A batch is one partition. Writing a batch again replaces that partition, so a
-replayed micro-batch changes nothing, and the cost of a write follows the
-batch, not the index. Deletions are rows that hide older chunks; ``compact``
+replayed micro-batch changes nothing. A write compares its chunk ids with those
+of the index, one narrow column, and hides older rows of the same chunk, so that
+a chunk is read once. Deletions are rows that hide older chunks; ``compact``
 writes what is left into a new generation, which readers use once its success
 marker exists.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from quarry.operators.index import distinct_ids
 from quarry.schemas import AUDIT, INDEX
+from quarry.session import broadcast_if_small
 from quarry.sources.storage import child_names, exists, read_if_present
 
 _BATCH = T.StructField("batch", T.StringType())
@@ -22,6 +24,9 @@ STORED = T.StructType([*INDEX.fields, T.StructField("written_at", T.TimestampTyp
 DELETED = T.StructType(
     [T.StructField("doc_id", T.StringType()), T.StructField("deleted_at", T.TimestampType()), _BATCH]
 )
+REPLACED = T.StructType(
+    [T.StructField("chunk_id", T.StringType()), T.StructField("replaced_at", T.TimestampType()), _BATCH]
+)
 VERSION = T.StructType([T.StructField("ts", T.TimestampType()), _BATCH])
 
 
@@ -58,20 +63,37 @@ def read_index(spark: SparkSession, root: str, without_batch: str | None = None)
             .agg(F.max("deleted_at").alias("_deleted_at"))
         )
         hidden = (F.col("doc_id") == F.col("_doc")) & (F.col("written_at") < F.col("_deleted_at"))
-        chunks = chunks.join(gone, hidden, "left_anti")
+        chunks = chunks.join(broadcast_if_small(gone), hidden, "left_anti")
+    if exists(spark, f"{current}/replaced"):
+        older = (
+            read_if_present(spark, f"{current}/replaced", REPLACED)
+            .groupBy(F.col("chunk_id").alias("_chunk"))
+            .agg(F.max(F.struct("replaced_at", "batch")).alias("_newest"))
+        )
+        # Of the rows of a chunk the one that was written last stays.
+        hidden = (F.col("chunk_id") == F.col("_chunk")) & (F.struct("written_at", "batch") < F.col("_newest"))
+        chunks = chunks.join(broadcast_if_small(older), hidden, "left_anti")
     return chunks.select(*INDEX.names)
 
 
 def append_batch(chunks: DataFrame, root: str, batch: str, now: Column | None = None) -> int:
-    """Write a batch of chunks with distinct chunk ids; returns the row count."""
+    """Put a batch of chunks into the index by chunk id; returns the row count.
+
+    Where another batch holds a chunk id already, a row that hides it goes with the batch: chunk
+    ids alone are compared, contents are neither read nor moved. Of a chunk that comes repeatedly in the
+    batch one row is written.
+    """
     spark = chunks.sparkSession
-    rows = chunks.select(
-        *[F.col(f.name).cast(f.dataType) for f in INDEX.fields],
-        (F.current_timestamp() if now is None else now).alias("written_at"),
-    )
-    path = f"{_current(spark, root)}/chunks"
-    _put(rows, path, batch)
-    return read_if_present(spark, path, STORED).filter(F.col("batch") == batch).count()
+    stamp = F.current_timestamp() if now is None else now
+    current = _current(spark, root)
+    path = f"{current}/chunks"
+    known = read_if_present(spark, path, STORED).filter(F.col("batch") != batch).select("chunk_id")
+    rows = chunks.select(*[F.col(f.name).cast(f.dataType) for f in INDEX.fields], stamp.alias("written_at"))
+    _put(rows.dropDuplicates(["chunk_id"]), path, batch)
+    written = read_if_present(spark, path, STORED).filter(F.col("batch") == batch)
+    again = written.select("chunk_id", F.col("written_at").alias("replaced_at")).join(known, "chunk_id", "left_semi")
+    _put(again, f"{current}/replaced", batch)
+    return written.count()
 
 
 def delete_docs(ids: DataFrame, root: str, batch: str, now: Column | None = None) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.dates import crawled_partition
+from quarry.functions.dates import crawl_instant, crawled_partition
 from quarry.operators.index import last_per_key
 from quarry.operators.normalize import reject_reason
 from quarry.schemas import GOLD, RAW, RAW_FIELDS
@@ -100,6 +100,11 @@ def master_rows(docs: DataFrame, fallback: Column) -> tuple[DataFrame, DataFrame
     return good.withColumn("year", year).withColumn("month", month), checked.filter("reason is not null")
 
 
+def _newest_first() -> list[Column]:
+    """Order of crawls by their moment; unreadable times are older than all others."""
+    return [F.desc_nulls_last(crawl_instant(F.col("crawled_at"))), F.desc("crawled_at")]
+
+
 def write_master(docs: DataFrame, path: str, batch: str, fallback: Column) -> None:
     """Append a batch of documents below ``year/month``.
 
@@ -107,7 +112,7 @@ def write_master(docs: DataFrame, path: str, batch: str, fallback: Column) -> No
     nothing and no earlier month has to be rewritten.
     """
     rows, rejects = master_rows(docs, fallback)
-    newest = last_per_key(rows, ["year", "month", "id"], [F.desc("crawled_at")])
+    newest = last_per_key(rows, ["year", "month", "id"], _newest_first())
     _write_batch(newest, f"{path}/documents", ["year", "month", "batch"], batch)
     _write_batch(rejects, f"{path}/rejects", ["batch"], batch)
 
@@ -138,9 +143,8 @@ def read_master(spark: SparkSession, path: str, all_versions: bool = False) -> D
         ]
     )
     rows = read_if_present(spark, f"{path}/documents", stored)
-    newest = [F.desc("crawled_at"), F.desc("batch")]
     keys = ["year", "month", "id"] if all_versions else ["id"]
-    order = [F.desc("batch"), F.desc("crawled_at")] if all_versions else newest
+    order = [F.desc("batch"), *_newest_first()] if all_versions else [*_newest_first(), F.desc("batch")]
     return last_per_key(rows, keys, order).drop("batch")
 
 

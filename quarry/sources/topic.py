@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.schemas import RAW, RAW_FIELDS
 
-# Fixed value: records per trigger.
-MAX_OFFSETS = 3
-
-
 def to_records(docs: DataFrame) -> DataFrame:
     """``key, value`` as bytes; nulls stay in the JSON, letters stay as they are."""
     value = F.to_json(F.struct(*RAW_FIELDS), {"ignoreNullFields": "false"})
@@ -25,17 +21,29 @@ def from_records(records: DataFrame) -> DataFrame:
     return records.select(parsed.alias("data")).select("data.*")
 
 
-def read_topic(spark: SparkSession, servers: str, topic: str, max_offsets: int = MAX_OFFSETS) -> DataFrame:
-    """Stream of documents from the earliest record on."""
-    records = (
+def rejected_records(records: DataFrame) -> DataFrame:
+    """``key``, ``value`` and ``reason`` of the records whose value is no JSON object, with what they held."""
+    text = F.col("value").cast("string")
+    seen = F.try_parse_json(text)
+    reason = (
+        F.when(text.isNull(), "no value")
+        .when(seen.isNull(), "not JSON")
+        .when(~F.schema_of_variant(seen).startswith("OBJECT"), "no object")
+    )
+    return records.select(F.col("key").cast("string").alias("key"), text.alias("value"), reason.alias("reason")).where("reason is not null")
+
+
+def read_topic(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None) -> DataFrame:
+    """Stream of documents from the earliest record on; ``max_offsets`` bounds a trigger, by default nothing does."""
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", max_offsets)
-        .load()
     )
-    return from_records(records)
+    if max_offsets is not None:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
+    return from_records(reader.load())
 
 
 def publish(docs: DataFrame, servers: str, topic: str, checkpoint: str | None = None):

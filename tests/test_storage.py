@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import index
 from quarry.plans.batch import rebuild
 from quarry.schemas import RAW, RAW_FIELDS
 from quarry.sources import chunk_table, files, topic
@@ -184,3 +185,34 @@ def test_cache_stream(spark, folder):
         query.awaitTermination()
     got = {r["id"]: r["cache_hit"] for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {0: False, 1: True, 2: False, 3: False, 4: False, 5: True, 6: True}
+
+
+def test_master_orders_by_moment(spark, folder):
+    fallback = F.lit("2024-09-09").cast("timestamp")
+    files.write_master(docs(spark, [1, 2], "good", "2024-07-02T05:00:00Z"), folder, "b1", fallback)
+    # Later as text, but two hours earlier; and no time at all.
+    files.write_master(docs(spark, [1], "shifted", "2024-07-02T10:00:00+07:00"), folder, "b2", fallback)
+    files.write_master(docs(spark, [2], "broken", "https://x/y"), folder, "b3", fallback)
+    assert all("good" in r["content"] for r in files.read_master(spark, folder).collect())
+
+
+def test_index_holds_a_chunk_once(spark, folder):
+    rows = docs(spark, [1, 2], "t" * 60).withColumn("id", F.when(F.col("id") == "1", F.col("id")))
+    for stamp, forced in (("a", False), ("b", False), ("c", True)):
+        rebuild(rows, folder, stamp, force=forced)
+    ids = [r["chunk_id"] for r in chunk_table.read_index(spark, folder).collect()]
+    assert ids and len(ids) == len(set(ids))
+
+
+def test_incoming_rows_repeat(spark):
+    schema = "id string, title string, published_date string"
+    old = spark.createDataFrame([("1", "old", "2024"), ("2", "kept", "2023")], schema)
+    new = spark.createDataFrame([("1", "a", "2025", 1), ("1", "b", "2025", 2), ("", "no id", "2025", 3)], schema + ", n int")
+    rows = index.upsert_csv_rows(old, new, arrival="n").collect()
+    assert [tuple(r) for r in rows] == [("1", "b", "2025"), ("2", "kept", "2023")]
+
+
+def test_rejected_records_keep_their_value(spark):
+    rows = [(b"k", b'{"id": "1"}'), (b"k", b"no json"), (b"k", b"[1]"), (b"k", None)]
+    found = topic.rejected_records(spark.createDataFrame(rows, "key binary, value binary")).collect()
+    assert {(r["value"], r["reason"]) for r in found} == {("no json", "not JSON"), ("[1]", "no object"), (None, "no value")}

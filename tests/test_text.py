@@ -14,29 +14,6 @@ def apply(spark, function, values, *more):
     return [r["out"] for r in rows.select("i", function(F.col("v"), *more).alias("out")).orderBy("i").collect()]
 
 
-def chunks_by_hand(value, limit, overlap):
-    """Greedy packing, written as a plain loop."""
-    if not value:
-        return []
-    if len(value) < 50:
-        return [value]
-    out, held, size = [], None, 0
-    for s in filter(None, (p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", value))):
-        if len(s) > limit:
-            out += [held] if held is not None else []
-            out += [s[i : i + limit].strip() for i in range(0, len(s), limit - overlap)]
-            held, size = None, 0
-            continue
-        joined = len(s) if held is None else size + 1 + len(s)
-        if joined <= limit:
-            held, size = s if held is None else held + " " + s, joined
-        else:
-            tail = held[-overlap:] if overlap else ""
-            out.append(held)
-            held, size = (tail + " " + s if overlap else s), len(tail) + 1 + len(s)
-    return out + ([held] if held is not None else [])
-
-
 def test_clean_text_literal_cases(spark):
     given = [
         "<p>A    B\n\n\nC</p>", "", None, "<b>Điều 1.</b><i>Nhà nước</i>", "Vie\u0302\u0323t", "Việt",
@@ -60,23 +37,36 @@ def test_split_sentences(spark):
     ]
 
 
-def test_chunk_text_literal_cases(spark):
-    assert apply(spark, text.chunk_text, ["Câu ngắn.", "", None]) == [["Câu ngắn."], [], []]
-    long = ". ".join(f"Câu số {i} này là một câu dài đủ để phân đoạn" for i in range(200))
-    parts = apply(spark, text.chunk_text, [long], 500, 50)[0]
-    assert len(parts) > 1 and max(map(len, parts)) <= 550
-    assert list(map(len, apply(spark, text.chunk_text, ["a" * 3000])[0])) == [1000, 1000, 1000, 300]
-    articles = "Điều 1. Quy định A. Điều 2. Quy định B. Điều 3. Quy định C."
-    joined = " ".join(apply(spark, text.chunk_text, [articles], 200)[0])
-    assert all(f"Điều {n}" in joined for n in (1, 2, 3))
+def test_chunk_text_short_and_long(spark):
+    assert apply(spark, text.chunk_text, ["Một dòng.", "", None]) == [["Một dòng."], [], []]
+    numbered = "".join(f"{i:05d}" for i in range(600))
+    windows = apply(spark, text.chunk_text, [numbered])[0]
+    # A sentence over the limit: windows of the limit, each 900 characters after the one before.
+    assert [numbered.index(w) for w in windows] == [0, 900, 1800, 2700] and windows[-1] == numbered[2700:]
 
 
-@pytest.mark.parametrize("limit,overlap", [(1000, 100), (80, 10), (60, 0), (30, 29)])
-def test_chunk_text_against_a_plain_loop(spark, limit, overlap):
+@pytest.mark.parametrize("limit,overlap", [(1000, 100), (80, 10), (60, 0), (45, 29)])
+def test_chunk_borders(spark, limit, overlap):
+    """Without carried tails the chunks are the sentences in order, and no chunk had room for one more."""
     draw = random.Random(limit)
-    words = ["đất", "law", "a", "house.", "why?", "end!", "x" * 40, "\n", "một", "z" * 130, "ok.\n\n"]
-    values = [" ".join(draw.choices(words, k=draw.randint(1, 120))) for _ in range(150)]
-    assert apply(spark, text.chunk_text, values, limit, overlap) == [chunks_by_hand(v, limit, overlap) for v in values]
+    words = ["đất", "law", "a", "house.", "why?", "end!", "x" * 20, "\n", "một", "ok.\n\n"]
+    values = [v for v in (" ".join(draw.choices(words, k=draw.randint(1, 120))) for _ in range(150)) if len(v) >= 50]
+    cut = apply(spark, text.split_sentences, values)
+    for sentences, parts in zip(cut, apply(spark, text.chunk_text, values, limit, overlap), strict=True):
+        if max(map(len, sentences)) > limit:
+            continue
+        at, before = 0, ""
+        for part in parts:
+            carried = before[-overlap:] + " " if before and overlap else ""
+            assert part.startswith(carried)
+            body, first = part[len(carried) :], at
+            while at < len(sentences) and len(" ".join(sentences[first:at])) < len(body):
+                at += 1
+            assert " ".join(sentences[first:at]) == body and at > first
+            if at < len(sentences):
+                assert len(part) + 1 + len(sentences[at]) > limit
+            before = part
+        assert at == len(sentences)
 
 
 def test_chunk_text_bound_and_coverage(spark):
