@@ -19,9 +19,9 @@ CAPACITY = 4096
 # Windows balanced together, and tokens by which their mean stays below the
 # capacity, so that near-equal windows fit.
 WINDOWS = 64
-SLACK = 12
+SLACK = 16
 # Longest piece that goes into a pool: short ones leave differencing room to level out.
-PIECE = 512
+PIECE = 384
 CACHED_CHUNKS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
