@@ -37,12 +37,14 @@ def answer_cache_replay(
     if invalidations is not None:
         timed = _with_epoch(timed, invalidations)
     sizes = timed.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
-    large = durable(sizes.filter(F.col("_size") > rows_per_key).select("key"))
-    small = _replay_small(timed.join(large, "key", "left_anti"), ttl * 1_000_000)
+    large = durable(sizes.filter(F.col("_size") > rows_per_key).select(F.col("key").alias("_large")))
+    # A null key is a key like any other.
+    same = F.col("key").eqNullSafe(F.col("_large"))
+    small = _replay_small(timed.join(large, same, "left_anti"), ttl * 1_000_000)
     columns = [*requests.columns, "cache_hit", "answer_set"]
     if large.isEmpty():
         return small.select(*columns)
-    rest = _replay_large(timed.join(large, "key", "left_semi"), ttl * 1_000_000)
+    rest = _replay_large(timed.join(large, same, "left_semi"), ttl * 1_000_000)
     return small.select(*columns).unionByName(rest.select(*columns))
 
 

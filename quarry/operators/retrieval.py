@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -149,15 +150,18 @@ def bm25_candidates(
     ``limit`` question terms, with their frequencies in the corpus, are sent to
     all tasks. A task adds up the scores of a batch of rows in a matrix and
     emits its best ``k`` per query: neither the tokens nor the many rows that
-    share only a common term with a question are ever shuffled. More terms
-    than ``limit`` score every pair by joins.
+    share only a common term with a question are ever shuffled. Questions with
+    more terms than ``limit`` are dealt into blocks, each with a scan of its own, so
+    that the output is bounded alike for any number of questions.
     """
     boosts = boosts or FIELD_BOOSTS
     fields = list(boosts)
     spark = index.sparkSession
     asked = query_terms(queries).limit(limit + 1).toPandas()
     if len(asked) > limit:
-        return bm25_match(index, queries, boosts, key)
+        if asked["query_id"].nunique() > 1 or queries.select("query_id").distinct().count() > 1:
+            return _in_blocks(index, queries, k, boosts, key, also, limit)
+        asked = query_terms(queries).toPandas()  # the terms of one question
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query_id"].dataType),
@@ -188,6 +192,20 @@ def bm25_candidates(
     return rows.mapInPandas(scan, schema)
 
 
+def _in_blocks(
+    index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float], key: str, also: DataFrame | None, limit: int
+) -> DataFrame:
+    """``bm25_candidates`` of blocks of questions, about half as many terms in each as may be sent.
+
+    Blocks that come out larger are dealt again, by another hash.
+    """
+    total = query_terms(queries).count()
+    blocks = 2 * -(-total // limit)
+    block = F.pmod(F.xxhash64("query_id", F.lit(total)), F.lit(blocks))
+    parts = [bm25_candidates(index, queries.filter(block == b), k, boosts, key, also, limit) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _field_weights(index: DataFrame, boosts: dict[str, float], names: list[str]) -> dict[str, tuple[np.ndarray, float]]:
     """Boosted idf of each term and mean length, per field.
 

@@ -192,6 +192,8 @@ def test_candidates_hold_the_best_and_the_wanted(spark, limit, monkeypatch):
     wanted = spark.createDataFrame([(0, "c001"), (1, "c001"), (5, "c149"), (77, "c002")], "query_id long, chunk_id string")
     found = retrieval.bm25_candidates(index, queries, 4, also=wanted, limit=limit)
     got = {(r["query_id"], r["chunk_id"]): r["score"] for r in found.collect()}
+    # At most k a question and batch, whatever the limit, besides the wanted pairs.
+    assert len(got) < len(every) and found.count() <= 4 * 6 * 3 * 5 + 3
     assert all(got[pair] == pytest.approx(every[pair]) for pair in got)
     assert {p for p in [(0, "c001"), (1, "c001"), (5, "c149")] if p in every} <= set(got)
     assert rows(retrieval.topk_per_query(found, 4), "query_id", "rank") == rows(best, "query_id", "rank")
