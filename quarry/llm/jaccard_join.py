@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stored, whole_text
 from quarry.session import broadcast_if_small
 
-# Coordinates of a point, points of an R-tree leaf, rows that one tile of a group holds.
+# Fewest coordinates of a point (a set of more elements has one for every one or two of them), points
+# of an R-tree leaf, rows that one tile of a group holds.
 COORDINATES = 64
 LEAF = 16
 TILE = 256
@@ -124,8 +125,18 @@ class Scheme:
         return np.concatenate(found).view(np.int64)
 
 
-def point(own: np.ndarray) -> np.ndarray:
-    return np.bincount((own & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype(np.int32)
+def point(own: np.ndarray) -> bytes:
+    """Count vector of a set: a power of two of coordinates, as many as keep its counts in a byte."""
+    size = max(COORDINATES, 1 << (len(own) // 2).bit_length())
+    while (counts := np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size)).max() > 255:
+        size *= 2
+    return counts.astype(np.uint8).tobytes()
+
+
+def folded(points: list[bytes]) -> np.ndarray:
+    """Points as rows of a matrix, added up to the fewest coordinates that one of them has."""
+    size = min(map(len, points))
+    return np.array([np.frombuffer(p, np.uint8).reshape(-1, size).sum(0, dtype=np.int32) for p in points])
 
 
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, class_of: np.ndarray, share: int) -> list[tuple[int, int]]:
@@ -163,7 +174,7 @@ def members(docs: DataFrame, id_column: str, text_column: str, words: int) -> Da
                     own = shingles(text.as_py(), words)
                     sizes.append(len(own))
                     nodes.append(identity(own) if len(own) else None)
-                    points.append(point(own).tobytes() if len(own) else None)
+                    points.append(point(own) if len(own) else None)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "text_key", "n", "node", "point"])
 
     return _read(docs, id_column, text_column).mapInArrow(run, "doc_id long, text_key long, n long, node long, point binary")
@@ -339,7 +350,7 @@ def further_pairs(groups: DataFrame, label: DataFrame, points: DataFrame, share:
 
     def join(_: tuple, table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, COORDINATES)
+        points = folded(table.column("point").to_pylist())
         found = tree_pairs(points, table.column("n").to_numpy(), table.column("root").to_numpy(), share)
         left, right = (nodes[[p[i] for p in found]] if found else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"u": np.minimum(left, right), "v": np.maximum(left, right)})
