@@ -26,13 +26,14 @@ CHAR_DISTANCE = 0.30
 WORD_DISTANCE = 0.45
 
 VERDICT = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_char_distance", "_word_distance", "_kept")
+# Classes are taken out one after the other, the most frequent first, so that each pass reads less.
 CLASSES = {
     "lower": r"\p{Ll}",
-    "upper": r"\p{Lu}",
-    "letter": r"[\p{Lt}\p{Lm}\p{Lo}\p{M}]",
-    "digit": r"\p{N}",
     "blank": r"[\p{Z}\x09-\x0D]",
+    "upper": r"\p{Lu}",
     "stop": r"[.,;:!?]",
+    "digit": r"\p{N}",
+    "letter": r"[\p{Lt}\p{Lm}\p{Lo}\p{M}]",
 }
 
 
@@ -107,9 +108,28 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 def class_counts(text: Column) -> Column:
     """Code points of each character class, in the order of ``CLASSES``; then of all others."""
-    size = F.length(text)
-    counts = F.array(*[(size - F.length(F.regexp_replace(text, f"(?:{pattern})++", ""))).cast("double") for pattern in CLASSES.values()])
-    return _let(counts, lambda c: F.concat(c, F.array(size.cast("double") - F.aggregate(c, F.lit(0.0), lambda s, x: s + x))))
+
+    def rest(left: Column, patterns: list[str], counts: list[Column]) -> Column:
+        if not patterns:
+            return F.array(*counts, F.length(left).cast("double"))
+        size = F.length(left)
+        return _let(
+            F.regexp_replace(left, f"(?:{patterns[0]})++", ""),
+            lambda after: rest(after, patterns[1:], [*counts, (size - F.length(after)).cast("double")]),
+        )
+
+    return rest(text, list(CLASSES.values()), [])
+
+
+def occurrences(words: Column, asked: Column) -> Column:
+    """How often each of ``asked`` is among ``words``, none of which holds a blank: by what its removal saves."""
+    line = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+
+    def count(text: Column) -> Column:
+        saved = lambda w: F.octet_length(text) - F.octet_length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
+        return F.transform(asked, lambda w: saved(w).cast("double") / (F.octet_length(w) + 2))
+
+    return _let(line, count)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -174,7 +194,7 @@ def judge(docs: DataFrame, lang_column: str = "lang", text_column: str = "text",
     text = whole_text(text_column)
     chars = F.when((F.length(text) >= GUARD_CHARS) & F.col("_ref_lang").isNotNull() & ~F.col("_base_failed"), distance(class_counts(text), F.col("_ref_chars")))
     scored = scored.withColumn("_cores", F.when((F.col("_n_words") >= GUARD_WORDS) & F.col("_ref_lang").isNotNull() & ~F.col("_base_failed"), letter_words(text)))
-    own = F.transform("_common", lambda w: (F.size("_cores") - F.size(F.array_remove(F.col("_cores"), w))).cast("double"))
+    own = F.when(F.col("_cores").isNotNull(), occurrences(F.col("_cores"), F.col("_common")))
     # All other words make up the last bin of both histograms.
     rest = lambda counts, total: F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)))
     scored = scored.withColumn("_own", own).withColumn("_char_distance", chars)
