@@ -126,14 +126,14 @@ def upsert_chunk_index(spark, folder):
     return index.upsert_chunks(chunks_v(spark, folder), incoming).select("doc_id", "chunk_no", "category", "chunk_id")
 
 
-# The same documents come shortened to their title: their old chunks go.
+# The same documents come with their title as content: their old chunks go.
 @entry(
     "replace_documents",
     sql(
         """SELECT doc_id, chunk_id, length(chunk_text) AS characters FROM chunks_v
             WHERE doc_id NOT IN (SELECT id FROM labelled_v WHERE quality = 1)
         UNION ALL SELECT id, id || '_' || substr(md5(id || ':' || t), 1, 12), length(t) FROM (
-            SELECT id, trim(regexp_replace(substr(title, 1, 40), '\\s+', ' ', 'g')) AS t FROM docs_v
+            SELECT id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t FROM docs_v
             WHERE id IN (SELECT id FROM labelled_v WHERE quality = 1)) WHERE t <> ''""",
         "chunks_v",
         "labelled_v",
@@ -141,7 +141,7 @@ def upsert_chunk_index(spark, folder):
 )
 def replace_documents(spark, folder):
     again = spread(docs_v(spark, folder)).join(good_ids(spark, folder), "id", "left_semi")
-    incoming = document_chunks(again.withColumn("content", F.substring("title", 1, 40)))
+    incoming = document_chunks(again.withColumn("content", F.col("title")))
     replaced = index.replace_documents(chunks_v(spark, folder), incoming)
     return replaced.select("doc_id", "chunk_id", F.length("chunk_text").cast("long").alias("characters"))
 
@@ -312,8 +312,10 @@ def read_landing_csv(spark, folder):
 def read_master_json(spark, folder):
     """Files with one JSON value each, here an array of documents."""
     root = scratch(spark)
-    bucket = F.pmod(F.xxhash64("id"), F.lit(64))
-    arrays = docs_v(spark, folder).groupBy(bucket.alias("bucket")).agg(
+    docs = docs_v(spark, folder)
+    # About 500 documents an array, however many there are.
+    bucket = F.pmod(F.xxhash64("id"), F.lit(max(64, -(-docs.count() // 500))))
+    arrays = docs.groupBy(bucket.alias("bucket")).agg(
         F.to_json(F.collect_list(F.struct(*RAW_FIELDS))).alias("value")
     )
     arrays.write.partitionBy("bucket").option("compression", "none").text(f"{root}/text")

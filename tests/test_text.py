@@ -1,7 +1,6 @@
 """Cleaning, splitting, chunking and folding."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
