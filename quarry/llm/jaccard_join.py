@@ -333,6 +333,21 @@ def candidate_hubs(groups: DataFrame) -> DataFrame:
     return offers.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("o")).select(F.col("o.hub").alias("u"), F.col("node").alias("v"))
 
 
+def plausible(pairs: DataFrame, points: DataFrame, share: int) -> DataFrame:
+    """The pairs (``u``, ``v``) whose points do not rule a link out; sets are fetched for these alone."""
+    sides = [points.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "uv"]
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
+            overlap = np.array([np.minimum(*folded([a.as_py(), b.as_py()])).sum() for a, b in zip(batch.column("pu"), batch.column("pv"), strict=True)], np.int64)
+            fits = pa.array(overlap * (100 + share) >= share * sizes)
+            yield pa.record_batch([batch.column("u").filter(fits), batch.column("v").filter(fits)], names=["u", "v"])
+
+    met = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "nu", "nv", "pu", "pv")
+    return met.mapInArrow(bound, "u long, v long")
+
+
 def further_pairs(groups: DataFrame, label: DataFrame, points: DataFrame, share: int) -> DataFrame:
     """Pairs of sets that share a fine group, are not yet in one component and pass the tree's bound.
 
@@ -376,7 +391,7 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     narrow = seen.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"))
     held = stored(groups.select("node").distinct().join(narrow, "node"), "points")
     args = (seen, docs, id_column, text_column, words, share)
-    first = stored(verified(candidate_hubs(groups), *args), "links")
+    first = stored(verified(plausible(candidate_hubs(groups), held, share), *args), "links")
     label = components(first)
     more = stored(verified(further_pairs(groups, label, held, share), *args), "links")
     if not more.isEmpty():
