@@ -170,7 +170,8 @@ def references(docs: DataFrame, lang_column: str = "lang", text_column: str = "t
     )
     chars = shares.groupBy("_lang").agg(F.sum("_n").alias("_total"), F.array(*[F.avg(f"c{i}") for i in range(len(CLASSES) + 1)]).alias("_ref_chars"))
     short = F.filter(letter_words(F.col("_text")), lambda w: F.length(w).between(1, COMMON_LETTERS))
-    each = read.select("_lang", F.explode(short).alias("w")).groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    # The outer form, as the plain one would have the array computed again in a filter below it.
+    each = read.select("_lang", F.explode_outer(short).alias("w")).where("w is not null").groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("n"))
     best = each.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))).where(F.col("_rank") <= COMMON_WORDS)
     common = best.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("_best"))
     return chars.where(F.col("_total") >= REFERENCE_WORDS).join(common, "_lang").select(
