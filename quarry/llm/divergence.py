@@ -93,17 +93,15 @@ def duplicate_lines(text: Column) -> Column:
 def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with ``_words`` and the base measures of the whole text."""
     text = whole_text(text_column)
-    counted = docs.withColumn("_words", words_of(text)).withColumn("_m", F.struct(F.size("_words").cast("long").alias("n_words")))
-    joined = F.array_join("_words", "")
-    return (
-        counted.withColumn("_word_chars", F.length(joined).cast("long"))
-        .withColumn("_n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
-        .withColumn("_n_dup_lines", duplicate_lines(text).cast("long"))
-        .withColumn("_n_repeat_words", repeated_words(F.col("_words")).cast("long"))
-        .withColumn("_n_words", F.col("_m.n_words"))
-        .drop("_m")
-        .withColumn("_base_failed", (F.col("_n_words") < LEAST_WORDS) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * REPEATED_PERCENT))
-    )
+    measures = F.struct(
+        F.size("_words").cast("long").alias("_n_words"), F.length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
+        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("_n_symbols"),
+        duplicate_lines(text).cast("long").alias("_n_dup_lines"), repeated_words(F.col("_words")).cast("long").alias("_n_repeat_words"),
+    )
+    # Behind a generator each measure is computed once, however often it is used above.
+    counted = docs.withColumn("_words", words_of(text)).select("*", F.inline(F.array(measures)))
+    few, much = F.col("_n_words") < LEAST_WORDS, F.col("_n_repeat_words") * 100 > F.col("_n_words") * REPEATED_PERCENT
+    return counted.withColumn("_base_failed", few | much)
 
 
 def class_counts(text: Column) -> Column:
