@@ -24,6 +24,9 @@ GUARD_WORDS = 100
 # Largest Jensen-Shannon distances (square root, base 2) to the language's references.
 CHAR_DISTANCE = 0.30
 WORD_DISTANCE = 0.45
+# Largest share of the distance that a document without any common word would have. It widens where
+# fewer common words are expected in a document than there are, as chance alone then moves it more.
+WORD_SHARE = 0.75
 
 VERDICT = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_char_distance", "_word_distance", "_kept")
 # Classes are taken out one after the other, the most frequent first, so that each pass reads less.
@@ -172,12 +175,27 @@ def references(docs: DataFrame, lang_column: str = "lang", text_column: str = "t
     each = read.select("_lang", F.explode_outer(short).alias("w")).where("w is not null").groupBy("_lang", "w").agg(F.count(F.lit(1)).alias("n"))
     best = each.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "w"))).where(F.col("_rank") <= COMMON_WORDS)
     common = best.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("_best"))
-    return chars.where(F.col("_total") >= REFERENCE_WORDS).join(common, "_lang").select(
+    both = chars.where(F.col("_total") >= REFERENCE_WORDS).join(common, "_lang").select(
         "_lang", "_total", "_ref_chars", F.transform("_best", lambda x: x["w"]).alias("_common"), F.transform("_best", lambda x: x["n"].cast("double")).alias("_ref_words")
     )
+    total = F.col("_total").cast("double")
+    none = F.array_repeat(F.lit(0.0), F.size("_ref_words"))
+    return both.withColumns({"_none_distance": distance(with_rest(none, total), with_rest(F.col("_ref_words"), total)), "_common_share": 1 - with_rest(F.col("_ref_words"), total)[F.size("_ref_words")] / total})
 
 
-def judge(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", char_distance: float = CHAR_DISTANCE, word_distance: float = WORD_DISTANCE) -> DataFrame:
+def with_rest(counts: Column, total: Column) -> Column:
+    """``counts`` and, as the last bin, what is missing to ``total``."""
+    return F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)))
+
+
+def judge(
+    docs: DataFrame,
+    lang_column: str = "lang",
+    text_column: str = "text",
+    char_distance: float = CHAR_DISTANCE,
+    word_distance: float = WORD_DISTANCE,
+    word_share: float | None = WORD_SHARE,
+) -> DataFrame:
     """``docs`` with the base measures, both distances and the verdict, in columns that begin with ``_``.
 
     ``_n_words``, ``_word_chars``, ``_n_symbols``, ``_n_dup_lines``, ``_n_repeat_words``, ``_base_failed``,
@@ -185,6 +203,10 @@ def judge(docs: DataFrame, lang_column: str = "lang", text_column: str = "text",
     either histogram is further from its language's reference than allowed. Distances are null, and
     reject nothing, for documents below the length guards and for languages without a reference or null.
 
+    The common words' share of a language bounds how far a document can be from it, so their limit
+    follows from the reference: ``word_share`` of the distance without any of them, ``word_distance`` at
+    most. Without ``word_share`` it is ``word_distance`` alone.
+
     A null text has no words. Repeated rows are judged each; ids play no part. An empty table gives no
     rows. Texts of any length are measured whole.
     """
@@ -195,11 +217,14 @@ def judge(docs: DataFrame, lang_column: str = "lang", text_column: str = "text",
     scored = scored.withColumn("_cores", F.when((F.col("_n_words") >= GUARD_WORDS) & F.col("_ref_lang").isNotNull() & ~F.col("_base_failed"), letter_words(text)))
     own = F.when(F.col("_cores").isNotNull(), occurrences(F.col("_cores"), F.col("_common")))
     # All other words make up the last bin of both histograms.
-    rest = lambda counts, total: F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)))
     scored = scored.withColumn("_own", own).withColumn("_char_distance", chars)
-    words = distance(rest(F.col("_own"), F.size("_cores").cast("double")), rest(F.col("_ref_words"), F.col("_total").cast("double")))
+    words = distance(with_rest(F.col("_own"), F.size("_cores").cast("double")), with_rest(F.col("_ref_words"), F.col("_total").cast("double")))
     scored = scored.withColumn("_word_distance", F.when(F.col("_cores").isNotNull(), words))
-    within = (F.coalesce("_char_distance", F.lit(0.0)) <= char_distance) & (F.coalesce("_word_distance", F.lit(0.0)) <= word_distance)
+    most = F.lit(word_distance)
+    if word_share is not None:
+        wider = F.sqrt(F.greatest(F.lit(1.0), F.size("_common") / (F.size("_cores") * F.col("_common_share"))))
+        most = F.least(most, F.col("_none_distance") * word_share * wider)
+    within = (F.coalesce("_char_distance", F.lit(0.0)) <= char_distance) & F.coalesce(F.col("_word_distance") <= most, F.lit(True))
     scored = scored.withColumn("_kept", ~F.col("_base_failed") & within)
     # A generator: a filter on the verdict stays above it, where all measures are computed once.
     verdict = F.inline(F.array(F.struct(*[F.col(name) for name in VERDICT])))

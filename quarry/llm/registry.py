@@ -78,7 +78,8 @@ SQL["op1_warc_transactions"] = """
 def op2_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm.divergence import judge
 
-    judged = judge(table(spark, folder, "documents"))
+    # The fixed word limit of the SQL below.
+    judged = judge(table(spark, folder, "documents"), word_share=None)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
     rounded = {"char_distance", "word_distance"}
     return judged.select("doc_id", *[(F.round(f"_{n}", 4) if n in rounded else F.col(f"_{n}")).alias(n) for n in names])

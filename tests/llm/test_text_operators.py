@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quarry.llm import divergence, language, packing, pieces, pii, secrets, token_counts
 from quarry.llm.registry import vocabulary
 
@@ -165,6 +166,21 @@ def test_divergence_rejects_what_is_unlike_its_language(spark):
     assert all(verdict[i] for i in range(60)) and not verdict[100] and not verdict[101] and verdict[102] and verdict[103]
 
 
+def test_text_without_common_words_is_rejected(spark):
+    rng = random.Random(6)
+    common = "the of and to in is that it for was on are as with his they at be this have from or one had by".split()
+    made = lambda: "".join(rng.choices("abcdefghij", k=7))
+    prose = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else made() for _ in range(n))
+    # Common words are three tenths of one language and a fiftieth of the other.
+    rows = [(i, prose(100 + 5 * i, 0.3), "en") for i in range(60)] + [(100 + i, prose(120, 0.02), "xx") for i in range(60)]
+    rows += [(200 + i, prose(n, 0.0), "en") for i, n in enumerate((100, 150, 400, 3_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    verdict = {r["doc_id"]: r["_kept"] for r in divergence.judge(docs).collect()}
+    assert all(verdict[i] for i in range(60)) and all(verdict[100 + i] for i in range(60))
+    assert not any(verdict[200 + i] for i in range(4))
+    assert {r["doc_id"] for r in corpus_pipeline.sound(spark, docs, "").collect()} == {i for i, kept in verdict.items() if kept}
+
+
 def luhn(number):
     total = 0
     for i, c in enumerate(reversed(number)):
