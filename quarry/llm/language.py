@@ -27,6 +27,8 @@ THINNED = 4
 PARENT_WEIGHT = 20.0
 UNSEEN = 0.5
 LEAST_PROBABILITY = 0.5
+# What a text is called that no language's trigrams explain better than bins of equal frequency do.
+OTHER = "other"
 
 # Bytes as the model sees them: letters in lower case, everything else a blank.
 _FOLDED = np.full(256, 32, np.uint8)
@@ -46,7 +48,12 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text_column: str, declared: str, id_column: str) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities of their trigrams, from a bounded sample of declared rows."""
+    """Languages and log probabilities of their trigrams, from a bounded sample of declared rows.
+
+    Behind them comes ``OTHER``, under which all bins are equally likely. A sampled row that the other
+    rows of its language explain less well than halfway from their usual level to ``OTHER`` is declared
+    wrongly and left out, so that a text in no language does not become part of one.
+    """
     rows = docs.where(F.col(declared).isNotNull()).groupBy(F.lower(declared).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     known = rows.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not known:
@@ -56,9 +63,27 @@ def fit(docs: DataFrame, text_column: str, declared: str, id_column: str) -> tup
     picked = picked.where(F.pmod("h", every[F.col("lang")]) == 0).select("lang", "text").limit(2 * SAMPLE_ROWS * len(known))
     languages = sorted(r["lang"] for r in known)
     counts = np.full((BINS, len(languages)), 0.05)
-    for row in picked.collect():
-        np.add.at(counts[:, languages.index(row["lang"])], trigrams(row["text"]), 1.0)
-    return languages, np.log(counts / counts.sum(0)).astype(np.float32)
+    sample = {lang: [] for lang in languages}
+    # Copies would speak for one another.
+    for lang, text in sorted({(row["lang"], row["text"]) for row in picked.collect()}):
+        sample[lang].append(text)
+    for i, lang in enumerate(languages):
+        for text in sample[lang]:
+            np.add.at(counts[:, i], trigrams(text), 1.0)
+        alone = np.array([explained(trigrams(text), counts[:, i]) for text in sample[lang]])
+        usual = np.nanmedian(alone) if np.isfinite(alone).any() else -np.inf
+        # Too little text to explain its own kind tells nothing about a row.
+        least = (usual - np.log(BINS)) / 2 if usual > -np.log(BINS) else -np.inf
+        for text in [text for text, own in zip(sample[lang], alone, strict=True) if own < least]:
+            np.subtract.at(counts[:, i], trigrams(text), 1.0)
+    table = np.column_stack([np.log(counts / counts.sum(0)), np.full(BINS, -np.log(BINS))])
+    return [*languages, OTHER], table.astype(np.float32)
+
+
+def explained(bins: np.ndarray, counts: np.ndarray) -> float:
+    """Mean log probability of a text's trigrams by ``counts`` without its own; not a number for no trigram."""
+    seen, own = np.unique(bins, return_counts=True)
+    return float((own * np.log((counts[seen] - own) / (counts.sum() - len(bins)))).sum() / len(bins)) if len(bins) else np.nan
 
 
 def scorer(table: np.ndarray, spark) -> Callable[[Column], Column]:
@@ -107,7 +132,8 @@ def identify(
     The text's likelihoods come from a trigram model. All rows, labelled by their text alone, are
     then counted by declared language, address suffix and host, domain and top-level domain; a
     level's prior is smoothed by the level above it and leaves the row's own label out. The posterior is
-    the product. A row is kept if it has letters and its best language has at least ``least``.
+    the product. Besides the languages there is ``OTHER``, for texts in none of them. A row is kept if it
+    has letters and its best label is a language that has at least ``least``.
 
     Null or empty texts and texts without letters are rejected, with null language. Without a
     declared language, address or host that evidence is left out. Repeated rows are judged each, ids
@@ -161,13 +187,15 @@ def identify(
     weight = F.aggregate("_log", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     joined = joined.withColumns(
         {
+            "_label": F.array_position("_log", top).cast("int"),
             "_language": F.get(names, F.array_position("_log", top).cast("int") - 1),
             "_probability": 1.0 / weight,
             "_text_language": F.get(names, F.col("_best") - 1),
         }
     )
-    helpers = [c for c in joined.columns if c[:3] in ("_k_", "_j_", "_c_", "_p_") or c in ("_score", "_best", "_log")]
-    return joined.withColumn("_kept", F.coalesce(F.col("_probability") >= least, F.lit(False))).drop(*helpers)
+    helpers = [c for c in joined.columns if c[:3] in ("_k_", "_j_", "_c_", "_p_") or c in ("_score", "_best", "_log", "_label")]
+    kept = (F.col("_probability") >= least) & (F.col("_label") < n)
+    return joined.withColumn("_kept", F.coalesce(kept, F.lit(False))).drop(*helpers)
 
 
 def _divided(values: Column, by: Column) -> Column:

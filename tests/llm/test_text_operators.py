@@ -275,6 +275,31 @@ def test_language(spark, hard, empty):
     assert language.identify(hard).count() == len(HARD) + 4 and language.identify(empty).collect() == []
 
 
+def test_texts_in_no_language_are_rejected(spark):
+    rng = random.Random(3)
+    words = {
+        "en": "the of and to in that was his he it with is for as had you not be her on at by which have or from this him but all she they were my are me one their so an said them we who would been will no when there if more out up into do any your what has man could other than our some very time upon about may its only now little then can should made did us such great before".split(),
+        "es": "de la que el en y los se del las un por con no una su para es al lo como más pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos esto mí antes algunos qué unos yo otro otras otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo nosotros".split(),
+    }
+    rows = [(1_000 * k + i, " ".join(rng.choices(words[lang], k=120)), lang) for k, lang in enumerate(words) for i in range(60)]
+    foreign = {
+        5_000: "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью " * 2,
+        5_001: "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。" * 3,
+        5_002: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto " * 2,
+        5_003: "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi " * 2,
+        5_004: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(100)),
+        5_005: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=800)),
+    }
+    rows += [(i, text, ["en", "es", None][i % 3]) for i, text in foreign.items()]
+    short = {6_000: "The man", 6_001: "she said so", 6_002: "Sí, también nosotros.", 6_003: "para ella", 6_004: "He could.", 6_005: "no"}
+    rows += [(i, text, "en" if i in (6_000, 6_001, 6_004) else "es") for i, text in short.items()]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert not any(found[i]["_kept"] for i in foreign) and {found[i]["_language"] for i in foreign} == {"other"}
+    assert all(r["_kept"] for i, r in found.items() if i not in foreign)
+    assert {r["doc_id"] for r in corpus_pipeline.identified(spark, docs, "").collect()} == set(found) - set(foreign)
+
+
 def test_hosts_tip_the_balance(spark):
     rng = random.Random(2)
     make = lambda letters, n: " ".join("".join(rng.choices(letters, k=5)) for _ in range(n))
