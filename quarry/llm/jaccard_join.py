@@ -386,6 +386,14 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     null id keep it and get the smallest id of their component, null if there is none. Repeated rows are
     each returned. An empty table gives no rows; other columns are ignored.
     """
+    rooted = rooted_rows(docs, id_column, text_column, words, share)
+    least = rooted.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(least, "root", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def rooted_rows(docs: DataFrame, id_column: str, text_column: str, words: int, share: int) -> DataFrame:
+    """The rows of ``members`` with ``root``, the set that stands for their component; null for no set."""
     seen = stored(members(docs, id_column, text_column, words), "members")
     groups = stored(shared_groups(docs, id_column, text_column, words, share), "groups")
     narrow = seen.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"))
@@ -396,21 +404,22 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     more = stored(verified(further_pairs(groups, label, held, share), *args), "links")
     if not more.isEmpty():
         label = components(first.unionByName(more))
-    rooted = seen.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.where("node is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return seen.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, share: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id.
+    """``docs`` with one document of each component: that with the smallest id, nulls last.
 
-    Documents without words are all kept, as they are linked with nothing. Rows that repeat the id
-    and the text of another are reduced to one of them; of a component whose ids are all null one row stays.
+    Rows are told apart by id and text, as ids may be null or repeated; of one id the text with the
+    smallest hash stays. Documents without words are all kept, as they are linked with nothing. Rows that
+    repeat the id and the text of another are reduced to one of them.
     """
-    found = stored(link(docs, id_column, text_column, words, share), "linked")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(broadcast_if_small(gone), F.col(id_column).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    found = stored(rooted_rows(docs, id_column, text_column, words, share).where("node is not null").select("root", "doc_id", "text_key"), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = found.groupBy("root").agg(F.min(order).alias("_first"))
+    gone = found.join(first, "root").where(order != F.col("_first")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(whole_text(text_column)) == F.col("_gone_key"))
+    kept = docs.join(broadcast_if_small(gone), same, "left_anti")
     # Repeated rows are few: only they go through a grouping of whole rows.
     key = [F.col(id_column).cast("long").alias("_i"), F.xxhash64(whole_text(text_column)).alias("_k")]
     worded = docs.where(whole_text(text_column).rlike(r"[^\x20\x09-\x0D]"))

@@ -208,6 +208,17 @@ def test_one_of_each(spark):
     assert kept.columns == docs.columns and len(got) == len(set(got)) and set(got) == expected
 
 
+def test_rows_of_a_null_or_repeated_id_are_told_apart(spark):
+    text = lambda letter, changed=0: " ".join([f"{letter}{i}" for i in range(80)] + ["new"] * changed)
+    rows = [(1, text("a")), (None, text("a", 1)), (None, text("b")), (None, text("c")), (None, text("c", 1)), (None, text("d")), (None, text("d"))]
+    rows += [(7, text("e")), (7, text("a", 2)), (8, text("e", 1)), (9, text("f")), (9, text("f", 1)), (9, text("g")), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(docs).collect())
+    either = [got.pop(pair, 0) for pair in ((None, text("c")), (None, text("c", 1)), (9, text("f")), (9, text("f", 1)))]
+    assert either[0] + either[1] == 1 and either[2] + either[3] == 1
+    assert got == Counter([(1, text("a")), (None, text("b")), (None, text("d")), (7, text("e")), (9, text("g")), (None, None), (None, "")])
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = [docs.count()]
