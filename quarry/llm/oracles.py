@@ -97,3 +97,20 @@ def divergence_sql(least_words: int, repeated: int, guard_chars: int, guard_word
         NOT base_failed AND coalesce(c.d, 0) <= {chars} AND coalesce(x.d, 0) <= {words} AS kept,
         round(c.d, 4) AS char_distance, round(x.d, 4) AS word_distance
     FROM judged LEFT JOIN char_distance c USING (doc_id) LEFT JOIN word_distance x USING (doc_id)"""
+
+
+def hard_negatives_sql(every: int, positives: int, negatives: int, low: int, high: int, scale: int) -> str:
+    return f"""
+    WITH rows_ AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS MATERIALIZED (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+        FROM rows_ a, rows_ r WHERE a.vec_id % {every} = 0 AND a.vec_id <> r.vec_id),
+    good AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {positives})
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+        id AS negative_id, positive_score, score AS negative_score
+    FROM good JOIN pairs USING (anchor_id)
+    WHERE NOT same AND {low} * positive_score <= 100 * score AND 100 * score <= {high} * positive_score
+    QUALIFY rank <= {negatives}"""

@@ -140,3 +140,16 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm.jaccard_join import link
 
     return link(table(spark, folder, "documents"))
+
+
+@_entry
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.str_tree import mine
+
+    vectors = table(spark, folder, "embeddings")
+    # Planted wrong labels of the contract.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(vectors.withColumn("label", label))
+
+
+SQL["op11_hard_negatives"] = oracles.hard_negatives_sql(every=100, positives=5, negatives=10, low=30, high=90, scale=256)
