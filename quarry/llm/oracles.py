@@ -114,3 +114,30 @@ def hard_negatives_sql(every: int, positives: int, negatives: int, low: int, hig
     FROM good JOIN pairs USING (anchor_id)
     WHERE NOT same AND {low} * positive_score <= 100 * score AND 100 * score <= {high} * positive_score
     QUALIFY rank <= {negatives}"""
+
+
+def trie_sql(family: int, heads: int) -> str:
+    # CRC-32, bit by bit.
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: {step})"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: {byte}), 4294967295::BIGINT)"
+    return f"""
+    WITH t AS (SELECT conv_id, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS h, length(coalesce(text, '')) AS chars,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS no
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT conv_id, conv_id - conv_id % {family} AS base, {crc} % {heads} AS n FROM (SELECT DISTINCT conv_id FROM t)),
+    every AS (SELECT c.conv_id, 0 AS part, t.no, h, chars FROM convs c JOIN t ON t.conv_id = c.base AND t.no <= c.n
+        UNION ALL SELECT c.conv_id, 1, t.no, h, chars FROM convs c JOIN t ON t.conv_id = c.conv_id AND t.no > c.n),
+    whole AS (SELECT conv_id, list(h ORDER BY part, no) AS hs, list(chars ORDER BY part, no) AS cs FROM every GROUP BY conv_id),
+    paths AS (SELECT conv_id, coalesce(hs, []) AS hs, coalesce(cs, []) AS cs FROM convs LEFT JOIN whole USING (conv_id)),
+    members AS (SELECT conv_id, d, hs[1:d] AS key, coalesce(cs[d], 0) AS chars, d = len(hs) AS ends
+        FROM (SELECT *, unnest(range(0, len(hs) + 1)) AS d FROM paths)),
+    nodes AS (SELECT key, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+        FROM members GROUP BY key),
+    kids AS (SELECT key[1:depth - 1] AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+    below AS (SELECT b.above AS key, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves, sum(b.saved) AS saved_tokens
+        FROM (SELECT key, saved, key[1:unnest(range(0, depth + 1))] AS above FROM nodes) b LEFT JOIN kids k ON k.key = b.key GROUP BY 1)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+        b.n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below b USING (key) LEFT JOIN kids k USING (key) LEFT JOIN nodes p ON n.depth > 0 AND p.key = n.key[1:n.depth - 1]"""

@@ -153,3 +153,13 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op11_hard_negatives"] = oracles.hard_negatives_sql(every=100, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
+@_entry
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.prefix_trie import trie
+
+    return trie(table(spark, folder, "conversations"))
+
+
+SQL["op13_conversation_trie"] = oracles.trie_sql(family=100, heads=6)
