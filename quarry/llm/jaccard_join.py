@@ -10,11 +10,11 @@ surviving pairs are verified on the whole sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, whole_text
@@ -25,6 +25,9 @@ from quarry.session import broadcast_if_small
 COORDINATES = 64
 LEAF = 16
 TILE = 256
+# Rows, and bytes of sets, of one block of a tile whose sets are compared in place.
+DENSE = 1_024
+DENSE_BYTES = 1 << 23
 # Sizes of one band of sets grow by this factor.
 BAND = 1.6
 FIRST_BAND = 5
@@ -249,19 +252,10 @@ def shared_groups(docs: DataFrame, id_column: str, text_column: str, words: int,
     return alike.distinct()
 
 
-def verified(pairs: DataFrame, seen: DataFrame, docs: DataFrame, id_column: str, text_column: str, words: int, share: int) -> DataFrame:
-    """The pairs (``u``, ``v``) of set numbers whose sets are linked.
-
-    Pairs are dealt by ``u`` and, for a ``u`` with many, a salt; the sets of a share stream through
-    a task behind that of its ``u``. Sets are made anew from one text each.
-    """
-    counted = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
-    salted = pairs.join(counted, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / TILE)).alias("salt"))
-    salted = stored(salted, "pairs")
-    wanted = salted.select(F.col("u").alias("node"), F.col("u").alias("hub"), "salt", F.lit(0).alias("role")).distinct()
-    wanted = wanted.unionByName(salted.select(F.col("v").alias("node"), F.col("u").alias("hub"), "salt", F.lit(1).alias("role")))
-    nodes = wanted.select("node").distinct()
+def sets_of(nodes: DataFrame, seen: DataFrame, docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
+    """``node`` and ``own``, its sorted shingle hashes, made anew from one text each."""
     source = seen.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select("node", F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_key"))
+    source = stored(source, "sources")
     texts = _read(docs, id_column, text_column)
     found = texts.join(broadcast_if_small(source), texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))).select("node", "text")
 
@@ -271,7 +265,28 @@ def verified(pairs: DataFrame, seen: DataFrame, docs: DataFrame, id_column: str,
                 own = [shingles(text.as_py(), words).tobytes() for text in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
 
-    dealt = found.mapInArrow(sets, "node long, own binary").join(wanted, "node").select("hub", "salt", "role", "node", "own")
+    # Rows that repeat an id and a text give a set repeatedly.
+    return found.mapInArrow(sets, "node long, own binary")
+
+
+def linked(own: np.ndarray, other: np.ndarray, share: int) -> bool:
+    both = len(np.intersect1d(own, other, assume_unique=True))
+    return 100 * both >= share * (len(own) + len(other) - both)
+
+
+def verified(pairs: DataFrame, seen: DataFrame, docs: DataFrame, id_column: str, text_column: str, words: int, share: int) -> DataFrame:
+    """The pairs (``u``, ``v``) of set numbers whose sets are linked.
+
+    Pairs are dealt by ``u`` and, for a ``u`` with many, a salt; the sets of a share stream through
+    a task behind that of its ``u``.
+    """
+    counted = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    salted = pairs.join(counted, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / TILE)).alias("salt"))
+    salted = stored(salted, "pairs")
+    wanted = salted.select(F.col("u").alias("node"), F.col("u").alias("hub"), "salt", F.lit(0).alias("role")).distinct()
+    wanted = wanted.unionByName(salted.select(F.col("v").alias("node"), F.col("u").alias("hub"), "salt", F.lit(1).alias("role")))
+    own = sets_of(wanted.select("node").distinct(), seen, docs, id_column, text_column, words)
+    dealt = own.join(wanted, "node").select("hub", "salt", "role", "node", "own")
     dealt = dealt.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +299,7 @@ def verified(pairs: DataFrame, seen: DataFrame, docs: DataFrame, id_column: str,
                     at, own = hub, other
                     continue
                 assert at == hub
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= share * (len(own) + len(other) - both):
+                if linked(own, other, share):
                     us.append(hub)
                     vs.append(node)
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -348,29 +362,77 @@ def plausible(pairs: DataFrame, points: DataFrame, share: int) -> DataFrame:
     return met.mapInArrow(bound, "u long, v long")
 
 
-def further_pairs(groups: DataFrame, label: DataFrame, points: DataFrame, share: int) -> DataFrame:
-    """Pairs of sets that share a fine group, are not yet in one component and pass the tree's bound.
+class Union:
+    """Classes of the rows of a tile that are joined one by one."""
+
+    def __init__(self, class_of: np.ndarray):
+        _, first, of = np.unique(class_of, return_index=True, return_inverse=True)
+        # The first row of a class stands for it.
+        self.up = first[of].tolist()
 
-    Only keys whose sets lie in several components are looked at. A key with many sets is cut into tiles
-    of two blocks each, so that no task holds more than two blocks.
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.find(i)] = self.find(j)
+
+
+def further_links(groups: DataFrame, label: DataFrame, points: DataFrame, pairs_of: Callable, verify: Callable, sets: Callable, share: int) -> DataFrame:
+    """Links (``u``, ``v``) that join all linked sets under a key that are not yet in one component.
+
+    ``points`` has ``node, n, point``; ``pairs_of(points, sizes, classes)`` are the pairs of rows that points do not rule
+    out. Only keys whose sets lie in several components are looked at. A key with many sets is cut into tiles of two
+    blocks each, so that no task holds more than two blocks. A tile with fewer pairs than rows hands them to ``verify``;
+    the keys of other tiles get the sets themselves (``sets(nodes)``) and compare there, each pair that is not joined yet,
+    so that no more links than rows leave a tile.
     """
     labelled = groups.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     digest = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     open_ = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"), *digest).where("low <> high")
     # Sets that are alike meet under many keys: keys with the same sets are looked at once.
-    open_ = open_.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
-    rows = labelled.join(open_, "key").join(points, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tiled = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("key", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "root", "n", "point")
+    open_ = open_.groupBy("m", "x0", "x1").agg(F.min("key").alias("key")).select("key", "m")
+    rows = stored(labelled.join(open_, "key").join(points, "node").select("key", "m", "node", "root", "n", "point"), "open")
 
-    def join(_: tuple, table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        points = folded(table.column("point").to_pylist())
-        found = tree_pairs(points, table.column("n").to_numpy(), table.column("root").to_numpy(), share)
+    def tiles(rows: DataFrame, blocks: Column) -> DataFrame:
+        dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def candidates(table: pa.Table) -> list[tuple[int, int]]:
+        return pairs_of(table.column("point").to_pylist(), table.column("n").to_numpy(), table.column("root").to_numpy())
+
+    def narrow(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, found = table.column("node").to_numpy(), candidates(table)
+        if len(found) > len(nodes):
+            return pa.table({"u": pa.array([None], pa.int64()), "v": pa.array([None], pa.int64()), "dense": pa.array([key[0].as_py()], pa.int64())})
         left, right = (nodes[[p[i] for p in found]] if found else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.table({"u": np.minimum(left, right), "v": np.maximum(left, right)})
+        return pa.table({"u": np.minimum(left, right), "v": np.maximum(left, right), "dense": pa.nulls(len(found), pa.int64())})
 
-    return tiled.groupBy("key", "low", "high").applyInArrow(join, "u long, v long").distinct()
+    def compare(_: tuple, table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        _, once = np.unique(nodes, return_index=True)
+        table = table.take(np.sort(once))
+        nodes, own = table.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()]
+        classes, found = Union(table.column("root").to_numpy()), []
+        for i, j in candidates(table):
+            if classes.find(i) != classes.find(j) and linked(own[i], own[j], share):
+                classes.join(i, j)
+                found.append((nodes[i], nodes[j]))
+        return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+
+    columns = ["key", "low", "high", "node", "root", "n", "point"]
+    first = stored(tiles(rows, F.ceil(F.col("m") / TILE)).select(*columns).groupBy("key", "low", "high").applyInArrow(narrow, "u long, v long, dense long"), "tiles")
+    links = verify(first.where("u is not null").select("u", "v").distinct())
+    dense = first.where("dense is not null").select(F.col("dense").alias("key")).distinct()
+    if dense.isEmpty():
+        return links
+    crowded = stored(rows.join(dense, "key"), "crowded")
+    size = crowded.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") * 8 / DENSE_BYTES), F.ceil(F.count(F.lit(1)) / DENSE)).alias("blocks"))
+    whole = stored(sets(crowded.select("node").distinct()).dropDuplicates(["node"]), "sets")
+    dealt = tiles(crowded.join(size, "key").withColumnRenamed("blocks", "parts"), F.col("parts")).select(*columns)
+    return links.unionByName(dealt.join(whole, "node").groupBy("key", "low", "high").applyInArrow(compare, "u long, v long"))
 
 
 def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, share: int = 85) -> DataFrame:
@@ -401,7 +463,8 @@ def rooted_rows(docs: DataFrame, id_column: str, text_column: str, words: int, s
     args = (seen, docs, id_column, text_column, words, share)
     first = stored(verified(plausible(candidate_hubs(groups), held, share), *args), "links")
     label = components(first)
-    more = stored(verified(further_pairs(groups, label, held, share), *args), "links")
+    more = further_links(groups, label, held, lambda points, sizes, classes: tree_pairs(folded(points), sizes, classes, share), lambda pairs: verified(pairs, *args), lambda nodes: sets_of(nodes, *args[:-1]), share)
+    more = stored(more, "links")
     if not more.isEmpty():
         label = components(first.unionByName(more))
     return seen.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
