@@ -163,3 +163,10 @@ def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op13_conversation_trie"] = oracles.trie_sql(family=100, heads=6)
+
+
+@_entry
+def op12_setsketch(spark: SparkSession, folder: str) -> DataFrame:
+    from quarry.llm.setsketch import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
