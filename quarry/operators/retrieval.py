@@ -148,8 +148,8 @@ def bm25_candidates(
 
     ``also`` names further (query_id, key) pairs whose score is wanted. Up to
     ``limit`` question terms, with their frequencies in the corpus, are sent to
-    all tasks. A task adds up the scores of a batch of rows in a matrix and
-    emits its best ``k`` per query: neither the tokens nor the many rows that
+    all tasks. A task adds up the scores of a strip of rows in a matrix, keeps its
+    best ``k`` per query and emits them once: neither the tokens nor the many rows that
     share only a common term with a question are ever shuffled. Questions with
     more terms than ``limit`` are dealt into blocks, each with a scan of its own, so
     that the output is bounded alike for any number of questions.
@@ -184,10 +184,12 @@ def bm25_candidates(
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, weights, table = sent.value
+        best = _BestText(table[0], k, key)
         for batch in batches:
             found = [_field_parts(batch[f], terms, *weights[f]) for f in fields]
             row, slot, part = (np.concatenate(column) for column in zip(*found))
-            yield from _best_text(batch[key].to_numpy(), batch["_wanted"].to_list(), row, slot, part, table, k, key)
+            yield from _offer_text(best, batch[key].to_numpy(), batch["_wanted"].to_list(), row, slot, part, table)
+        yield from best.rows()
 
     return rows.mapInPandas(scan, schema)
 
@@ -254,12 +256,44 @@ def _field_parts(tokens: pd.Series, terms: pd.Index, idf: np.ndarray, mean: floa
     return row, slot, idf[slot] * tf / (tf + K1 * (1 - B + B * size[row] / mean))
 
 
-def _best_text(
-    keys: np.ndarray, wanted: list, row: np.ndarray, slot: np.ndarray, part: np.ndarray,
-    table: tuple[np.ndarray, ...], k: int, key: str,
-) -> Iterator[pd.DataFrame]:
-    """Best ``k`` rows per query, and wanted pairs, of strips of a bounded matrix."""
+class _BestText:
+    """The best ``k`` rows per query that a task has seen; ties go to the smaller key."""
+
+    def __init__(self, ids: np.ndarray, k: int, key: str):
+        self.ids, self.k, self.key = ids, k, key
+        # The k-th best rounded score of each query, 0 while it has fewer rows.
+        self.floor = np.zeros(len(ids))
+        self.held: list[pd.DataFrame] = []
+        self.size = 0
+
+    def offer(self, query: np.ndarray, keys: np.ndarray, score: np.ndarray, ranked: np.ndarray, sent: np.ndarray) -> None:
+        """Rows that may be among the best; ``sent`` marks those that have left already."""
+        self.held.append(pd.DataFrame({"q": query, self.key: keys, "s": score, "r": ranked, "sent": sent}))
+        self.size += len(query)
+        if self.size > 2 * self.k * len(self.ids) + STRIP_CELLS // 100:
+            self._shrink()
+
+    def _shrink(self) -> None:
+        rows = pd.concat(self.held).sort_values(["q", "r", self.key], ascending=[True, False, True])
+        rows = rows.groupby("q").head(self.k)
+        last = rows.groupby("q")["r"].agg(["size", "last"])
+        full = last[last["size"] == self.k]
+        self.floor[full.index.to_numpy(np.int64)] = full["last"].to_numpy()
+        self.held, self.size = [rows], len(rows)
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            self._shrink()
+            left = self.held[0][~self.held[0]["sent"].to_numpy(bool)]
+            yield pd.DataFrame({"query_id": self.ids[left["q"].to_numpy(np.int64)], self.key: left[self.key].to_numpy(), "score": left["s"].to_numpy()})
+
+
+def _offer_text(
+    best: _BestText, keys: np.ndarray, wanted: list, row: np.ndarray, slot: np.ndarray, part: np.ndarray, table: tuple[np.ndarray, ...]
+) -> Iterator[pd.DataFrame]:
+    """Score rows in strips of a bounded matrix, offer what may be among the best and yield the wanted pairs."""
     ids, starts, query, weight = table
+    k, key = best.k, best.key
     column_of = {q: c for c, q in enumerate(ids.tolist())}
     order = np.argsort(row, kind="stable")
     row, slot, part = row[order], slot[order], part[order]
@@ -274,20 +308,21 @@ def _best_text(
         sums = np.bincount(cell, np.repeat(part[low:high], runs) * weight[at], count * len(ids))
         sums = sums.reshape(count, len(ids))
         ranked = np.round(sums, SCORE_DIGITS)
-        floor = np.partition(ranked, -min(k, count), axis=0)[-min(k, count)]
-        place, column = np.nonzero((ranked >= floor) & (sums > 0))
-        best = pd.DataFrame({"q": column, key: keys[first + place], "p": place, "r": ranked[place, column]})
-        best = best.sort_values(["q", "r", key], ascending=[True, False, True]).groupby("q").head(k)
+        floor = np.maximum(best.floor, np.partition(ranked, -k, axis=0)[-k]) if count > k else best.floor
         asked = [
-            (column_of[q], p)
+            (p, column_of[q])
             for p, names in enumerate(wanted[first : first + count])
             for q in (names if names is not None else ())
             if q in column_of
         ]
-        pairs = pd.concat([best[["q", "p"]], pd.DataFrame(asked, columns=["q", "p"], dtype=np.int64)]).drop_duplicates()
-        q, p = pairs["q"].to_numpy(), pairs["p"].to_numpy()
-        found = sums[p, q] > 0
-        yield pd.DataFrame({"query_id": ids[q[found]], key: keys[first + p[found]], "score": sums[p[found], q[found]]})
+        sent = np.zeros(sums.shape, bool)
+        if asked:
+            p, q = np.array(asked).T
+            sent[p, q] = sums[p, q] > 0
+            p, q = np.nonzero(sent)
+            yield pd.DataFrame({"query_id": ids[q], key: keys[first + p], "score": sums[p, q]})
+        place, column = np.nonzero((ranked >= floor) & (sums > 0))
+        best.offer(column, keys[first + place], sums[place, column], ranked[place, column], sent[place, column])
 
 
 def bm25_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
