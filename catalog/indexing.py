@@ -416,3 +416,32 @@ def speed_layer(spark, folder):
     query.awaitTermination()
     stored = chunk_table.read_index(spark, f"{root}/index")
     return stored.select("doc_id", "chunk_no", "chunk_text", "chunk_id")
+
+
+# Two batches that share a third of the documents are written at the same moment.
+@entry("concurrent_batches", sql(f"SELECT {KEPT} FROM chunks_v", "chunks_v"))
+def concurrent_batches(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = scratch(spark)
+    chunks = chunks_v(spark, folder).withColumn("embedding", F.lit(None).cast("array<float>"))
+    third = F.pmod(F.col("doc_id").cast("long"), F.lit(3))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda left: chunk_table.append_batch(chunks.where(third != left), root, f"without-{left}"), (0, 1)))
+    return chunk_table.read_index(spark, root).select(*KEPT.split(", "))
+
+
+# The index holds eight batches of labelled documents; the batches that may hold a document are told by filters.
+@entry(
+    "skip_by_filters",
+    sql("SELECT id, category FROM docs_v d WHERE NOT EXISTS (SELECT 1 FROM labelled_v l WHERE l.id = d.id)", "docs_v", "labelled_v"),
+)
+def skip_by_filters(spark, folder):
+    root = scratch(spark)
+    docs = docs_v(spark, folder)
+    labelled = labelled_v(spark, folder).select(F.col("id").alias("doc_id"))
+    chunks = chunks_v(spark, folder).join(labelled, "doc_id", "left_semi").withColumn("embedding", F.lit(None).cast("array<float>"))
+    for part in range(8):
+        chunk_table.append_batch(chunks.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == part), root, f"part-{part}")
+    ids = docs.select(F.col("id").alias("doc_id"))
+    return index.skip_indexed_docs(docs, chunk_table.read_index(spark, root, doc_ids=ids, least_rows=0)).select("id", "category")

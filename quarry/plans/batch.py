@@ -12,7 +12,7 @@ from quarry.functions.text import MAX_LENGTH, OVERLAP, clean_text, explode_chunk
 from quarry.operators.index import last_per_key, skip_indexed_docs, with_chunk_id
 from quarry.operators.normalize import index_projection
 from quarry.operators.retrieval import embed_chunks
-from quarry.sources.chunk_table import append_batch, delete_docs, note_version, read_index
+from quarry.sources.chunk_table import append_batch, note_version, read_index
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -46,10 +46,9 @@ def rebuild(
     """
     spark = docs.sparkSession
     now = F.lit(datetime.now(timezone.utc))
-    fresh = skip_indexed_docs(docs, read_index(spark, root, without_batch=batch), force)
-    written = append_batch(new_chunks(fresh, embed, max_length, overlap), root, batch, now)
-    if force:
-        delete_docs(docs, root, batch, now)
+    ids = docs.select(F.col("id").alias("doc_id"))
+    fresh = skip_indexed_docs(docs, read_index(spark, root, without_batch=batch, doc_ids=ids), force)
+    written = append_batch(new_chunks(fresh, embed, max_length, overlap), root, batch, now, deletes=docs if force else None)
     if written:
         note_version(spark, root, batch)
     return written

@@ -1,43 +1,37 @@
-"""The chunk index as parquet: batches of chunks and of deletions.
-
-A batch is one partition. Writing a batch again replaces that partition, so a
-replayed micro-batch changes nothing. A write compares its chunk ids with those
-of the index, one narrow column, and hides older rows of the same chunk, so that
-a chunk is read once. Deletions are rows that hide older chunks; ``compact``
-writes what is left into a new generation, which readers use once its success
-marker exists.
+"""The chunk index as parquet: batches of chunks and of deletions under numbered manifests.
+
+Each write puts its rows into folders of its own and then commits a manifest that names
+them, so that a reader, who takes one manifest, sees all of a batch or nothing. Writing a batch again
+replaces its entries, so a replayed micro-batch changes nothing. A write compares its chunk ids with
+those of the index and hides older rows of the same chunk; a writer that another one overtook compares with
+what came in between before it commits, so that a chunk is read once whoever writes at the same time. Deletions are
+rows that hide older chunks; ``compact`` writes what is left as one batch.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.index import distinct_ids
 from quarry.schemas import AUDIT, INDEX
-from quarry.session import broadcast_if_small
-from quarry.sources.storage import child_names, exists, read_if_present
+from quarry.session import BROADCAST_ROWS
+from quarry.sources.id_filter import may_hold, write_filters
+from quarry.sources.manifest import Entry, Manifest, commit, read_manifest
+from quarry.sources.storage import read_if_present
 
 _BATCH = T.StructField("batch", T.StringType())
-STORED = T.StructType([*INDEX.fields, T.StructField("written_at", T.TimestampType()), _BATCH])
-DELETED = T.StructType(
-    [T.StructField("doc_id", T.StringType()), T.StructField("deleted_at", T.TimestampType()), _BATCH]
-)
-REPLACED = T.StructType(
-    [T.StructField("chunk_id", T.StringType()), T.StructField("replaced_at", T.TimestampType()), _BATCH]
-)
+STORED = T.StructType([*INDEX.fields, T.StructField("written_at", T.TimestampType()), T.StructField("entry", T.StringType())])
+DELETED = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("deleted_at", T.TimestampType())])
+REPLACED = T.StructType([T.StructField("chunk_id", T.StringType()), T.StructField("entry", T.StringType())])
 VERSION = T.StructType([T.StructField("ts", T.TimestampType()), _BATCH])
 
-
-def _generation(spark: SparkSession, root: str) -> int:
-    numbers = [int(n.split("=")[1]) for n in child_names(spark, root) if n.startswith("gen=")]
-    done = [n for n in numbers if exists(spark, f"{root}/gen={n}/chunks/_SUCCESS")]
-    return max(done, default=0)
-
-
-def _current(spark: SparkSession, root: str) -> str:
-    return f"{root}/gen={_generation(spark, root)}"
+# Indexes of fewer rows are read by their id column alone, which takes less time than asking filters.
+FILTERED_ROWS = 1_000_000
 
 
 def _put(rows: DataFrame, path: str, batch: str) -> None:
@@ -50,75 +44,186 @@ def _put(rows: DataFrame, path: str, batch: str) -> None:
     )
 
 
-def read_index(spark: SparkSession, root: str, without_batch: str | None = None) -> DataFrame:
-    """Chunks that no later deletion hides, optionally without one batch."""
-    current = _current(spark, root)
-    chunks = read_if_present(spark, f"{current}/chunks", STORED)
-    if without_batch is not None:
-        chunks = chunks.filter(F.col("batch") != without_batch)
-    if exists(spark, f"{current}/deleted"):
-        gone = (
-            read_if_present(spark, f"{current}/deleted", DELETED)
-            .groupBy(F.col("doc_id").alias("_doc"))
-            .agg(F.max("deleted_at").alias("_deleted_at"))
-        )
+def _folder(root: str, kind: str) -> str:
+    return f"{root}/data/{kind}-{uuid.uuid4().hex}"
+
+
+def _read(spark: SparkSession, entries: Iterable[Entry], schema: T.StructType) -> DataFrame:
+    folders = [e.folder for e in entries]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def _numbers(spark: SparkSession, entries: list[Entry]) -> DataFrame:
+    """Commit number of each entry; as many rows as the manifest has."""
+    rows = [(e.folder.rsplit("/", 1)[-1], e.number) for e in entries]
+    return F.broadcast(spark.createDataFrame(rows, "entry string, number long"))
+
+
+def _small(side: DataFrame, entries: list[Entry]) -> DataFrame:
+    """Broadcast a side whose rows, as the manifest counts them, are few; ids and times only."""
+    return F.broadcast(side) if sum(e.rows for e in entries) <= BROADCAST_ROWS else side
+
+
+def entries_holding(
+    spark: SparkSession, entries: list[Entry], ids: DataFrame, name: str = "doc_id", least_rows: int = FILTERED_ROWS
+) -> list[Entry]:
+    """The entries that may hold one of the values of ``ids``' column ``name``, by the filters beside them.
+
+    ``name`` is ``doc_id`` or ``chunk_id``. Entries without filters are always among them.
+    """
+    if sum(e.rows for e in entries) < least_rows:
+        return entries
+    folder_of = {f"{e.filters}/{name}": e for e in entries if e.filters}
+    held = set(may_hold(spark, list(folder_of), ids, name))
+    return [e for e in entries if not e.filters or f"{e.filters}/{name}" in held]
+
+
+def read_index(
+    spark: SparkSession,
+    root: str,
+    without_batch: str | None = None,
+    doc_ids: DataFrame | None = None,
+    manifest: Manifest | None = None,
+    least_rows: int = FILTERED_ROWS,
+) -> DataFrame:
+    """Chunks that no later deletion or batch hides, optionally without one batch.
+
+    With ``doc_ids`` (column ``doc_id``) only the batches that may hold one of these documents are read. The frame is
+    pinned to one manifest, the newest unless given.
+    """
+    at = manifest or read_manifest(spark, root)
+    entries = [e for e in at.of("chunks") if e.batch != without_batch]
+    if doc_ids is not None:
+        entries = entries_holding(spark, entries, doc_ids, least_rows=least_rows)
+    return visible(spark, at, entries).select(*INDEX.names)
+
+
+def visible(spark: SparkSession, at: Manifest, entries: list[Entry]) -> DataFrame:
+    """The stored rows of the entries that nothing in the manifest hides."""
+    chunks = _read(spark, entries, STORED)
+    if not entries:
+        return chunks
+    if deleted := at.of("deleted"):
+        gone = _read(spark, deleted, DELETED).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("deleted_at").alias("_deleted_at"))
         hidden = (F.col("doc_id") == F.col("_doc")) & (F.col("written_at") < F.col("_deleted_at"))
-        chunks = chunks.join(broadcast_if_small(gone), hidden, "left_anti")
-    if exists(spark, f"{current}/replaced"):
-        older = (
-            read_if_present(spark, f"{current}/replaced", REPLACED)
-            .groupBy(F.col("chunk_id").alias("_chunk"))
-            .agg(F.max(F.struct("replaced_at", "batch")).alias("_newest"))
-        )
-        # Of the rows of a chunk the one that was written last stays.
-        hidden = (F.col("chunk_id") == F.col("_chunk")) & (F.struct("written_at", "batch") < F.col("_newest"))
-        chunks = chunks.join(broadcast_if_small(older), hidden, "left_anti")
-    return chunks.select(*INDEX.names)
-
-
-def append_batch(chunks: DataFrame, root: str, batch: str, now: Column | None = None) -> int:
+        chunks = chunks.join(_small(gone, deleted), hidden, "left_anti")
+    if replaced := at.of("replaced"):
+        newest = _read(spark, replaced, REPLACED).join(_numbers(spark, replaced), "entry").groupBy(F.col("chunk_id").alias("_chunk")).agg(F.max("number").alias("_number"))
+        # Of the rows of a chunk the one that was committed last stays.
+        hidden = (F.col("chunk_id") == F.col("_chunk")) & (F.col("number") < F.col("_number"))
+        chunks = chunks.join(_numbers(spark, entries), "entry").join(_small(newest, replaced), hidden, "left_anti")
+    return chunks.select(*STORED.names)
+
+
+def append_batch(
+    chunks: DataFrame,
+    root: str,
+    batch: str,
+    now: Column | None = None,
+    deletes: DataFrame | None = None,
+    fields: list[str] | None = None,
+    least_rows: int = FILTERED_ROWS,
+) -> int:
     """Put a batch of chunks into the index by chunk id; returns the row count.
 
-    Where another batch holds a chunk id already, a row that hides it goes with the batch: chunk
+    Where other batches hold a chunk id already, a row that hides it goes with the batch: chunk
     ids alone are compared, contents are neither read nor moved. Of a chunk that comes repeatedly in the
-    batch one row is written.
+    batch one row is written. ``deletes`` (column ``id``) hides older chunks of these documents with the same commit.
+    ``fields`` are the text columns whose postings are written too (see ``postings``).
     """
     spark = chunks.sparkSession
     stamp = F.current_timestamp() if now is None else now
-    current = _current(spark, root)
-    path = f"{current}/chunks"
-    known = read_if_present(spark, path, STORED).filter(F.col("batch") != batch).select("chunk_id")
-    rows = chunks.select(*[F.col(f.name).cast(f.dataType) for f in INDEX.fields], stamp.alias("written_at"))
-    _put(rows.dropDuplicates(["chunk_id"]), path, batch)
-    written = read_if_present(spark, path, STORED).filter(F.col("batch") == batch)
-    again = written.select("chunk_id", F.col("written_at").alias("replaced_at")).join(known, "chunk_id", "left_semi")
-    _put(again, f"{current}/replaced", batch)
-    return written.count()
+    folder = _folder(root, "chunks")
+    entry = F.lit(folder.rsplit("/", 1)[-1]).alias("entry")
+    rows = chunks.select(*[F.col(f.name).cast(f.dataType) for f in INDEX.fields], stamp.alias("written_at"), entry)
+    rows.dropDuplicates(["chunk_id"]).write.parquet(folder)
+    written = spark.read.schema(STORED).parquet(folder)
+    count = written.count()
+    filters = postings = None
+    if count:
+        filters = _folder(root, "filters")
+        for name in ("doc_id", "chunk_id"):
+            write_filters(written, name, count, f"{filters}/{name}")
+        if fields:
+            from quarry.sources.postings import write_postings
+
+            postings = _folder(root, "postings")
+            write_postings(written, fields, postings)
+    new = [Entry("chunks", batch, folder, count, filters=filters, postings=postings)] if count else []
+    if deletes is not None:
+        new.append(_written_deletes(deletes, root, batch, stamp))
+    seen: set[str] = set()
+
+    def change(current: Manifest) -> list[Entry]:
+        kept = [e for e in current.entries if e.batch != batch]
+        # After a lost race only the entries that came in between are compared.
+        others = [e for e in kept if e.kind == "chunks" and e.folder not in seen]
+        seen.update(e.folder for e in others)
+        if count and others:
+            new.extend(_written_replaced(spark, written, others, root, batch, least_rows))
+        return [*kept, *new]
+
+    commit(spark, root, change)
+    return count
+
+
+def _written_replaced(spark: SparkSession, written: DataFrame, others: list[Entry], root: str, batch: str, least_rows: int) -> list[Entry]:
+    """An entry with the chunk ids of the batch that others hold; none if there are none."""
+    others = entries_holding(spark, others, written.select("chunk_id"), "chunk_id", least_rows)
+    if not others:
+        return []
+    folder = _folder(root, "replaced")
+    known = _read(spark, others, STORED).select("chunk_id")
+    again = written.select("chunk_id").join(known, "chunk_id", "left_semi").withColumn("entry", F.lit(folder.rsplit("/", 1)[-1]))
+    again.write.parquet(folder)
+    rows = spark.read.schema(REPLACED).parquet(folder).count()
+    return [Entry("replaced", batch, folder, rows)] if rows else []
+
+
+def _written_deletes(ids: DataFrame, root: str, batch: str, stamp: Column) -> Entry:
+    folder = _folder(root, "deleted")
+    distinct_ids(ids).select(F.col("id").alias("doc_id"), stamp.alias("deleted_at")).write.parquet(folder)
+    return Entry("deleted", batch, folder, ids.sparkSession.read.schema(DELETED).parquet(folder).count())
 
 
 def delete_docs(ids: DataFrame, root: str, batch: str, now: Column | None = None) -> None:
     """Hide every chunk of the given ids (column ``id``) written before ``now``."""
-    rows = distinct_ids(ids).select(
-        F.col("id").alias("doc_id"), (F.current_timestamp() if now is None else now).alias("deleted_at")
-    )
-    _put(rows, f"{_current(ids.sparkSession, root)}/deleted", batch)
+    new = _written_deletes(ids, root, batch, F.current_timestamp() if now is None else now)
+    commit(ids.sparkSession, root, lambda current: [*[e for e in current.entries if (e.kind, e.batch) != ("deleted", batch)], new])
 
 
 def compact(spark: SparkSession, root: str, keep: DataFrame | None = None) -> None:
-    """Write the visible chunks, or ``keep``, as the next generation.
+    """Put the visible chunks, or ``keep``, in the place of all entries they come from.
 
-    An empty ``keep`` wipes the index. The index must have no other writer
-    meanwhile.
+    An empty ``keep`` wipes the index. Entries that other writers commit meanwhile stay; if one of the entries read
+    is replaced meanwhile, the work is done again.
     """
-    following = _generation(spark, root) + 1
-    rows = (read_index(spark, root) if keep is None else keep).withColumn("written_at", F.current_timestamp())
-    (
-        rows.withColumn("batch", F.lit(f"compacted-{following}"))
-        .write.partitionBy("batch")
-        .option("partitionOverwriteMode", "static")
-        .mode("overwrite")
-        .parquet(f"{root}/gen={following}/chunks")
-    )
+    while True:
+        at = read_manifest(spark, root)
+        folder = _folder(root, "chunks")
+        # Rows keep their time, so that a deletion that is under way hides them as before.
+        rows = visible(spark, at, at.of("chunks")) if keep is None else keep.select(*INDEX.names, F.current_timestamp().alias("written_at"))
+        rows.withColumn("entry", F.lit(folder.rsplit("/", 1)[-1])).write.parquet(folder)
+        written = spark.read.schema(STORED).parquet(folder)
+        count, read = written.count(), {e.folder for e in at.entries}
+        filters = None
+        if count:
+            filters = _folder(root, "filters")
+            for name in ("doc_id", "chunk_id"):
+                write_filters(written, name, count, f"{filters}/{name}")
+        # The number of the newest entry read: later ones still hide its rows.
+        new = [Entry("chunks", f"compacted-{folder[-12:]}", folder, count, number=at.number or 1, filters=filters)] if count else []
+        stale = []
+
+        def change(current: Manifest) -> list[Entry] | None:
+            if not read <= {e.folder for e in current.entries}:
+                stale.append(True)
+                return None
+            return [*new, *[e for e in current.entries if e.folder not in read]]
+
+        commit(spark, root, change)
+        if not stale:
+            return
 
 
 def note_version(spark: SparkSession, root: str, batch: str) -> None:

@@ -57,7 +57,8 @@ def speed_layer(
 ) -> StreamingQuery:
     """Index documents as they arrive.
 
-    Known documents are skipped before anything is cleaned or embedded. The
+    Known documents are skipped before anything is cleaned or embedded, and of a large index only the
+    batches are read that may hold one of them. The
     batch's own earlier output is not counted as known, or a replay after a
     failure between write and commit would lose it.
     """
@@ -65,7 +66,7 @@ def speed_layer(
     def write(batch: DataFrame, batch_id: int) -> None:
         name = f"speed-{batch_id:012d}"
         spark = batch.sparkSession
-        known = read_index(spark, root, without_batch=name)
+        known = read_index(spark, root, without_batch=name, doc_ids=batch.select(F.col("id").alias("doc_id")))
         chunks = new_chunks(skip_indexed_docs(batch, known), embed, max_length, overlap)
         if append_batch(chunks, root, name):
             note_version(spark, root, name)
