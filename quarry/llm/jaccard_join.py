@@ -422,8 +422,10 @@ def further_links(groups: DataFrame, label: DataFrame, points: DataFrame, pairs_
                 found.append((nodes[i], nodes[j]))
         return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
-    columns = ["key", "low", "high", "node", "root", "n", "point"]
-    first = stored(tiles(rows, F.ceil(F.col("m") / TILE)).select(*columns).groupBy("key", "low", "high").applyInArrow(narrow, "u long, v long, dense long"), "tiles")
+    columns, tile = ["key", "low", "high", "node", "root", "n", "point"], ["key", "low", "high"]
+    # Few bytes mean much work here: tiles are dealt over all partitions, however small they are.
+    spread = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = stored(tiles(rows, F.ceil(F.col("m") / TILE)).select(*columns).repartition(spread, *tile).groupBy(*tile).applyInArrow(narrow, "u long, v long, dense long"), "tiles")
     links = verify(first.where("u is not null").select("u", "v").distinct())
     dense = first.where("dense is not null").select(F.col("dense").alias("key")).distinct()
     if dense.isEmpty():
@@ -432,7 +434,7 @@ def further_links(groups: DataFrame, label: DataFrame, points: DataFrame, pairs_
     size = crowded.groupBy("key").agg(F.greatest(F.ceil(F.sum("n") * 8 / DENSE_BYTES), F.ceil(F.count(F.lit(1)) / DENSE)).alias("blocks"))
     whole = stored(sets(crowded.select("node").distinct()).dropDuplicates(["node"]), "sets")
     dealt = tiles(crowded.join(size, "key").withColumnRenamed("blocks", "parts"), F.col("parts")).select(*columns)
-    return links.unionByName(dealt.join(whole, "node").groupBy("key", "low", "high").applyInArrow(compare, "u long, v long"))
+    return links.unionByName(dealt.join(whole, "node").repartition(spread, *tile).groupBy(*tile).applyInArrow(compare, "u long, v long"))
 
 
 def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, share: int = 85) -> DataFrame:

@@ -110,6 +110,13 @@ def plausible(nu: np.ndarray, nv: np.ndarray, above: np.ndarray, below: np.ndarr
     return fits & ((best >= share / 100) | (likelihood(best, nu, nv, above, below, equal) - asked <= DOUBT))
 
 
+def least_equal(share: int, registers: int = REGISTERS) -> int:
+    """So many registers are equal at least in a plausible pair, with twice the doubt: a cheap test before the estimate."""
+    e, s = np.arange(1, registers) / registers, share / 100
+    against = registers * (e * np.log(e / s) + (1 - e) * np.log((1 - e) / (1 - s)))
+    return int(np.flatnonzero((e < s) & (against > 2 * DOUBT)).max(initial=0))
+
+
 def _matrix(points: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(points), np.uint16).reshape(len(points), -1)
 
@@ -117,9 +124,10 @@ def _matrix(points: list[bytes]) -> np.ndarray:
 def near_pairs(points: list[bytes], sizes: np.ndarray, class_of: np.ndarray, share: int) -> list[tuple[int, int]]:
     """Pairs of rows of different classes that are plausible links, the likeliest first."""
     sketched, n = _matrix(points), sizes.astype(np.float64)
-    found = []
+    found, least = [], least_equal(share, sketched.shape[1])
     for i in range(len(sketched) - 1):
         j = np.flatnonzero((class_of[i + 1 :] != class_of[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= share * np.maximum(n[i + 1 :], n[i]))) + i + 1
+        j = j[np.count_nonzero(sketched[j] == sketched[i], axis=1) >= least]
         if not len(j):
             continue
         above, below = ((x).sum(1).astype(np.float64) for x in (sketched[i] > sketched[j], sketched[i] < sketched[j]))
