@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import requests_v, scratch, sql, table
 from catalog.registry import Registry
 from quarry.operators import cache, metrics
-from quarry.streaming.answer_cache import answer_cache_stream
+from quarry.streaming.answer_cache import answer_cache_stream, ordered_cache_stream
 
 registry = Registry()
 QUERIES, SQL, entry = registry.queries, registry.sql, registry.entry
@@ -200,3 +200,60 @@ def answer_cache_stream_query(spark, folder):
     )
     query.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("key", "id", "cache_hit", "answer_set")
+
+
+def _ordered(spark, folder, ttl, changes=None):
+    """The log dealt over micro-batches by hash, then two requests long after that move the watermark."""
+    root = scratch(spark)
+    log = cache_requests(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    later = log.agg(F.max("ts").alias("ts")).selectExpr("cast(null as long) key", "ts", "-1L id", "false settable")
+    for part in range(3):
+        log.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).coalesce(1).write.parquet(f"{root}/log/{part}")
+    for days in (100, 200):
+        later.withColumn("ts", F.col("ts") + F.make_interval(days=F.lit(days))).write.parquet(f"{root}/log/later-{days}")
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+    def read(path, schema):
+        return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(path)
+
+    if changes is not None:
+        changes.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{root}/changes")
+    marks = None if changes is None else read(f"{root}/changes", "ts timestamp")
+    query = (
+        ordered_cache_stream(read(f"{root}/log", log.schema), ttl, "60 days", marks, buckets=8)
+        .writeStream.format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out").where("id >= 0").select("key", "id", "cache_hit", "answer_set")
+
+
+def _stream_sql(alive):
+    return _replay_sql(alive).replace("SELECT key, ts, id, settable, hit", "SELECT CAST(key AS VARCHAR) AS key, id, hit")
+
+
+@entry("answer_cache_ordered", sql(_stream_sql("r.ts - p.set_at <= INTERVAL 1 hour"), "requests_v", reaching=REACHING))
+def answer_cache_ordered(spark, folder):
+    """Requests out of order over micro-batches, taken in the order of their times."""
+    return _ordered(spark, folder, 3600)
+
+
+@entry(
+    "answer_cache_ordered_invalidated",
+    sql(
+        _stream_sql("r.ts - p.set_at <= INTERVAL 1 day AND NOT EXISTS (SELECT 1 FROM changes c WHERE c.ts > p.set_at AND c.ts <= r.ts)"),
+        "requests_v",
+        reaching=REACHING,
+        changes=CHANGES,
+    ),
+)
+def answer_cache_ordered_invalidated(spark, folder):
+    """Requests and changes of the index as two streams into one state."""
+    changes = table(spark, folder, "events").select(F.window("ts", "6 hours")["start"].alias("ts")).distinct()
+    return _ordered(spark, folder, 86_400, changes)
