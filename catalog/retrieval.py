@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.documents import REDACTED_COUNT, REDACTED_TEXT
-from catalog.fixtures import chunks_v, docs_v, index_v, labelled_v, questions_v, requests_v, sql, table, tokens_sql
+from catalog.fixtures import chunks_v, docs_v, index_v, labelled_v, questions_v, requests_v, scratch, sql, table, tokens_sql
 from catalog.registry import Registry
 from quarry.functions.replies import NO_CONTEXT, NO_INFO_REPLY
 from quarry.operators import evaluate, rag, retrieval
+from quarry.operators.stored_search import stored_search
 from quarry.plans import chat, evaluation
+from quarry.sources.chunk_table import append_batch
 
 registry = Registry()
 QUERIES, SQL, entry = registry.queries, registry.sql, registry.entry
@@ -341,3 +343,14 @@ def chat_table(spark, folder):
         "query_id", "false cache_hit", "question cached_answer", "0 cached_sources"
     )
     return chat.answer(asked, hits, replies, cached).select("query_id", "path", "answer", "source_count")
+
+
+# The chunks are written in two batches with their postings, and searched by these.
+@entry("bm25_stored", sql(f"SELECT {HIT} FROM text_hits", "text_hits"))
+def bm25_stored(spark, folder):
+    root = scratch(spark)
+    chunks = chunks_v(spark, folder).withColumn("embedding", F.lit(None).cast("array<float>"))
+    half = F.pmod(F.xxhash64("chunk_id"), F.lit(2))
+    for part in (0, 1):
+        append_batch(chunks.where(half == part), root, f"part-{part}", fields=["chunk_text", "title"])
+    return stored_search(spark, root, questions_v(spark, folder)).select(*HIT.split(", "))

@@ -7,7 +7,7 @@ Questions are a DataFrame with ``query_id`` and ``question``; the index has
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -208,14 +208,14 @@ def _in_blocks(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _field_weights(index: DataFrame, boosts: dict[str, float], names: list[str]) -> dict[str, tuple[np.ndarray, float]]:
-    """Boosted idf of each term and mean length, per field.
+def field_counts(index: DataFrame, fields: Iterable[str], names: list[str]) -> dict[str, tuple[np.ndarray, float, float]]:
+    """Per field: rows with each term, rows that are not empty, and their tokens.
 
     One aggregation, combined before its shuffle; its result has a row per
     field and question term.
     """
     slots = index.sparkSession.createDataFrame([(NO_SLOT, NO_TERM), *enumerate(names)], "slot int, term string")
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), fold_tokens(F.col(f)).alias("tokens")) for f in boosts])
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), fold_tokens(F.col(f)).alias("tokens")) for f in fields])
     terms = index.select(F.inline(per_field)).select(
         "field", F.size("tokens").alias("size"),
         F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(NO_TERM)))).alias("term"),
@@ -226,13 +226,20 @@ def _field_weights(index: DataFrame, boosts: dict[str, float], names: list[str])
         .agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("size") > 0).alias("docs"), F.sum("size").alias("total"))
         .toPandas()
     )
-    weights = {}
-    for field, boost in boosts.items():
+    found = {}
+    for field in fields:
         mine = counted[counted["field"] == field].set_index("slot")
         df = mine["df"].reindex(range(len(names)), fill_value=0).to_numpy(dtype=np.float64)
-        docs = float(mine["docs"].get(NO_SLOT, 0))
-        mean = float(mine["total"].get(NO_SLOT, 0)) / docs if docs else 1.0
-        weights[field] = (boost * np.log1p(np.maximum(docs - df + 0.5, 0.5) / (df + 0.5)), mean)
+        found[field] = (df, float(mine["docs"].get(NO_SLOT, 0)), float(mine["total"].get(NO_SLOT, 0)))
+    return found
+
+
+def _field_weights(index: DataFrame, boosts: dict[str, float], names: list[str]) -> dict[str, tuple[np.ndarray, float]]:
+    """Boosted idf of each term and mean length, per field."""
+    weights = {}
+    for field, (df, docs, total) in field_counts(index, boosts, names).items():
+        mean = total / docs if docs else 1.0
+        weights[field] = (boosts[field] * np.log1p(np.maximum(docs - df + 0.5, 0.5) / (df + 0.5)), mean)
     return weights
 
 
@@ -271,9 +278,11 @@ class _BestText:
         self.held.append(pd.DataFrame({"q": query, self.key: keys, "s": score, "r": ranked, "sent": sent}))
         self.size += len(query)
         if self.size > 2 * self.k * len(self.ids) + STRIP_CELLS // 100:
-            self._shrink()
+            self.shrink()
 
-    def _shrink(self) -> None:
+    def shrink(self) -> None:
+        if not self.held:
+            return
         rows = pd.concat(self.held).sort_values(["q", "r", self.key], ascending=[True, False, True])
         rows = rows.groupby("q").head(self.k)
         last = rows.groupby("q")["r"].agg(["size", "last"])
@@ -283,7 +292,7 @@ class _BestText:
 
     def rows(self) -> Iterator[pd.DataFrame]:
         if self.held:
-            self._shrink()
+            self.shrink()
             left = self.held[0][~self.held[0]["sent"].to_numpy(bool)]
             yield pd.DataFrame({"query_id": self.ids[left["q"].to_numpy(np.int64)], self.key: left[self.key].to_numpy(), "score": left["s"].to_numpy()})
 

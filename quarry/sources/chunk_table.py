@@ -22,6 +22,7 @@ from quarry.schemas import AUDIT, INDEX
 from quarry.session import BROADCAST_ROWS
 from quarry.sources.id_filter import may_hold, write_filters
 from quarry.sources.manifest import Entry, Manifest, commit, read_manifest
+from quarry.sources.postings import write_postings
 from quarry.sources.storage import read_if_present
 
 _BATCH = T.StructField("batch", T.StringType())
@@ -98,6 +99,11 @@ def read_index(
     return visible(spark, at, entries).select(*INDEX.names)
 
 
+def stored_rows(spark: SparkSession, entries: list[Entry]) -> DataFrame:
+    """All rows of the entries, hidden ones too."""
+    return _read(spark, entries, STORED)
+
+
 def visible(spark: SparkSession, at: Manifest, entries: list[Entry]) -> DataFrame:
     """The stored rows of the entries that nothing in the manifest hides."""
     chunks = _read(spark, entries, STORED)
@@ -139,16 +145,7 @@ def append_batch(
     rows.dropDuplicates(["chunk_id"]).write.parquet(folder)
     written = spark.read.schema(STORED).parquet(folder)
     count = written.count()
-    filters = postings = None
-    if count:
-        filters = _folder(root, "filters")
-        for name in ("doc_id", "chunk_id"):
-            write_filters(written, name, count, f"{filters}/{name}")
-        if fields:
-            from quarry.sources.postings import write_postings
-
-            postings = _folder(root, "postings")
-            write_postings(written, fields, postings)
+    filters, postings = _beside(written, count, root, fields)
     new = [Entry("chunks", batch, folder, count, filters=filters, postings=postings)] if count else []
     if deletes is not None:
         new.append(_written_deletes(deletes, root, batch, stamp))
@@ -167,6 +164,19 @@ def append_batch(
     return count
 
 
+def _beside(written: DataFrame, count: int, root: str, fields: list[str] | None) -> tuple[str | None, str | None]:
+    """Folders of the filters and, if asked for, of the postings of written chunks."""
+    if not count:
+        return None, None
+    filters, postings = _folder(root, "filters"), None
+    for name in ("doc_id", "chunk_id"):
+        write_filters(written, name, count, f"{filters}/{name}")
+    if fields:
+        postings = _folder(root, "postings")
+        write_postings(written, fields, postings)
+    return filters, postings
+
+
 def _written_replaced(spark: SparkSession, written: DataFrame, others: list[Entry], root: str, batch: str, least_rows: int) -> list[Entry]:
     """An entry with the chunk ids of the batch that others hold; none if there are none."""
     others = entries_holding(spark, others, written.select("chunk_id"), "chunk_id", least_rows)
@@ -192,11 +202,11 @@ def delete_docs(ids: DataFrame, root: str, batch: str, now: Column | None = None
     commit(ids.sparkSession, root, lambda current: [*[e for e in current.entries if (e.kind, e.batch) != ("deleted", batch)], new])
 
 
-def compact(spark: SparkSession, root: str, keep: DataFrame | None = None) -> None:
+def compact(spark: SparkSession, root: str, keep: DataFrame | None = None, fields: list[str] | None = None) -> None:
     """Put the visible chunks, or ``keep``, in the place of all entries they come from.
 
     An empty ``keep`` wipes the index. Entries that other writers commit meanwhile stay; if one of the entries read
-    is replaced meanwhile, the work is done again.
+    is replaced meanwhile, the work is done again. ``fields`` as in ``append_batch``.
     """
     while True:
         at = read_manifest(spark, root)
@@ -206,13 +216,9 @@ def compact(spark: SparkSession, root: str, keep: DataFrame | None = None) -> No
         rows.withColumn("entry", F.lit(folder.rsplit("/", 1)[-1])).write.parquet(folder)
         written = spark.read.schema(STORED).parquet(folder)
         count, read = written.count(), {e.folder for e in at.entries}
-        filters = None
-        if count:
-            filters = _folder(root, "filters")
-            for name in ("doc_id", "chunk_id"):
-                write_filters(written, name, count, f"{filters}/{name}")
+        filters, postings = _beside(written, count, root, fields)
         # The number of the newest entry read: later ones still hide its rows.
-        new = [Entry("chunks", f"compacted-{folder[-12:]}", folder, count, number=at.number or 1, filters=filters)] if count else []
+        new = [Entry("chunks", f"compacted-{folder[-12:]}", folder, count, number=at.number or 1, filters=filters, postings=postings)] if count else []
         stale = []
 
         def change(current: Manifest) -> list[Entry] | None:
