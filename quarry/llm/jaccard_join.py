@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -142,8 +143,8 @@ def folded(points: list[bytes]) -> np.ndarray:
     return np.array([np.frombuffer(p, np.uint8).reshape(-1, size).sum(0, dtype=np.int32) for p in points])
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, class_of: np.ndarray, share: int) -> list[tuple[int, int]]:
-    """Pairs of different classes whose points do not rule a link out, by a packed R-tree.
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, class_of: np.ndarray, share: int) -> Iterator[tuple[int, int]]:
+    """Pairs of different classes, one leaf against another at a time, whose points do not rule a link out, by a packed R-tree.
 
     Leaves hold points of like size and direction; a leaf's vector of largest counts bounds the overlap with any
     of its points by the sum of coordinate minima, first against whole leaves, then against points.
@@ -154,7 +155,6 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, class_of: np.ndarray, shar
     most = np.array([points[leaf].max(0) for leaf in leaves])
     least = np.array([sizes[leaf].min() for leaf in leaves])
     largest = np.array([sizes[leaf].max() for leaf in leaves])
-    found = []
     for i, leaf in enumerate(leaves):
         bound = np.minimum(most[i], most[i:]).sum(1)
         near = (bound * (100 + share) >= need(least[i], least[i:])) & (largest[i] * 100 >= least[i:] * share)
@@ -162,8 +162,9 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, class_of: np.ndarray, shar
             other = leaves[j]
             overlap = np.minimum(points[leaf][:, None, :], points[other][None, :, :]).sum(2)
             fits = (overlap * (100 + share) >= need(sizes[leaf][:, None], sizes[other][None, :])) & (class_of[leaf][:, None] != class_of[other][None, :])
-            found += [(int(leaf[a]), int(other[b])) for a, b in zip(*np.nonzero(fits), strict=True) if i != j or a < b]
-    return found
+            for a, b in zip(*(x.tolist() for x in np.nonzero(fits)), strict=True):
+                if i != j or a < b:
+                    yield int(leaf[a]), int(other[b])
 
 
 def members(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
@@ -400,11 +401,12 @@ def further_links(groups: DataFrame, label: DataFrame, points: DataFrame, pairs_
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
-    def candidates(table: pa.Table) -> list[tuple[int, int]]:
+    def candidates(table: pa.Table) -> Iterator[tuple[int, int]]:
         return pairs_of(table.column("point").to_pylist(), table.column("n").to_numpy(), table.column("root").to_numpy())
 
     def narrow(key: tuple, table: pa.Table) -> pa.Table:
-        nodes, found = table.column("node").to_numpy(), candidates(table)
+        nodes = table.column("node").to_numpy()
+        found = list(islice(candidates(table), len(nodes) + 1))
         if len(found) > len(nodes):
             return pa.table({"u": pa.array([None], pa.int64()), "v": pa.array([None], pa.int64()), "dense": pa.array([key[0].as_py()], pa.int64())})
         left, right = (nodes[[p[i] for p in found]] if found else np.zeros(0, np.int64) for i in (0, 1))

@@ -121,10 +121,10 @@ def _matrix(points: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(points), np.uint16).reshape(len(points), -1)
 
 
-def near_pairs(points: list[bytes], sizes: np.ndarray, class_of: np.ndarray, share: int) -> list[tuple[int, int]]:
-    """Pairs of rows of different classes that are plausible links, the likeliest first."""
+def near_pairs(points: list[bytes], sizes: np.ndarray, class_of: np.ndarray, share: int) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different classes that are plausible links, row by row."""
     sketched, n = _matrix(points), sizes.astype(np.float64)
-    found, least = [], least_equal(share, sketched.shape[1])
+    least = least_equal(share, sketched.shape[1])
     for i in range(len(sketched) - 1):
         j = np.flatnonzero((class_of[i + 1 :] != class_of[i]) & (np.minimum(n[i + 1 :], n[i]) * 100 >= share * np.maximum(n[i + 1 :], n[i]))) + i + 1
         j = j[np.count_nonzero(sketched[j] == sketched[i], axis=1) >= least]
@@ -133,8 +133,7 @@ def near_pairs(points: list[bytes], sizes: np.ndarray, class_of: np.ndarray, sha
         above, below = ((x).sum(1).astype(np.float64) for x in (sketched[i] > sketched[j], sketched[i] < sketched[j]))
         equal = sketched.shape[1] - above - below
         fits = plausible(np.full(len(j), n[i]), n[j], above, below, equal, share)
-        found += [(-e, i, int(k)) for e, k in zip(equal[fits], j[fits], strict=True)]
-    return [pair[1:] for pair in sorted(found)]
+        yield from ((i, k) for k in j[fits][np.argsort(-equal[fits], kind="stable")].tolist())
 
 
 def sketched_rows(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
