@@ -25,7 +25,7 @@ from quarry.session import broadcast_if_small
 # of an R-tree leaf, rows that one tile of a group holds.
 COORDINATES = 64
 LEAF = 16
-TILE = 256
+TILE = 512
 # Rows, and bytes of sets, of one block of a tile whose sets are compared in place.
 DENSE = 1_024
 DENSE_BYTES = 1 << 23
