@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quarry.llm.common import whole_text, words_of
+from quarry.llm.common import stored, whole_text, words_of
 from quarry.session import broadcast_if_small
 
 # Base rules.
@@ -210,7 +210,8 @@ def judge(
     A null text has no words. Repeated rows are judged each; ids play no part. An empty table gives no
     rows. Texts of any length are measured whole.
     """
-    refs = broadcast_if_small(references(docs, lang_column, text_column))
+    # Written once: a row per language, read for its size and for the join.
+    refs = broadcast_if_small(stored(references(docs, lang_column, text_column), "references"))
     scored = measured(docs, text_column).join(refs.withColumnRenamed("_lang", "_ref_lang"), F.col(lang_column) == F.col("_ref_lang"), "left")
     text = whole_text(text_column)
     chars = F.when((F.length(text) >= GUARD_CHARS) & F.col("_ref_lang").isNotNull() & ~F.col("_base_failed"), distance(class_counts(text), F.col("_ref_chars")))
