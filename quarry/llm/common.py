@@ -65,3 +65,29 @@ def tokenizer(path: str) -> object:
     if path not in known:
         known[path] = Tokenizer.from_file(path)
     return known[path]
+
+
+# Steps that ``folded`` takes before it sets their rows aside.
+PIECE = 256
+
+
+def folded(steps: Column, at: Column, empty: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Struct of the last ``at`` and all ``rows`` of a fold whose ``step`` gives ``at`` and the ``rows`` with more behind.
+
+    An array that grows is copied at every step. Here it grows for at most ``PIECE`` steps; the pieces are
+    joined at the end, so that a fold of any length takes time in proportion to it.
+    """
+    start = lambda value: F.struct(value.alias("at"), empty.alias("rows"))
+
+    def piece(done: Column, number: Column, every: Column) -> Column:
+        part = F.aggregate(F.slice(every, number * PIECE + 1, F.lit(PIECE)), start(done["at"]), step)
+        # Behind a transform the part is folded once, though it is used twice.
+        return F.get(F.transform(F.array(part), lambda x: F.struct(x["at"].alias("at"), F.concat(done["parts"], F.array(x["rows"])).alias("parts"))), F.lit(0))
+
+    def whole(every: Column) -> Column:
+        pieces = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / PIECE).cast("int"))
+        zero = F.struct(at.alias("at"), F.array(empty).alias("parts"))
+        return F.aggregate(pieces, zero, lambda done, number: piece(done, number, every), lambda done: F.struct(done["at"].alias("at"), F.flatten(done["parts"]).alias("rows")))
+
+    known = F.get(F.transform(F.array(steps), whole), F.lit(0))
+    return F.when(F.size(steps) > 0, known).otherwise(start(at))

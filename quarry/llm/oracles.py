@@ -17,7 +17,7 @@ def spans_cte(name: str, pattern: str, options: str = "", source: str = "documen
         FROM {name}_u WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
 
 
-def secrets_sql(copied_owners: int) -> str:
+def secrets_sql(copied_owners: int, copied_repositories: int) -> str:
     assign = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     quoted = assign.replace("'", "''")
     kinds = {
@@ -42,21 +42,24 @@ def secrets_sql(copied_owners: int) -> str:
         UNION ALL SELECT doc_id, start, stop, 'hex', 2, value FROM hex WHERE length(value) >= 32
         UNION ALL {more}),
     owned AS (
-        SELECT s.secret, count(DISTINCT coalesce(d.source, '')) AS n_owners
+        SELECT s.secret, count(DISTINCT coalesce(d.source, '')) AS n_owners,
+            count(DISTINCT (coalesce(d.source, ''), coalesce(d.lang, ''))) AS n_repositories
         FROM spans s JOIN documents d USING (doc_id) GROUP BY s.secret),
-    judged AS (SELECT s.*, o.n_owners >= {copied_owners} AS copied FROM spans s JOIN owned o USING (secret)),
+    judged AS (SELECT s.*, n_owners, n_repositories, n_owners >= {copied_owners} OR n_owners > 1 AND n_repositories >= {copied_repositories} AS copied FROM spans s JOIN owned o USING (secret)),
     listed AS (
         SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
             coalesce(string_agg({line}, ',' ORDER BY start, ord) FILTER (ord <= 2), '') AS base,
             coalesce(string_agg({line}, ',' ORDER BY start, ord) FILTER (ord <= 2 OR NOT copied), '') AS spans,
-            count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied
+            count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied,
+            max(n_owners) AS most_owners, max(n_repositories) AS most_repositories
         FROM judged GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+        coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
     FROM documents d LEFT JOIN listed l USING (doc_id)"""
 
 
-def divergence_sql(least_words: int, repeated: int, guard_chars: int, guard_words: int, reference_words: int, common: int, letters: int, chars: float, words: float) -> str:
+def divergence_sql(least_words: int, repeated: int, guard_chars: int, guard_words: int, reference_words: int, common: int, letters: int, chars: float, words: float, share: float) -> str:
     classes = [r"\p{Ll}", r"\p{Lu}", r"[\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"\p{N}", r"[\p{Z}\x09-\x0D]", "[.,;:!?]"]
     counted = ", ".join(f"length(t) - length(regexp_replace(t, '(?:{c})+', '', 'g'))" for c in classes)
     jensen = "sqrt(greatest(0, sum(CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0 END) / 2))"
@@ -91,12 +94,15 @@ def divergence_sql(least_words: int, repeated: int, guard_chars: int, guard_word
         SELECT c.doc_id, coalesce(o.n, 0) / len(c.c) AS a, b.n / t.total AS b
         FROM cores c JOIN totals t USING (lang) JOIN best b USING (lang) LEFT JOIN own o ON o.doc_id = c.doc_id AND o.word = b.word WHERE NOT c.base_failed),
     rest AS (SELECT * FROM shares UNION ALL SELECT doc_id, 1 - sum(a), 1 - sum(b) FROM shares GROUP BY doc_id),
-    word_distance AS (SELECT doc_id, {jensen} AS d FROM rest GROUP BY doc_id)
+    word_distance AS (SELECT doc_id, {jensen} AS d FROM rest GROUP BY doc_id),
+    parts AS (SELECT lang, count(*) AS k, sum(n / total) AS s FROM best JOIN totals USING (lang) GROUP BY lang),
+    none AS (SELECT lang, k, s, sqrt((s + log2(2 / (2 - s)) + (1 - s) * log2(2 * (1 - s) / (2 - s))) / 2) AS d FROM parts),
+    limits AS (SELECT doc_id, least({words}, none.d * {share} * sqrt(greatest(1, k / (len(c) * s)))) AS most FROM cores JOIN none USING (lang))
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
         CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-        NOT base_failed AND coalesce(c.d, 0) <= {chars} AND coalesce(x.d, 0) <= {words} AS kept,
+        NOT base_failed AND coalesce(c.d, 0) <= {chars} AND coalesce(x.d <= most, true) AS kept,
         round(c.d, 4) AS char_distance, round(x.d, 4) AS word_distance
-    FROM judged LEFT JOIN char_distance c USING (doc_id) LEFT JOIN word_distance x USING (doc_id)"""
+    FROM judged LEFT JOIN char_distance c USING (doc_id) LEFT JOIN word_distance x USING (doc_id) LEFT JOIN limits USING (doc_id)"""
 
 
 def hard_negatives_sql(every: int, positives: int, negatives: int, low: int, high: int, scale: int) -> str:

@@ -45,7 +45,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents")).drop("marked", "text_key")
 
 
-SQL["op10_secret_scan"] = oracles.secrets_sql(copied_owners=3)
+SQL["op10_secret_scan"] = oracles.secrets_sql(copied_owners=3, copied_repositories=4)
 
 
 @_entry
@@ -78,15 +78,14 @@ SQL["op1_warc_transactions"] = """
 def op2_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     from quarry.llm.divergence import judge
 
-    # The fixed word limit of the SQL below.
-    judged = judge(table(spark, folder, "documents"), word_share=None)
+    judged = judge(table(spark, folder, "documents"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
     rounded = {"char_distance", "word_distance"}
     return judged.select("doc_id", *[(F.round(f"_{n}", 4) if n in rounded else F.col(f"_{n}")).alias(n) for n in names])
 
 
 SQL["op2_quality_divergence"] = oracles.divergence_sql(
-    least_words=50, repeated=50, guard_chars=200, guard_words=100, reference_words=5_000, common=25, letters=5, chars=0.30, words=0.45
+    least_words=50, repeated=50, guard_chars=200, guard_words=100, reference_words=5_000, common=25, letters=5, chars=0.30, words=0.45, share=0.75
 )
 
 

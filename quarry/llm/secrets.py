@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, whole_text
+from quarry.llm.common import folded, stored, whole_text
 from quarry.llm.spans import listed, of_kind, with_spans
 from quarry.session import broadcast_if_small
 
 # A value that so many owners hold is a copied example.
 COPIED_OWNERS = 3
+# Or, with two owners, from so many repositories on.
+COPIED_REPOSITORIES = 4
 
 # The base kinds, in the order of their spans. Hex and access runs are maximal by their class.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -84,34 +86,38 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: str = "source", repository: str = "lang", copied_owners: int = COPIED_OWNERS
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: str = "source", repository: str = "lang", copied_owners: int = COPIED_OWNERS,
+    copied_repositories: int = COPIED_REPOSITORIES,
 ) -> DataFrame:
     """Base spans, further live-looking spans and verdict counts of every document.
 
-    Values that ``copied_owners`` or more owners hold are copied examples; the others are
-    owner-specific and look live. Base spans always stay; of the further candidates only live ones
+    Values that ``copied_owners`` or more owners hold, or two owners in ``copied_repositories`` or more repositories, are copied
+    examples; the others are owner-specific and look live. Base spans always stay; of the further candidates only live ones
     become spans. Columns: ``doc_id``, ``text_key`` (hash of the text, joins back to it), ``n_assign``,
-    ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_live``, ``n_copied`` and ``marked``, the
-    spans as an array.
+    ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_live``, ``n_copied``, ``most_owners`` and
+    ``most_repositories`` (the largest counts of the document's candidates) and ``marked``, the spans as an array.
 
     A null text is empty and has no spans. Repeated rows are each returned; ids may be null. An empty
     table gives no rows; other columns are ignored. Texts of any length are scanned whole.
     """
     found = stored(candidates(docs, id_column, text_column, owner, repository), "secrets")
-    copied = ownership(found).where(F.col("n_owners") >= copied_owners).select("hash")
+    owned = stored(ownership(found), "ownership")
+    copied = (F.col("n_owners") >= copied_owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= copied_repositories))
     each = found.where(F.size("base") + F.size("more") > 0).select("doc_id", "text_key", F.explode(F.array_distinct(F.transform(F.concat("base", "more"), lambda s: s["hash"]))).alias("hash"))
-    # Few hashes are copied; their rows alone are gathered per document.
-    spread = each.join(copied, "hash").groupBy("doc_id", "text_key").agg(F.collect_set("hash").alias("copied"))
+    spread = each.join(owned, "hash").groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.when(copied, F.col("hash"))).alias("copied"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories")
+    )
     left, right = found.alias("l"), spread.alias("r")
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_key") == F.col("r.text_key"))
-    joined = left.join(right, same, "left").select("l.*", F.coalesce("r.copied", F.array().cast("array<string>")).alias("copied"))
+    most = [F.coalesce(f"r.{c}", F.lit(0)).cast("long").alias(c) for c in ("most_owners", "most_repositories")]
+    joined = left.join(right, same, "left").select("l.*", F.coalesce("r.copied", F.array().cast("array<string>")).alias("copied"), *most)
     marked = F.array_sort(F.concat("base", F.filter("more", lambda s: ~F.array_contains("copied", s["hash"]))))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n_copied = F.size(F.filter(F.concat("base", "more"), lambda s: F.array_contains("copied", s["hash"])))
     return joined.select(
         "doc_id", "text_key", *[count(kind) for kind in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(marked).alias("spans"), (F.size("base") + F.size("more") - n_copied).cast("long").alias("n_live"),
-        n_copied.cast("long").alias("n_copied"), marked.alias("marked"),
+        n_copied.cast("long").alias("n_copied"), "most_owners", "most_repositories", marked.alias("marked"),
     )
 
 
@@ -120,12 +126,12 @@ def redacted(text: Column, marked: Column, mask: str = "[SECRET]") -> Column:
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["start"] >= done["at"]
-        kept = F.when(fresh, F.concat(done["out"], F.array(F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mask)))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), kept.alias("out"))
+        kept = F.when(fresh, F.concat(done["rows"], F.array(F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mask)))).otherwise(done["rows"])
+        return F.struct(F.greatest(done["at"], s["stop"]).alias("at"), kept.alias("rows"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda done: F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    return F.when(F.size(marked) > 0, F.aggregate(marked, first, step, rest)).otherwise(text)
+    done = folded(marked, F.lit(0), F.array().cast("array<string>"), step)
+    whole = F.get(F.transform(F.array(done), lambda x: F.concat(F.array_join(x["rows"], ""), F.substring(text, x["at"] + 1, F.length(text)))), F.lit(0))
+    return F.when(F.size(marked) > 0, whole).otherwise(text)
 
 
 def mask_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import folded
+
 SPAN = "array<struct<start:int,stop:int,value:string,before:string>>"
 # Characters of context kept before a match, at most up to the match before it.
 CONTEXT = 40
@@ -30,11 +32,9 @@ def placed(text: Column, pattern: str, matches: Column) -> Column:
         start = done["at"] + F.length(x["gap"])
         stop = start + F.length(x["value"])
         span = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"))
-        return F.struct(stop.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+        return F.struct(stop.alias("at"), F.concat(done["rows"], F.array(span)).alias("rows"))
 
-    empty = F.array().cast(SPAN)
-    first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(F.size(matches) > 0, F.aggregate(steps, first, step, lambda done: done["spans"])).otherwise(empty)
+    return folded(steps, F.lit(0), F.array().cast(SPAN), step)["rows"]
 
 
 def with_spans(docs: DataFrame, text: str, patterns: Mapping[str, tuple[str, Column | None]]) -> DataFrame:
