@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +23,14 @@ WINDOWS = 64
 SLACK = 16
 # Longest piece that goes into a pool: short ones leave differencing room to level out.
 PIECE = 384
+# Longest piece of a task's last pool, where one window more costs most.
+LAST_PIECE = 96
 CACHED_CHUNKS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
+# A lower-case Latin word, and words encoded as one text.
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
+JOINED = 2_000
 # A Latin word with punctuation behind: the tokenizer parts the two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#$%&]*)")
 
@@ -44,7 +50,17 @@ def _encode(chunks: list[str], path: str, cache: dict[str, bytes]) -> None:
             alone.update(x for x in own if x and x not in cache)
         else:
             alone.add(chunk)
-    missing = list(alone)
+    words = [w for w in alone if _WORD.fullmatch(w)]
+    for at in range(0, len(words), JOINED):
+        part = words[at : at + JOINED]
+        found = tokenizer(path).encode(" ".join(part), add_special_tokens=False)
+        # One text of many words takes less time than as many texts; each word is one pre-token.
+        length = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
+        if len(length) == len(part) and length.all():
+            ids, edges = np.array(found.ids, "<u4").tobytes(), np.concatenate([[0], np.cumsum(length) * 4]).tolist()
+            for word, low, high in zip(part, edges[:-1], edges[1:], strict=True):
+                cache[word] = ids[low:high]
+    missing = [w for w in alone if w not in cache]
     for at in range(0, len(missing), 20_000):
         part = missing[at : at + 20_000]
         for chunk, found in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -53,23 +69,32 @@ def _encode(chunks: list[str], path: str, cache: dict[str, bytes]) -> None:
         cache[chunk] = cache[word] + cache[tail] if tail else cache[word]
 
 
-def document_ids(texts: list[str], path: str, end_id: int) -> list[bytes]:
+def document_ids(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     """Token ids of whole texts with ``end_id`` behind, as little-endian unsigned 32-bit numbers.
 
-    Chunks that a worker met before come from its cache; the others are encoded in one batch.
+    The tokenizer drops white space and never joins across it, so that what stands between blanks is encoded
+    alone: once for all texts, from the worker's cache or in one batch, and gathered by number.
     """
     cache = process_cache("word_ids_" + path, dict)
-    # The tokenizer drops white space and never joins across it, so that what stands between these
-    # blanks can be encoded alone.
-    chunks = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-    seen = set().union(*chunks)
-    missing = [c for c in seen if c not in cache]
+    for blank in "\n\t\r":
+        texts = pc.replace_substring(texts, blank, " ")
+    chunks = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    known = chunks.values.dictionary_encode()
+    words, at = known.dictionary.to_pylist(), known.indices.to_numpy()
+    missing = [w for w in words if w not in cache]
     if len(cache) + len(missing) > CACHED_CHUNKS:
         cache.clear()
-        missing = list(seen)
+        missing = words
     _encode(missing, path, cache)
-    end = struct.pack("<I", end_id)
-    return [b"".join(map(cache.__getitem__, row)) + end for row in chunks]
+    own = [cache[w] for w in words]
+    ids, size = np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
+    first = np.cumsum(size) - size
+    length = size[at]
+    end = np.cumsum(length)
+    gathered = ids[np.arange(end[-1] if len(end) else 0) + np.repeat(first[at] - (end - length), length)]
+    edges = np.concatenate([[0], end])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+    last = struct.pack("<I", end_id)
+    return [gathered[low:high].tobytes() + last for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -146,7 +171,8 @@ class _Packer:
     def end(self) -> None:
         """Pack what is left: whole windows, then lengths that are powers of two and need no padding."""
         if windows := self.pooled // self.mean:
-            self._balance(self._take(windows * self.mean))
+            pieces = self._take(windows * self.mean)
+            self._balance([(doc_id, start + at // 4, ids[at : at + 4 * LAST_PIECE], whole) for doc_id, start, ids, whole in pieces for at in range(0, len(ids), 4 * LAST_PIECE)])
         while self.pooled:
             self._sequence(self._take(1 << (self.pooled.bit_length() - 1)))
 
@@ -223,7 +249,7 @@ def pack(
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 500):
                 part = ids[at : at + 500]
-                for doc_id, own in zip(part, document_ids(texts.slice(at, 500).to_pylist(), path, end_id), strict=True):
+                for doc_id, own in zip(part, document_ids(texts.slice(at, 500), path, end_id), strict=True):
                     packer.add(doc_id, own)
             yield packer.rows(schema)
         packer.end()
