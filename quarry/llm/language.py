@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import stored, whole_text
 from quarry.session import broadcast_if_small
 
-# Bounds of the labelled sample that the text model is fitted on: languages, rows of each and
-# characters of a row.
-LANGUAGES = 64
-LEAST_ROWS = 20
+# Bounds of the labelled sample that the text model is fitted on: rows of a language, rows of all languages
+# together (a language has at least one) and characters of a row.
 SAMPLE_ROWS = 400
+ALL_ROWS = 25_600
+# Trigrams of all languages that each language is smoothed with, so that one of few rows is a language like others.
+BACKGROUND = 200.0
 SAMPLE_CHARS = 4_000
 # Trigrams are hashed into so many bins. A text counts as at most so many independent trigrams,
 # every fourth of its own, since neighbours depend on one another.
@@ -55,12 +56,14 @@ def fit(docs: DataFrame, text_column: str, declared: str, id_column: str) -> tup
     wrongly and left out, so that a text in no language does not become part of one.
     """
     rows = docs.where(F.col(declared).isNotNull()).groupBy(F.lower(declared).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    known = rows.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    # As many languages as the sample has rows; the model has a column for each.
+    known = rows.orderBy(F.desc("n"), "lang").limit(ALL_ROWS).collect()
     if not known:
         return [], np.zeros((BINS, 0), np.float32)
-    every = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], max(1, r["n"] // SAMPLE_ROWS))])
+    each = max(1, min(SAMPLE_ROWS, ALL_ROWS // len(known)))
+    every = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], max(1, r["n"] // each))])
     picked = docs.select(F.lower(declared).alias("lang"), F.substring(whole_text(text_column), 1, SAMPLE_CHARS).alias("text"), F.xxhash64(id_column).alias("h"))
-    picked = picked.where(F.pmod("h", every[F.col("lang")]) == 0).select("lang", "text").limit(2 * SAMPLE_ROWS * len(known))
+    picked = picked.where(F.pmod("h", every[F.col("lang")]) == 0).select("lang", "text").limit(2 * each * len(known))
     languages = sorted(r["lang"] for r in known)
     counts = np.full((BINS, len(languages)), 0.05)
     sample = {lang: [] for lang in languages}
@@ -76,6 +79,8 @@ def fit(docs: DataFrame, text_column: str, declared: str, id_column: str) -> tup
         least = (usual - np.log(BINS)) / 2 if usual > -np.log(BINS) else -np.inf
         for text in [text for text, own in zip(sample[lang], alone, strict=True) if own < least]:
             np.subtract.at(counts[:, i], trigrams(text), 1.0)
+    whole = counts.sum(1) / counts.sum()
+    counts += BACKGROUND * whole[:, None]
     table = np.column_stack([np.log(counts / counts.sum(0)), np.full(BINS, -np.log(BINS))])
     return [*languages, OTHER], table.astype(np.float32)
 
@@ -137,7 +142,7 @@ def identify(
 
     Null or empty texts and texts without letters are rejected, with null language. Without a
     declared language, address or host that evidence is left out. Repeated rows are judged each, ids
-    may be null, an empty table gives no rows. Without any language that ``LEAST_ROWS`` rows declare,
+    may be null, an empty table gives no rows. Where no row declares a language
     nothing can be told: every text with letters is kept with a null language.
     """
     spark = docs.sparkSession

@@ -35,3 +35,16 @@ def test_text_without_common_words_is_rejected_by_the_query_rule(spark):
     rows = [(i, words(i), "en") for i in range(120)] + [(999, " ".join(f"w{chr(97 + j % 26)}rdz{chr(97 + j * 7 % 26)}lm" for j in range(120)), "en")]
     verdict = {r["doc_id"]: r["_kept"] for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not verdict[999] and sum(verdict[i] for i in range(120)) >= 115
+
+
+def test_language_of_five_rows_is_a_language(spark):
+    import random
+
+    from quarry.llm import language
+
+    draw = random.Random(8)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    text = lambda lang: " ".join("".join(draw.choices(letters[lang], k=5)) for _ in range(60))
+    rows = [(i, text(lang), lang, "s") for i, lang in enumerate(["aa"] * 60 + ["bb"] * 40 + ["cc"] * 5)] + [(999, text("cc"), None, "s")]
+    found = {r["doc_id"]: (r["_language"], r["_kept"]) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(found[i] == (lang, True) for i, _, lang, _ in rows[:-1]) and found[999] == ("cc", True)
