@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
+from quarry.session import broadcast_if_small
 
 # Bounds of the sample that the tree is fitted on and of the queries it is calibrated with.
 SAMPLE = 20_000
@@ -179,11 +181,13 @@ def search(
     lifted = _lifted(_matrix(drawn["vector"], size), most)
     tree = Tree(lifted, leaf=leaf)
     tree.keep(drawn["vec_id"].to_numpy(), _matrix(drawn["vector"], size), lifted)
-    shared = spark.sparkContext.broadcast(tree)
+    # By value, as the workers have no copy of this package.
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(tree))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = cloudpickle.loads(shared.value)
         for part in batches:
-            yield part.assign(leaf=shared.value.assign(_lifted(_matrix(part["vector"], size), most)))
+            yield part.assign(leaf=tree.assign(_lifted(_matrix(part["vector"], size), most)))
 
     index = stored(rows.mapInPandas(place, "vec_id long, vector array<double>, leaf long"), "leaves")
     asked = index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
@@ -202,7 +206,7 @@ def search(
     last = {number: first[number] + -(-max(0, full[number] - block) // block) for number in first}
 
     def routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = shared.value
+        tree = cloudpickle.loads(shared.value)
         for part in batches:
             points = _matrix(part["vector"], size)
             leaves = [tree.visits(np.append(p, 0.0), wide) for p in points]
@@ -211,13 +215,15 @@ def search(
             yield part.assign(floor=floors, block=into)
 
     routed = asked.repartition(spark.sparkContext.defaultParallelism, "vec_id").mapInPandas(routes, "vec_id long, vector array<double>, floor double, block array<long>")
-    queries = index.where(F.col("vec_id") % every == 0).count()
-    # Queries of a block fall into as many shares as all of them may need.
-    shares = max(1, -(-queries // block))
+    routed = stored(routed, "routed")
+    # A block is copied for as many shares as the queries that visit it fill.
+    loads = routed.select(F.explode("block").alias("block")).groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("shares"))
+    loads = broadcast_if_small(stored(loads, "loads"))
     spread = spark.createDataFrame([(n, first[n], last[n] - first[n] + 1) for n in first], "leaf long, first long, blocks long")
     stocked = index.join(F.broadcast(spread), "leaf").select("vec_id", "vector", (F.col("first") + F.pmod(F.xxhash64("vec_id", "vector"), "blocks")).alias("block"))
-    stocked = stocked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    sought = routed.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "floor", F.pmod(F.xxhash64("vec_id"), F.lit(shares)).cast("int").alias("share"), F.explode("block").alias("block"))
+    stocked = stocked.join(loads, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    visits = routed.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), "floor", F.explode("block").alias("block"))
+    sought = visits.join(loads, "block").withColumn("share", F.pmod(F.xxhash64("query_id"), "shares").cast("int"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -228,6 +234,7 @@ def search(
             found.append((np.full(len(best), query), ids[best], scores[best]))
         return pd.DataFrame({name: np.concatenate(part) for name, part in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
 
+    sought, stocked = sought.drop("shares"), stocked.drop("shares")
     pairs = sought.groupBy("block", "share").cogroup(stocked.groupBy("block", "share")).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
