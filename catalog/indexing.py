@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.fixtures import chunks_v, docs_v, labelled_v, scratch, sql, table
@@ -10,7 +12,8 @@ from quarry.operators import enrich, index, listing
 from quarry.plans.batch import document_chunks, rebuild
 from quarry.schemas import RAW_FIELDS
 from quarry.session import spread
-from quarry.sources import chunk_table, files, topic
+from quarry.sources import bucketed, chunk_table, files, topic
+from quarry.sources.bucketed import write_bucketed
 from quarry.streaming import layers
 
 registry = Registry()
@@ -445,3 +448,12 @@ def skip_by_filters(spark, folder):
         chunk_table.append_batch(chunks.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == part), root, f"part-{part}")
     ids = docs.select(F.col("id").alias("doc_id"))
     return index.skip_indexed_docs(docs, chunk_table.read_index(spark, root, doc_ids=ids, least_rows=0)).select("id", "category")
+
+
+@entry("filter_expired_bucketed", SQL["filter_expired"])
+def filter_expired_bucketed(spark, folder):
+    """Both sides as tables in buckets of the id."""
+    names = [f"quarry_{kind}_{uuid.uuid4().hex}" for kind in ("docs", "relations")]
+    for df, name in zip((docs_v(spark, folder).select("id", "title", "category"), relations(spark, folder)), names):
+        write_bucketed(df, name, scratch(spark), buckets=8)
+    return bucketed.filter_expired_bucketed(spark, *names, F.lit("2024-02-01")).select("id", "title", "category")

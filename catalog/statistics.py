@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.fixtures import chunks_v, docs_v, sql, table
 from catalog.registry import Registry
-from quarry.operators import rag, stats
+from quarry.operators import rag, sketches, stats
 
 registry = Registry()
 QUERIES, SQL, entry = registry.queries, registry.sql, registry.entry
@@ -172,3 +175,31 @@ def document_rank_stats(spark, folder):
 )
 def history_window(spark, folder):
     return rag.history_window(table(spark, folder, "conversations"))
+
+
+# Sketches of four batches, united: within 2 % of the exact count, and 1 % of rank of the exact quantiles.
+@entry(
+    "unique_documents_sketched",
+    sql(
+        """SELECT category, count(DISTINCT doc_id) AS documents, true AS count_near, true AS median_near, true AS tail_near
+        FROM chunks_v WHERE category IS NOT NULL GROUP BY category""",
+        "chunks_v",
+    ),
+)
+def unique_documents_sketched(spark, folder):
+    chunks = chunks_v(spark, folder).where("category is not null").withColumn("length", F.length("chunk_text"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    stored = reduce(DataFrame.unionByName, [sketches.batch_sketches(chunks.where(part == i), F.col("length"), ["category"]) for i in range(4)])
+    found = sketches.distinct_keys(stored, ["category"]).join(sketches.quantiles(stored, {"p50": 0.5, "p90": 0.9}, ["category"]), "category")
+    # A row per category, joined with the rows it stands for.
+    ranked = chunks.join(found.withColumnRenamed("documents", "estimate"), "category")
+
+    def near(name, p):
+        below, upto = (F.avg((F.col("length") < F.col(name)).cast("int")), F.avg((F.col("length") <= F.col(name)).cast("int")))
+        return (below - 0.01 <= p) & (upto + 0.01 >= p)
+
+    return ranked.groupBy("category").agg(
+        F.count_distinct("doc_id").alias("documents"),
+        (F.abs(F.first("estimate") - F.count_distinct("doc_id")) <= 0.02 * F.count_distinct("doc_id")).alias("count_near"),
+        near("p50", 0.5).alias("median_near"), near("p90", 0.9).alias("tail_near"),
+    )
