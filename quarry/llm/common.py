@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 import types
@@ -91,3 +92,43 @@ def folded(steps: Column, at: Column, empty: Column, step: Callable[[Column, Col
 
     known = F.get(F.transform(F.array(steps), whole), F.lit(0))
     return F.when(F.size(steps) > 0, known).otherwise(start(at))
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that begin with an underscore under other names, and these names.
+
+    The operators' own columns begin with an underscore, so that nothing in the input clashes with them.
+    """
+    taken = {c.lower() for c in docs.columns}
+    free = (name for i in range(len(taken) * 2 + 1) if (name := f"aside{i}") not in taken)
+    names = {c: next(free) for c in docs.columns if c.startswith("_")}
+    return (docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns]) if names else docs), names
+
+
+def shielded(*outputs: str) -> Callable:
+    """For an operator that returns the columns of its input and ``outputs``: other columns may have any name.
+
+    A column of the input with the name of an output is replaced by it.
+    """
+
+    def wrap(operator: Callable) -> Callable:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **named) -> DataFrame:
+            inner, names = set_aside(docs)
+            if not names:
+                return operator(docs, *args, **named)
+            renamed = lambda x: names.get(x, x) if isinstance(x, str) else x
+            out = operator(inner, *map(renamed, args), **{k: renamed(v) for k, v in named.items()})
+            made = {o.lower() for o in outputs}
+            own = [F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns if c.lower() not in made]
+            return out.select(*own, *outputs)
+
+        return run
+
+    return wrap
+
+
+def selected(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``operator`` marks ``_kept``, with the columns of ``docs``, whatever their names."""
+    inner, names = set_aside(docs)
+    return operator(inner).where("_kept").select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quarry.llm.common import stored, whole_text, words_of
+from quarry.llm.common import shielded, stored, whole_text, words_of
 from quarry.session import broadcast_if_small
 
 # Base rules.
@@ -188,6 +188,7 @@ def with_rest(counts: Column, total: Column) -> Column:
     return F.concat(counts, F.array(total - F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)))
 
 
+@shielded(*VERDICT)
 def judge(
     docs: DataFrame,
     lang_column: str = "lang",

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, whole_text
+from quarry.llm.common import shielded, stored, whole_text
 from quarry.session import broadcast_if_small
 
 # Fewest coordinates of a point (a set of more elements has one for every one or two of them), points
@@ -474,6 +474,7 @@ def rooted_rows(docs: DataFrame, id_column: str, text_column: str, words: int, s
     return seen.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+@shielded()
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, share: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id, nulls last.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, whole_text
+from quarry.llm.common import shielded, stored, whole_text
 from quarry.session import broadcast_if_small
 
 # Bounds of the labelled sample that the text model is fitted on: rows of a language, rows of all languages
@@ -123,6 +123,7 @@ def host_levels(address: Column) -> dict[str, Column]:
     return {"host": host, "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), "top": top, "suffix": F.concat_ws("/", top, F.when(section != "", section))}
 
 
+@shielded("_language", "_probability", "_text_language", "_kept")
 def identify(
     docs: DataFrame,
     text_column: str = "text",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import folded, stored, whole_text
+from quarry.llm.common import folded, shielded, stored, whole_text
 from quarry.llm.spans import listed, of_kind, with_spans
 from quarry.session import broadcast_if_small
 
@@ -134,8 +134,13 @@ def redacted(text: Column, marked: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(marked) > 0, whole).otherwise(text)
 
 
+@shielded()
 def mask_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
-    """``docs`` with the text's secrets masked and ``n_chars``, where it exists, counted anew; no row is dropped."""
+    """``docs`` with the text's secrets masked and ``n_chars``, where it exists, counted anew; no row is dropped.
+
+    A null text stays null and an empty one empty. Texts of any length are masked whole; rows that repeat an id and a text are
+    masked alike, ids may be null. An empty table gives no rows; other columns may have any name.
+    """
     found = scan(docs, id_column, text_column, owner, repository).where(F.size("marked") > 0)
     spans = F.transform("marked", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
     found = found.groupBy(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")).agg(F.first(spans).alias("_spans"))
