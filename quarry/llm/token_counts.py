@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import process_cache, tokenizer, whole_text
 
-# Bounds of the sample that the table of frequent pre-tokens is counted on, of
-# that table and of a worker's cache. They affect speed, never a count.
-SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 20_000
+# Bounds of the table of frequent pre-tokens, of a worker's cache, of what a task counts at a time
+# and leaves for the table, and of a pre-token's length there. They affect speed, never a count.
 FREQUENT = 50_000
 CACHED = 300_000
+COUNTED = 400_000
+HEAVY = 20_000
+LONGEST = 64
 
 # White space as the tokenizer's patterns know it.
 _BLANK = "\t-\r \x85\xa0  -     　"
@@ -34,16 +35,29 @@ def _lengths(chunks: list[str], path: str) -> list[int]:
     return found
 
 
-def frequent_lengths(docs: DataFrame, path: str, text_column: str = "text", id_column: str = "doc_id") -> dict[str, int]:
-    """Token counts of the pre-tokens that are most frequent in a bounded sample of rows."""
-    rows = docs.count()
-    every = max(1, rows // SAMPLE_ROWS)
-    picked = docs.where(F.pmod(F.xxhash64(id_column), F.lit(every)) == 0)
-    texts = picked.select(F.substring(whole_text(text_column), 1, SAMPLE_CHARS).alias("t")).limit(2 * SAMPLE_ROWS).collect()
-    counted: Counter = Counter()
-    for row in texts:
-        counted.update(_CHUNK.findall(row["t"]))
-    chunks = [chunk for chunk, _ in counted.most_common(FREQUENT) if len(chunk) <= 64]
+def frequent_lengths(docs: DataFrame, path: str, text_column: str = "text") -> dict[str, int]:
+    """Token counts of the most frequent pre-tokens, counted over all whole texts.
+
+    A task counts its pre-tokens and now and then drops the rarest, so that it holds a bounded number; it leaves
+    its ``HEAVY`` most frequent ones with their counts. These short lists are added up, and the ``FREQUENT`` largest
+    sums are collected; no other pre-token leaves its task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter = Counter()
+        for batch in batches:
+            texts = batch.column(0)
+            for at in range(0, len(texts), 500):
+                for text in texts.slice(at, 500).to_pylist():
+                    counted.update(_CHUNK.findall(text))
+                if len(counted) > COUNTED:
+                    counted = Counter(dict(counted.most_common(COUNTED // 4)))
+        best = [(chunk, n) for chunk, n in counted.most_common(HEAVY) if len(chunk) <= LONGEST]
+        yield pa.record_batch([pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.int64())], names=["chunk", "n"])
+
+    heavy = docs.select(whole_text(text_column).alias("text")).mapInArrow(count, "chunk string, n long")
+    best = heavy.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(FREQUENT).collect()
+    chunks = [row["chunk"] for row in best]
     return dict(zip(chunks, _lengths(chunks, path), strict=True))
 
 
@@ -60,7 +74,7 @@ def count_tokens(
     itself. An empty table gives no rows; other columns are ignored. A chunk of any length is
     encoded, long ones are not cached.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_column, id_column))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, text_column))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = frequent.value
@@ -76,7 +90,7 @@ def count_tokens(
                 cache.update(zip(missing, _lengths(missing, path), strict=True))
                 counts += [sum([first[c] if c in first else cache[c] for c in row]) for row in rows]
                 for chunk in missing:
-                    if len(chunk) > 64:
+                    if len(chunk) > LONGEST:
                         del cache[chunk]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
