@@ -8,7 +8,7 @@ from catalog.documents import REDACTED_COUNT, REDACTED_TEXT
 from catalog.fixtures import chunks_v, docs_v, index_v, labelled_v, questions_v, requests_v, scratch, sql, table, tokens_sql
 from catalog.registry import Registry
 from quarry.functions.replies import NO_CONTEXT, NO_INFO_REPLY
-from quarry.operators import evaluate, rag, retrieval
+from quarry.operators import evaluate, graph_search, rag, retrieval
 from quarry.operators.stored_search import stored_search
 from quarry.plans import chat, evaluation
 from quarry.sources.chunk_table import append_batch
@@ -354,3 +354,19 @@ def bm25_stored(spark, folder):
     for part in (0, 1):
         append_batch(chunks.where(half == part), root, f"part-{part}", fields=["chunk_text", "title"])
     return stored_search(spark, root, questions_v(spark, folder)).select(*HIT.split(", "))
+
+
+# Stored graphs are asked with every fiftieth vector: nine tenths of the exact hits are found.
+@entry(
+    "knn_graph",
+    """SELECT count(*) AS questions, 10 * count(*) AS hits, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0""",
+)
+def knn_graph(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    root = scratch(spark)
+    graph_search.build_graphs(vectors, "vec_id").write.parquet(root)
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = graph_search.graph_search(spark.read.parquet(root), asked, key="vec_id")
+    exact = retrieval.knn_cosine(vectors, asked, key="vec_id").select("query_id", "vec_id", F.lit(1).alias("exact"))
+    both = found.join(exact, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("questions"), F.count(F.lit(1)).alias("hits"), (F.count("exact") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
