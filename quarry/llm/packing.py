@@ -25,7 +25,8 @@ SLACK = 16
 PIECE = 384
 # Longest piece of a task's last pool, where one window more costs most.
 LAST_PIECE = 96
-CACHED_CHUNKS = 1_000_000
+# Words of one generation of a worker's cache, which has two.
+CACHED_CHUNKS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 # A lower-case Latin word, and words encoded as one text.
@@ -75,17 +76,18 @@ def document_ids(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     The tokenizer drops white space and never joins across it, so that what stands between blanks is encoded
     alone: once for all texts, from the worker's cache or in one batch, and gathered by number.
     """
-    cache = process_cache("word_ids_" + path, dict)
+    generations = process_cache("word_ids_" + path, lambda: [{}, {}])
     for blank in "\n\t\r":
         texts = pc.replace_substring(texts, blank, " ")
     chunks = pc.split_pattern(texts.cast(pa.large_string()), " ")
     known = chunks.values.dictionary_encode()
     words, at = known.dictionary.to_pylist(), known.indices.to_numpy()
-    missing = [w for w in words if w not in cache]
-    if len(cache) + len(missing) > CACHED_CHUNKS:
-        cache.clear()
-        missing = words
-    _encode(missing, path, cache)
+    if len(generations[0]) > CACHED_CHUNKS:
+        # What is used again moves to the new generation; the rest goes with the old one.
+        generations[:] = [{}, generations[0]]
+    cache, before = generations
+    cache.update((w, before[w]) for w in words if w not in cache and w in before)
+    _encode([w for w in words if w not in cache], path, cache)
     own = [cache[w] for w in words]
     ids, size = np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
     first = np.cumsum(size) - size
