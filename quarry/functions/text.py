@@ -72,6 +72,10 @@ def split_sentences(text: Column) -> Column:
     return F.filter(pieces, lambda s: s != "")
 
 
+# Sentences packed before their chunks are set aside.
+PIECE = 256
+
+
 def chunk_text(text: Column, max_length: int = MAX_LENGTH, overlap: int = OVERLAP) -> Column:
     """Pack sentences into chunks of about ``max_length`` characters.
 
@@ -79,15 +83,13 @@ def chunk_text(text: Column, max_length: int = MAX_LENGTH, overlap: int = OVERLA
     chunk may reach ``max_length + overlap + 1``. A sentence longer than
     ``max_length`` is cut into windows and breaks the overlap. With overlap 0
     the running length is one too high after a full chunk, which is kept.
+
+    Chunks are gathered for ``PIECE`` sentences at a time, as an array that grows is copied
+    at every step; so a text of any length takes time in proportion to it.
     """
     if overlap >= max_length:
         raise ValueError("overlap must be smaller than max_length")
     no_text = F.lit(None).cast("string")
-    state = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        no_text.alias("open"),
-        F.lit(0).alias("size"),
-    )
 
     def windows(sentence: Column) -> Column:
         starts = F.sequence(F.lit(1), F.length(sentence), F.lit(max_length - overlap))
@@ -126,7 +128,31 @@ def chunk_text(text: Column, max_length: int = MAX_LENGTH, overlap: int = OVERLA
             F.when(length > max_length, cut).when(joined <= max_length, extended).otherwise(rolled)
         )
 
-    packed = F.aggregate(split_sentences(text), state, add, flushed)
+    def piece(acc: Column, number: Column, sentences: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("done"), acc["open"].alias("open"), acc["size"].alias("size"))
+        part = F.aggregate(F.slice(sentences, number * PIECE + 1, F.lit(PIECE)), start, add)
+        # Behind a transform the part is packed once, though it is used three times.
+        return F.get(
+            F.transform(
+                F.array(part),
+                lambda x: F.struct(
+                    F.concat(acc["parts"], F.array(x["done"])).alias("parts"), x["open"].alias("open"), x["size"].alias("size")
+                ),
+            ),
+            F.lit(0),
+        )
+
+    def whole(sentences: Column) -> Column:
+        pieces = F.sequence(F.lit(0), F.floor((F.greatest(F.size(sentences), F.lit(1)) - 1) / PIECE).cast("int"))
+        first = F.struct(
+            F.array().cast("array<array<string>>").alias("parts"), no_text.alias("open"), F.lit(0).alias("size")
+        )
+        last = lambda acc: F.when(acc["open"].isNull(), F.array().cast("array<string>")).otherwise(F.array(acc["open"]))
+        return F.aggregate(
+            pieces, first, lambda acc, number: piece(acc, number, sentences), lambda acc: F.concat(F.flatten(acc["parts"]), last(acc))
+        )
+
+    packed = F.get(F.transform(F.array(split_sentences(text)), whole), F.lit(0))
     return (
         F.when(text.isNull() | (text == ""), F.array().cast("array<string>"))
         .when(F.length(text) < SHORT_TEXT, F.array(text))

@@ -1,6 +1,7 @@
 """Cleaning, splitting, chunking and folding."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,18 @@ def test_fold_tokens(spark):
 
 def test_normalize_lines(spark):
     assert apply(spark, text.normalize_lines, ["  a \n\n b\r\nc ", "", None]) == ["a b c", "", ""]
+
+
+@pytest.mark.parametrize("overlap", [0, 30])
+def test_chunks_of_a_very_long_text(spark, overlap, monkeypatch):
+    """Pieces of any size give the same chunks; 5 MB take time in proportion."""
+    content = " ".join(f"Câu số {i} nói về luật số {i % 97}." + (" x" * 150 if i % 50 == 0 else "") for i in range(2_000))
+    frame = spark.createDataFrame([(content,)], "t string")
+    in_pieces = frame.select(text.chunk_text(F.col("t"), 200, overlap)).first()[0]
+    monkeypatch.setattr(text, "PIECE", 10**6)
+    assert in_pieces == frame.select(text.chunk_text(F.col("t"), 200, overlap)).first()[0] and len(in_pieces) > 300
+    monkeypatch.undo()
+    began = time.monotonic()
+    long = frame.select(F.repeat(F.concat("t", F.lit(" ")), 60).alias("t"))
+    assert long.select(F.size(text.chunk_text(F.col("t"), 200, overlap))).first()[0] > 18_000
+    assert time.monotonic() - began < 60
