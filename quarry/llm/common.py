@@ -35,6 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts of at most 8 MB, unless the session asks for less: a worker holds several at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, "8m")
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shielded, stored, whole_text
+from quarry.llm.common import shielded, small_batches, stored, whole_text
 from quarry.session import broadcast_if_small
 
 # Fewest coordinates of a point (a set of more elements has one for every one or two of them), points
@@ -460,6 +460,7 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def rooted_rows(docs: DataFrame, id_column: str, text_column: str, words: int, share: int) -> DataFrame:
     """The rows of ``members`` with ``root``, the set that stands for their component; null for no set."""
+    small_batches(docs.sparkSession)
     seen = stored(members(docs, id_column, text_column, words), "members")
     groups = stored(shared_groups(docs, id_column, text_column, words, share), "groups")
     narrow = seen.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shielded, stored, whole_text
+from quarry.llm.common import shielded, small_batches, stored, whole_text
 from quarry.session import broadcast_if_small
 
 # Bounds of the labelled sample that the text model is fitted on: rows of a language, rows of all languages
@@ -147,6 +147,7 @@ def identify(
     nothing can be told: every text with letters is kept with a null language.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     languages, table = fit(docs, text_column, declared, id_column)
     n = len(languages)
     if not n:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import process_cache, tokenizer, whole_text
+from quarry.llm.common import process_cache, small_batches, tokenizer, whole_text
 
 CAPACITY = 4096
 # Windows balanced together, and tokens by which their mean stays below the
@@ -257,5 +257,6 @@ def pack(
         packer.end()
         yield packer.rows(schema)
 
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     return narrow.mapInArrow(run, PIECES)
