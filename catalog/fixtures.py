@@ -11,8 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.index import last_per_key
-from quarry.plans.batch import document_chunks
+from quarry.plans.batch import distinct_chunks
 from quarry.session import checkpoint_dir, spread
 from quarry.sources.chunk_table import append_batch, read_index
 
@@ -57,10 +56,10 @@ def index_v(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
         docs = spread(docs_v(spark, folder))
-        chunks = last_per_key(document_chunks(docs), ["chunk_id"], [F.desc("chunk_no")])
         vectors = table(spark, folder, "embeddings").selectExpr("cast(vec_id as string) doc_id", "embedding")
         root = scratch(spark)
-        append_batch(chunks.join(vectors, "doc_id", "left"), root, "all")
+        # Chunks are dealt by document and looked up in a hash table of its vectors, so their contents are not sorted.
+        append_batch(distinct_chunks(docs).join(vectors.hint("shuffle_hash"), "doc_id", "left"), root, "all")
         _STORED[key] = root
     return spread(read_index(spark, _STORED[key]))
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quarry.operators.index import distinct_ids
 from quarry.schemas import AUDIT, INDEX
-from quarry.session import BROADCAST_ROWS
+from quarry.session import BROADCAST_ROWS, broadcast_if_small
 from quarry.sources.id_filter import may_hold, write_filters
 from quarry.sources.manifest import Entry, Manifest, commit, read_manifest
 from quarry.sources.postings import write_postings
@@ -139,10 +139,8 @@ def append_batch(
     """
     spark = chunks.sparkSession
     stamp = F.current_timestamp() if now is None else now
-    folder = _folder(root, "chunks")
-    entry = F.lit(folder.rsplit("/", 1)[-1]).alias("entry")
-    rows = chunks.select(*[F.col(f.name).cast(f.dataType) for f in INDEX.fields], stamp.alias("written_at"), entry)
-    rows.dropDuplicates(["chunk_id"]).write.parquet(folder)
+    rows = chunks.select(*[F.col(f.name).cast(f.dataType) for f in INDEX.fields], stamp.alias("written_at"))
+    folder = _written_once(rows, root)
     written = spark.read.schema(STORED).parquet(folder)
     count = written.count()
     filters, postings = _beside(written, count, root, fields)
@@ -164,6 +162,29 @@ def append_batch(
     return count
 
 
+def _written_once(rows: DataFrame, root: str) -> str:
+    """Folder with the rows, of those with one chunk id a single one.
+
+    They are written as they come. Only where ids of the written rows repeat, contents move, those of the repeated ids
+    alone, and the rows are written again.
+    """
+    spark = rows.sparkSession
+
+    def put(some: DataFrame) -> str:
+        folder = _folder(root, "chunks")
+        some.withColumn("entry", F.lit(folder.rsplit("/", 1)[-1])).write.parquet(folder)
+        return folder
+
+    folder = put(rows)
+    written = spark.read.schema(STORED).parquet(folder)
+    repeated = written.groupBy(F.col("chunk_id").alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
+    if repeated.isEmpty():
+        return folder
+    repeated, same = broadcast_if_small(repeated), F.col("chunk_id").eqNullSafe(F.col("_again"))
+    first = written.join(repeated, same, "left_semi").dropDuplicates(["chunk_id"])
+    return put(written.join(repeated, same, "left_anti").unionByName(first))
+
+
 def _beside(written: DataFrame, count: int, root: str, fields: list[str] | None) -> tuple[str | None, str | None]:
     """Folders of the filters and, if asked for, of the postings of written chunks."""
     if not count:
