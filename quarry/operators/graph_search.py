@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.retrieval import BROADCAST_QUESTIONS, SCORE_DIGITS, TOP_K, topk_per_query
+from quarry.operators.retrieval import BROADCAST_QUESTIONS, SCORE_DIGITS, TOP_K, _ranked
 
 # Fixed value: candidates of a search.
 CANDIDATES = 100
@@ -156,4 +156,4 @@ def graph_search(
     found = spark.createDataFrame([], schema)
     for part in parts:
         found = found.unionByName(part)
-    return topk_per_query(found, k, key)
+    return _ranked(found, k, key)

@@ -12,13 +12,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.text import fold_tokens
-from quarry.session import BROADCAST_ROWS, is_small
+from quarry.session import BROADCAST_ROWS, broadcast_if_small, durable, is_small
 
 # Field weights, vector weight, hit count and BM25 constants.
 FIELD_BOOSTS = {"chunk_text": 5.0, "title": 3.0}
@@ -45,6 +48,10 @@ QUESTION_STRIP = 256
 # Cells of the score matrix a task holds at a time.
 STRIP_CELLS = 2_000_000
 
+# Scores that leave a task at a time, and rows it holds to pick the best of them.
+BATCH_PAIRS = 1 << 17
+HELD_ROWS = 1 << 17
+
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term, weight``; a repeated term counts as often as it occurs."""
@@ -81,25 +88,8 @@ def postings(index: DataFrame, fields: list[str], terms: DataFrame, small: bool,
     )
 
 
-def term_statistics(found: DataFrame, term: str, marker) -> DataFrame:
-    """``field, term, df, docs, mean_size`` of the asked terms.
-
-    ``docs`` and ``mean_size`` come from the rows of the empty term, one per
-    row and field of the index.
-    """
-    filled = F.col("size") > 0
-    counted = found.groupBy("field", term).agg(
-        F.count(F.lit(1)).alias("df"), F.count_if(filled).alias("docs"), F.sum("size").alias("total")
-    )
-    fields = counted.filter(F.col(term) == marker).select(
-        "field", "docs", (F.col("total") / F.nullif(F.col("docs"), F.lit(0))).alias("mean_size")
-    )
-    terms = counted.filter(F.col(term) != marker).select("field", term, "df")
-    return terms.join(F.broadcast(fields), "field")  # one row per field
-
-
 def bm25_match(
-    index: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None, key: str = "chunk_id"
+    index: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None, key: str = "chunk_id", limit: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Sum of the boosted field scores: ``query_id, key, score``.
 
@@ -107,28 +97,117 @@ def bm25_match(
     a question get no score.
     """
     boosts = boosts or FIELD_BOOSTS
-    fields = list(boosts)
-    terms = query_terms(queries)
-    small = is_small(terms)
-    found = postings(index, fields, terms, small, key)
-    weighted = (
-        term_statistics(found, "term", NO_TERM)
-        .join(terms, "term")
-        .select("query_id", "field", "term", "mean_size", (F.col("weight") * _boosted_idf(boosts)).alias("idf"))
-    )
-    # At most one row per field and question term, whose number is checked.
-    if small:
-        weighted = F.broadcast(weighted)
-    return (
-        found.join(weighted, ["field", "term"])
-        .groupBy("query_id", key)
-        .agg(F.sum(F.col("idf") * _saturation()).alias("score"))
-    )
 
+    def weigh(counts: dict[str, tuple[np.ndarray, float, float]]) -> dict[str, tuple[np.ndarray, float]]:
+        return _boosted_weights(counts, boosts)
+
+    return _every_score(index, queries, list(boosts), key, weigh, True, limit)
 
-def _boosted_idf(boosts: dict[str, float]) -> Column:
-    boost = F.element_at(F.create_map(*[F.lit(x) for pair in boosts.items() for x in pair]), F.col("field"))
-    return boost * F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+def _every_score(
+    index: DataFrame,
+    queries: DataFrame,
+    fields: list[str],
+    key: str,
+    weigh: Callable[[dict[str, tuple[np.ndarray, float, float]]], dict[str, tuple[np.ndarray, float]]],
+    saturated: bool,
+    limit: int,
+) -> DataFrame:
+    """The score of every row that has a term of a question; a task adds up those of its own rows, and nothing is shuffled.
+
+    Question terms are sent to all tasks as in ``bm25_candidates``. Only rows whose key is null or comes again are brought
+    together, as their frequencies are one. ``weigh`` makes idf and mean length out of the counts of each field.
+    """
+    spark = index.sparkSession
+    terms = query_terms(queries)
+    asked = terms.limit(limit + 1).toArrow()
+    if asked.num_rows > limit:
+        if queries.select("query_id").distinct().count() > 1:
+            return _in_blocks(queries, limit, lambda some: _every_score(index, some, fields, key, weigh, saturated, limit))
+        asked = terms.toArrow()  # the terms of one question
+    schema = T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField(key, index.schema[key].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    if not asked.num_rows:
+        return spark.createDataFrame([], schema)
+    slot, query = (asked[c].combine_chunks().dictionary_encode("encode") for c in ("term", "query_id"))
+    names = slot.dictionary.to_pylist()
+    order = np.argsort(slot.indices.to_numpy(), kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(slot.indices.to_numpy(), minlength=len(names)))])
+    table = (query.dictionary, starts, query.indices.to_numpy()[order], asked["weight"].to_numpy()[order].astype(np.float64))
+    single, rest = _apart(index, key)
+    counts = field_counts(single, fields, names)
+    if rest is not None:
+        found = postings(rest, fields, terms, True, key)
+        counts = _added(counts, found, names)
+    weights = weigh(counts)
+    sent = spark.sparkContext.broadcast((names, weights, table))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weights, table = sent.value
+        values = pa.array(names, pa.string())
+        for batch in batches:
+            found = [_field_parts(batch.column(f), values, *weights[f], saturated) for f in fields]
+            row, slot, part = (np.concatenate(column) for column in zip(*found))
+            yield from _every_pair(batch.column(key), row, slot, part, table, key)
+
+    scores = single.select(key, *[fold_tokens(F.col(f)).alias(f) for f in fields]).mapInArrow(scan, schema)
+    if rest is None:
+        return scores
+    rows = [(f, name, float(idf[i]), float(mean)) for f, (idf, mean) in weights.items() for i, name in enumerate(names)]
+    weighted = spark.createDataFrame(rows, "field string, term string, idf double, mean_size double")  # a row per field and question term
+    again = found.join(F.broadcast(weighted), ["field", "term"]).join(F.broadcast(terms), "term").groupBy("query_id", key)
+    part = F.col("weight") * F.col("idf") * (_saturation() if saturated else F.col("tf"))
+    return scores.unionByName(again.agg(F.sum(part).alias("score")))
+
+
+def _apart(index: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key no other row has, and the others, if there are any. Keys alone are compared."""
+    repeated = index.groupBy(F.col(key).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or _again is null").select("_again")
+    if repeated.isEmpty():
+        return index, None
+    repeated, same = broadcast_if_small(repeated), F.col(key).eqNullSafe(F.col("_again"))
+    return index.join(repeated, same, "left_anti"), index.join(repeated, same, "left_semi")
+
+
+def _added(counts: dict[str, tuple[np.ndarray, float, float]], found: DataFrame, names: list[str]) -> dict[str, tuple[np.ndarray, float, float]]:
+    """Counts with those of ``postings`` added."""
+    more = found.groupBy("field", "term").agg(
+        F.count(F.lit(1)).alias("df"), F.count_if(F.col("size") > 0).alias("docs"), F.sum("size").alias("total")
+    ).toPandas()  # a row per field and question term
+    out = {}
+    for field, (df, docs, total) in counts.items():
+        mine = more[more["field"] == field].set_index("term")
+        df = df + mine["df"].reindex(names, fill_value=0).to_numpy(dtype=np.float64)
+        out[field] = (df, docs + float(mine["docs"].get(NO_TERM, 0)), total + float(mine["total"].get(NO_TERM, 0)))
+    return out
+
+
+def _every_pair(
+    keys: pa.Array, row: np.ndarray, slot: np.ndarray, part: np.ndarray, table: tuple, key: str
+) -> Iterator[pa.RecordBatch]:
+    """The score of each row for each query it has a term of, in batches of a bounded size."""
+    ids, starts, query, weight = table
+    order = np.argsort(row, kind="stable")
+    row, slot, part = row[order], slot[order], part[order]
+    strip = max(BATCH_PAIRS // len(ids), 1)
+    for first in range(0, len(keys), strip):
+        count = min(strip, len(keys) - first)
+        low, high = np.searchsorted(row, [first, first + count])
+        runs = starts[slot[low:high] + 1] - starts[slot[low:high]]
+        at = np.arange(runs.sum()) + np.repeat(starts[slot[low:high]] - np.cumsum(runs) + runs, runs)
+        cell = np.repeat(row[low:high] - first, runs) * len(ids) + query[at]
+        sums = np.bincount(cell, np.repeat(part[low:high], runs) * weight[at], count * len(ids))
+        met = np.zeros(len(sums), bool)  # a sum may be 0
+        met[cell] = True
+        pairs = np.flatnonzero(met)
+        if len(pairs):
+            columns = [ids.take(pa.array(pairs % len(ids))), keys.take(pa.array(first + pairs // len(ids))), pa.array(sums[pairs])]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", key, "score"])
 
 
 def _saturation() -> Column:
@@ -160,7 +239,7 @@ def bm25_candidates(
     asked = query_terms(queries).limit(limit + 1).toPandas()
     if len(asked) > limit:
         if asked["query_id"].nunique() > 1 or queries.select("query_id").distinct().count() > 1:
-            return _in_blocks(index, queries, k, boosts, key, also, limit)
+            return _in_blocks(queries, limit, lambda some: bm25_candidates(index, some, k, boosts, key, also, limit))
         asked = query_terms(queries).toPandas()  # the terms of one question
     schema = T.StructType(
         [
@@ -174,56 +253,79 @@ def bm25_candidates(
     asked["slot"], names = pd.factorize(asked["term"])
     table = _slot_table(asked, len(names))
     weights = _field_weights(index, boosts, list(names))
-    sent = spark.sparkContext.broadcast((pd.Index(names), weights, table))
+    sent = spark.sparkContext.broadcast((list(names), weights, table))
     rows = index.select(key, *[fold_tokens(F.col(f)).alias(f) for f in fields])
     if also is None:
         rows = rows.withColumn("_wanted", F.array().cast(T.ArrayType(schema["query_id"].dataType)))
     else:
         pairs = also.groupBy(key).agg(F.collect_set("query_id").alias("_wanted"))
-        rows = rows.join(pairs, key, "left")
+        rows = rows.join(broadcast_if_small(pairs), key, "left")
+    found_as = to_arrow_schema(schema)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights, table = sent.value
-        best = _BestText(table[0], k, key)
+        best, values = _BestText(table[0], k, key), pa.array(terms, pa.string())
+
+        def rows_of(found: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+            return (pa.RecordBatch.from_pandas(rows, found_as, preserve_index=False) for rows in found)
+
         for batch in batches:
-            found = [_field_parts(batch[f], terms, *weights[f]) for f in fields]
+            found = [_field_parts(batch.column(f), values, *weights[f]) for f in fields]
             row, slot, part = (np.concatenate(column) for column in zip(*found))
-            yield from _offer_text(best, batch[key].to_numpy(), batch["_wanted"].to_list(), row, slot, part, table)
-        yield from best.rows()
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            yield from rows_of(_offer_text(best, keys, batch.column("_wanted").to_pylist(), row, slot, part, table))
+        yield from rows_of(best.rows())
 
-    return rows.mapInPandas(scan, schema)
+    return rows.mapInArrow(scan, schema)
 
 
-def _in_blocks(
-    index: DataFrame, queries: DataFrame, k: int, boosts: dict[str, float], key: str, also: DataFrame | None, limit: int
-) -> DataFrame:
-    """``bm25_candidates`` of blocks of questions, about half as many terms in each as may be sent.
+def _in_blocks(queries: DataFrame, limit: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A search in blocks of questions, about half as many terms in each as may be sent.
 
     Blocks that come out larger are dealt again, by another hash.
     """
     total = query_terms(queries).count()
     blocks = 2 * -(-total // limit)
     block = F.pmod(F.xxhash64("query_id", F.lit(total)), F.lit(blocks))
-    parts = [bm25_candidates(index, queries.filter(block == b), k, boosts, key, also, limit) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [search(queries.filter(block == b)) for b in range(blocks)])
 
 
 def field_counts(index: DataFrame, fields: Iterable[str], names: list[str]) -> dict[str, tuple[np.ndarray, float, float]]:
     """Per field: rows with each term, rows that are not empty, and their tokens.
 
-    One aggregation, combined before its shuffle; its result has a row per
-    field and question term.
+    A task counts in arrays of a place per question term and emits them once.
     """
-    slots = index.sparkSession.createDataFrame([(NO_SLOT, NO_TERM), *enumerate(names)], "slot int, term string")
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), fold_tokens(F.col(f)).alias("tokens")) for f in fields])
-    terms = index.select(F.inline(per_field)).select(
-        "field", F.size("tokens").alias("size"),
-        F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(NO_TERM)))).alias("term"),
-    )
+    fields = list(fields)
+    sent = index.sparkSession.sparkContext.broadcast(list(names))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(sent.value, pa.string())
+        df = {f: np.zeros(len(values), np.int64) for f in fields}
+        docs, total = dict.fromkeys(fields, 0), dict.fromkeys(fields, 0)
+        for batch in batches:
+            for f in fields:
+                _, slot, _, size = _slots(batch.column(f), values)
+                df[f] += np.bincount(slot, minlength=len(values))
+                docs[f] += int((size > 0).sum())
+                total[f] += int(size.sum())
+        for f in fields:
+            held = np.flatnonzero(df[f])
+            none = np.zeros(len(held), np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "field": [f] * (len(held) + 1),
+                    "slot": pa.array([NO_SLOT, *held.tolist()], pa.int32()),
+                    "df": pa.array([0, *df[f][held].tolist()], pa.int64()),
+                    "docs": pa.array([docs[f], *none], pa.int64()),
+                    "total": pa.array([total[f], *none], pa.int64()),
+                }
+            )
+
+    tokens = index.select(*[fold_tokens(F.col(f)).alias(f) for f in fields])
     counted = (
-        terms.join(F.broadcast(slots), "term")  # a row per question term, whose number is checked
+        tokens.mapInArrow(count, "field string, slot int, df long, docs long, total long")
         .groupBy("field", "slot")
-        .agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("size") > 0).alias("docs"), F.sum("size").alias("total"))
+        .agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("total").alias("total"))
         .toPandas()
     )
     found = {}
@@ -236,8 +338,12 @@ def field_counts(index: DataFrame, fields: Iterable[str], names: list[str]) -> d
 
 def _field_weights(index: DataFrame, boosts: dict[str, float], names: list[str]) -> dict[str, tuple[np.ndarray, float]]:
     """Boosted idf of each term and mean length, per field."""
+    return _boosted_weights(field_counts(index, boosts, names), boosts)
+
+
+def _boosted_weights(counts: dict[str, tuple[np.ndarray, float, float]], boosts: dict[str, float]) -> dict[str, tuple[np.ndarray, float]]:
     weights = {}
-    for field, (df, docs, total) in field_counts(index, boosts, names).items():
+    for field, (df, docs, total) in counts.items():
         mean = total / docs if docs else 1.0
         weights[field] = (boosts[field] * np.log1p(np.maximum(docs - df + 0.5, 0.5) / (df + 0.5)), mean)
     return weights
@@ -251,16 +357,19 @@ def _slot_table(asked: pd.DataFrame, slots: int) -> tuple[np.ndarray, ...]:
     return np.asarray(ids), starts, query[order], asked["weight"].to_numpy(dtype=np.float64)[order]
 
 
-def _field_parts(tokens: pd.Series, terms: pd.Index, idf: np.ndarray, mean: float) -> tuple[np.ndarray, ...]:
-    """Row, slot and score part of each distinct asked term of each row."""
-    size = tokens.map(len).to_numpy()
-    flat = np.concatenate([np.empty(0, dtype=object), *tokens.to_list()])
-    slot = terms.get_indexer(flat)
+def _slots(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, ...]:
+    """Row, slot and frequency of each distinct asked term of each row, and the rows' sizes."""
+    size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    slot = pc.fill_null(pc.index_in(tokens.flatten(), terms), NO_SLOT).to_numpy(zero_copy_only=False).astype(np.int64)
     known = slot >= 0
-    code = np.repeat(np.arange(len(size)), size)[known] * len(terms) + slot[known]
-    code, tf = np.unique(code, return_counts=True)
-    row, slot = code // len(terms), code % len(terms)
-    return row, slot, idf[slot] * tf / (tf + K1 * (1 - B + B * size[row] / mean))
+    code, tf = np.unique(np.repeat(np.arange(len(size)), size)[known] * len(terms) + slot[known], return_counts=True)
+    return code // len(terms), code % len(terms), tf, size
+
+
+def _field_parts(tokens: pa.ListArray, terms: pa.Array, idf: np.ndarray, mean: float, saturated: bool = True) -> tuple[np.ndarray, ...]:
+    """Row, slot and score part of each distinct asked term of each row."""
+    row, slot, tf, size = _slots(tokens, terms)
+    return row, slot, idf[slot] * (tf / (tf + K1 * (1 - B + B * size[row] / mean)) if saturated else tf)
 
 
 class _BestText:
@@ -336,20 +445,71 @@ def _offer_text(
 
 def bm25_search(index: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
     """Best ``k`` rows per query by text, with ``rank``."""
-    return topk_per_query(bm25_candidates(index, queries, k, key=key), k, key)
+    return _ranked(bm25_candidates(index, queries, k, key=key), k, key)
 
 
 def topk_per_query(scores: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
     """Best ``k`` rows per query with ``rank`` from 1; ties go to the smaller key.
 
     Scores are rounded first, as the last digits of a sum depend on its order.
-    Spark keeps ``k`` rows per query and input partition before the shuffle.
+    A task passes on what may be among the best ``k`` of its rows and sorts that alone.
     """
     scores = scores.withColumn("score", F.round("score", SCORE_DIGITS))
+    return _ranked(_leading(scores, k, key), k, key)
+
+
+def _ranked(scores: DataFrame, k: int, key: str) -> DataFrame:
+    """``topk_per_query`` of rows that are few already."""
+    scores = scores.withColumn("score", F.round("score", SCORE_DIGITS))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _leading(scores: DataFrame, k: int, key: str) -> DataFrame:
+    """Rows that may be among the best ``k`` of their query, a few times ``k`` per query and task.
+
+    Rows without a number for a score, and without a key, all stay.
+    """
+    if not isinstance(scores.schema[key].dataType, T.StringType | T.IntegralType) or not isinstance(scores.schema["score"].dataType, T.DoubleType):
+        return scores
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = floors = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if floors is not None:
+                known = pc.index_in(rows["query_id"], floors["query_id"])
+                leads = pc.fill_null(pc.greater_equal(rows["score"], floors["floor"].take(known)), True)
+                rows = rows.filter(pc.or_(leads, pc.is_null(rows["score"], nan_is_null=True)))
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if held.num_rows > HELD_ROWS:
+                held, floors = _best_of(held, k, key)
+                if held.num_rows > HELD_ROWS // 2:  # of very many queries
+                    yield from held.to_batches(HELD_ROWS // 8)
+                    held = None
+        if held is not None:
+            yield from _best_of(held, k, key)[0].to_batches(HELD_ROWS // 8)
+
+    return scores.mapInArrow(pick, scores.schema)
+
+
+def _best_of(rows: pa.Table, k: int, key: str) -> tuple[pa.Table, pa.Table]:
+    """The best ``k`` rows per query, and the k-th score of queries that have as many."""
+    odd = pc.or_(pc.or_(pc.is_null(rows["score"], nan_is_null=True), pc.is_null(rows[key])), pc.is_null(rows["query_id"]))
+    odd, plain = rows.filter(odd), rows.filter(pc.invert(odd))
+    query = pa.concat_arrays(plain["query_id"].chunks).dictionary_encode() if plain.num_rows else None
+    if query is None:
+        return odd, None
+    code = pa.array(query.indices.to_numpy(zero_copy_only=False))
+    order = pc.sort_indices(pa.table({"q": code, "s": plain["score"], "key": plain[key]}), [("q", "ascending"), ("s", "descending"), ("key", "ascending")]).to_numpy()
+    own = code.to_numpy()[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+    place = np.arange(len(own)) - np.repeat(first, np.diff([*first, len(own)]))
+    last = order[place == k - 1]
+    floors = pa.table({"query_id": plain["query_id"].take(pa.array(last)), "floor": plain["score"].take(pa.array(last))})
+    return pa.concat_tables([plain.take(pa.array(order[place < k])), odd]), floors
+
+
 def knn_cosine(
     index: DataFrame,
     queries: DataFrame,
@@ -388,7 +548,7 @@ def knn_cosine(
             if best is not None:
                 yield best
 
-        return topk_per_query(vectors.mapInPandas(scan, schema), k, key)
+        return _ranked(vectors.mapInPandas(scan, schema), k, key)
 
     def match(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         return _best(part, block, k, key, digits)
@@ -406,7 +566,7 @@ def knn_cosine(
         F.explode(F.sequence(first, F.lit(slices - 1).cast("long"))).alias("_slice"),
     )
     found = left.groupBy(*places).cogroup(right.groupBy(*places)).applyInPandas(match, schema)
-    return topk_per_query(found, k, key)
+    return _ranked(found, k, key)
 
 
 def _unit(frame: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -444,14 +604,30 @@ def _best(part: pd.DataFrame, asked: pd.DataFrame, k: int, key: str, digits: int
 def merge_text_and_vector(
     text: DataFrame, vector: DataFrame, vector_boost: float = VECTOR_BOOST, key: str = "chunk_id"
 ) -> DataFrame:
-    """Text score plus boosted vector score; a row in either list counts."""
+    """Text score plus boosted vector score; a row in either list counts.
+
+    A small vector side is sent to the text rows, which do not move; a second pass over these tells which vector
+    rows have no text score.
+    """
+    vector = durable(vector.select("query_id", key, F.col("score").alias("_vector")))
+    if not is_small(vector):
+        return _merged(text, vector, vector_boost, key)
+    pairs = ["query_id", key]
+    met = durable(text.join(F.broadcast(vector.select(*pairs)), pairs, "left_semi").select(*pairs).distinct())
+    alone = vector.join(F.broadcast(met), pairs, "left_anti")  # no more pairs than there are vector rows
+    found = text.withColumnRenamed("score", "_text").join(F.broadcast(vector), pairs, "left")
+    return _summed(found.select(*pairs, "_text", "_vector").unionByName(alone, allowMissingColumns=True), vector_boost, key)
+
+
+def _merged(text: DataFrame, vector: DataFrame, vector_boost: float, key: str) -> DataFrame:
+    return _summed(text.withColumnRenamed("score", "_text").join(vector, ["query_id", key], "full_outer"), vector_boost, key)
+
+
+def _summed(found: DataFrame, vector_boost: float, key: str) -> DataFrame:
     nothing = F.lit(0.0)
-    return text.withColumnRenamed("score", "_text").join(
-        vector.select("query_id", key, F.col("score").alias("_vector")), ["query_id", key], "full_outer"
-    ).select(
-        "query_id", key,
-        (F.coalesce("_text", nothing) + vector_boost * F.coalesce("_vector", nothing)).alias("score"),
-    )
+    return found.select(
+        "query_id", key, (F.coalesce("_text", nothing) + vector_boost * F.coalesce("_vector", nothing)).alias("score")
+    )
 
 
 def hybrid_search(index: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -459,11 +635,12 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
 
     A row without a vector part is among the best ``k`` only if at most ``k``
     rows with one come before it by text, so the best ``2 * k`` by text and the
-    rows with a vector part are all that matter.
+    rows with a vector part are all that matter. The vector hits are found once and kept.
     """
-    vector = knn_cosine(index, queries, k)
+    vector = durable(knn_cosine(index, queries, k))
     text = bm25_candidates(index, queries, 2 * k, also=vector)
-    return topk_per_query(merge_text_and_vector(text, vector), k)
+    vector = vector.select("query_id", "chunk_id", F.col("score").alias("_vector"))
+    return _ranked(_merged(text, vector, VECTOR_BOOST, "chunk_id"), k, "chunk_id")
 
 
 def with_hit_fields(hits: DataFrame, index: DataFrame, most: int | None = None) -> DataFrame:
@@ -523,20 +700,11 @@ def embed_chunks(
     return chunks.withColumn("embedding", vectors(F.col(text)))
 
 
-def tfidf_rank(docs: DataFrame, queries: DataFrame, field: str = "content", key: str = "id") -> DataFrame:
+def tfidf_rank(docs: DataFrame, queries: DataFrame, field: str = "content", key: str = "id", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Sum of tf * ln((N + 1) / (df + 1)) over the question's terms."""
-    terms = query_terms(queries)
-    small = is_small(terms)
-    found = postings(docs, [field], terms, small, key)
-    frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    weighted = frequency.join(F.broadcast(total)).join(terms, "term").select(  # one row of totals
-        "query_id", "term", (F.col("weight") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("idf")
-    )
-    if small:
-        weighted = F.broadcast(weighted)
-    return (
-        found.join(weighted, "term")
-        .groupBy("query_id", key)
-        .agg(F.sum(F.col("idf") * F.col("tf")).alias("score"))
-    )
+    total = docs.count()
+
+    def weigh(counts: dict[str, tuple[np.ndarray, float, float]]) -> dict[str, tuple[np.ndarray, float]]:
+        return {field: (np.log((total + 1) / (df + 1)), 1.0) for field, (df, _, _) in counts.items()}
+
+    return _every_score(docs, queries, [field], key, weigh, False, limit)

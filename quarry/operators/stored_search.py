@@ -6,17 +6,18 @@ scores of its blocks can bring one of its rows among a question's best.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.operators import retrieval
-from quarry.operators.retrieval import FIELD_BOOSTS, K1, B, TOP_K, _BestText, _offer_text, _slot_table, query_terms, topk_per_query
+from quarry.operators.retrieval import FIELD_BOOSTS, K1, B, TOP_K, _BestText, _offer_text, _ranked, _slot_table, query_terms
 from quarry.session import BROADCAST_ROWS, broadcast_if_small
 from quarry.sources.chunk_table import stored_rows, visible
 from quarry.sources.manifest import Entry, Manifest, read_manifest
@@ -27,9 +28,9 @@ NAMED_TERMS = 5_000
 
 
 def _postings(spark: SparkSession, entries: list[Entry]) -> DataFrame:
-    read = spark.read.schema(SCHEMA).parquet(*[e.postings for e in entries])
-    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
-    return read.withColumn("folder", folder)
+    # A column of the scan, so that terms are selected before folders are named.
+    path = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+    return spark.read.schema(SCHEMA).parquet(*[e.postings for e in entries]).withColumn("folder", F.substring_index(path, "/", 1))
 
 
 def _statistics(blocks: DataFrame, hidden: DataFrame | None, boosts: dict[str, float], names: list[str]) -> dict[str, tuple[np.ndarray, float]]:
@@ -55,23 +56,56 @@ def _statistics(blocks: DataFrame, hidden: DataFrame | None, boosts: dict[str, f
     return out
 
 
+def _array(rows: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(rows[name].chunks) if rows[name].num_chunks else pa.array([], rows[name].type)
+
+
+def _at(column: pa.Array, values: list[str]) -> np.ndarray:
+    """Place of each entry among the values, -1 for others."""
+    return pc.fill_null(pc.index_in(column, pa.array(values, pa.string())), -1).to_numpy(zero_copy_only=False)
+
+
+def _content(column: pa.Array, places: np.ndarray) -> np.ndarray:
+    """The numbers of several binary entries, one after the other."""
+    taken = column.take(pa.array(places))
+    _, starts, content = taken.buffers()
+    starts = np.frombuffer(starts, np.int32)[taken.offset : taken.offset + len(taken) + 1]
+    return numbers(np.frombuffer(content, np.uint8)[starts[0] : starts[-1]])
+
+
 class _Part:
     """The windows of a part with the blocks of the asked terms."""
 
-    def __init__(self, rows: pd.DataFrame, terms: pd.Index, weights: dict[str, tuple[np.ndarray, float]]):
-        self.weights = weights
-        self.keys = {w: k for w, k in zip(rows["window"], rows["keys"]) if k is not None}
-        lengths = rows[(rows["term"] == LENGTHS) & (rows["field"] != KEYS)]
-        self.lengths = {(w, f): c for w, f, c in zip(lengths["window"], lengths["field"], lengths["tfs"])}
-        blocks = rows[rows["term"] != LENGTHS]
-        blocks = blocks.assign(slot=terms.get_indexer(blocks["term"]))
-        self.blocks = blocks[(blocks["slot"] >= 0) & blocks["field"].isin(list(weights))].reset_index(drop=True)
-        self.most = np.array([self._most(f, s, i) for f, s, i in zip(self.blocks["field"], self.blocks["slot"], self.blocks["impacts"])])
-        self.of = {w: np.asarray(at) for w, at in self.blocks.groupby("window").indices.items()}
-
-    def _most(self, field: str, slot: int, impacts) -> float:
-        idf, mean = self.weights[field]
-        return max(idf[slot] * x["tf"] / (x["tf"] + K1 * (1 - B + B * x["size"] / mean)) for x in impacts)
+    def __init__(self, rows: pa.Table, terms: pd.Index, weights: dict[str, tuple[np.ndarray, float]]):
+        self.idf = np.stack([idf for idf, _ in weights.values()])
+        self.mean = np.array([mean for _, mean in weights.values()])
+        window, field, term = (_array(rows, c) for c in ("window", "field", "term"))
+        window, of_field, slot = window.to_numpy(), _at(field, list(weights)), _at(term, list(terms))
+        marks, keyed = pc.equal(term, LENGTHS).to_numpy(zero_copy_only=False), pc.equal(field, KEYS).to_numpy(zero_copy_only=False)
+        keys, hidden, self.docs, self.tfs = (_array(rows, c) for c in ("keys", "hidden", "docs", "tfs"))
+        heads = np.flatnonzero(marks & keyed)
+        self.keys = {window[i]: np.asarray(keys[i].as_py(), dtype=object) for i in heads}
+        self.gone = {window[i]: np.asarray(hidden[i].as_py()) for i in heads if hidden[i].is_valid}
+        self.lengths = {(window[i], of_field[i]): i for i in np.flatnonzero(marks & ~keyed & (of_field >= 0))}
+        self.at = np.flatnonzero(~marks & (slot >= 0) & (of_field >= 0))
+        self.at = self.at[np.argsort(window[self.at], kind="stable")]
+        self.field, self.slot = of_field[self.at], slot[self.at]
+        self.n = _array(rows, "n").to_numpy()[self.at]
+        self.most = self._most(_array(rows, "impacts").take(pa.array(self.at)))
+        own, first = np.unique(window[self.at], return_index=True)
+        self.of = {w: slice(low, high) for w, low, high in zip(own, first, [*first[1:], len(self.at)])}
+
+    def _parts(self, field: np.ndarray, slot: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.idf[field, slot] * tf / (tf + K1 * (1 - B + B * size / self.mean[field]))
+
+    def _most(self, impacts: pa.ListArray) -> np.ndarray:
+        """The largest score part of each block."""
+        if not len(impacts):
+            return np.zeros(0)
+        count = pc.list_value_length(impacts).to_numpy(zero_copy_only=False)
+        tf, size = (x.to_numpy(zero_copy_only=False) for x in impacts.flatten().flatten())
+        parts = self._parts(np.repeat(self.field, count), np.repeat(self.slot, count), tf, size)
+        return np.maximum.reduceat(parts, np.cumsum(count) - count)
 
     def bound(self, window: int, table: tuple[np.ndarray, ...]) -> np.ndarray:
         """The largest score any row of the window may have, per question."""
@@ -79,29 +113,26 @@ class _Part:
         at = self.of.get(window)
         if at is None:
             return np.zeros(len(ids))
-        slot = self.blocks["slot"].to_numpy()[at]
+        slot = self.slot[at]
         runs = starts[slot + 1] - starts[slot]
         places = np.arange(runs.sum()) + np.repeat(starts[slot] - np.cumsum(runs) + runs, runs)
         return np.bincount(query[places], np.repeat(self.most[at], runs) * weight[places], len(ids))
 
     def decode(self, window: int, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Row, slot and score part of the postings of the needed terms."""
-        rows, slots, parts, count = [], [], [], 0
-        size = {}
-        for at in self.of[window]:
-            block = self.blocks.iloc[at]
-            if not needed[block["slot"]]:
-                continue
-            field = block["field"]
-            if field not in size:
-                size[field] = numbers(self.lengths[window, field])
-            doc, tf = np.cumsum(numbers(block["docs"])), numbers(block["tfs"])
-            idf, mean = self.weights[field]
-            rows.append(doc)
-            slots.append(np.full(len(doc), block["slot"]))
-            parts.append(idf[block["slot"]] * tf / (tf + K1 * (1 - B + B * size[field][doc] / mean)))
-            count += 1
-        return np.concatenate(rows), np.concatenate(slots), np.concatenate(parts), count
+        own = self.of[window]
+        kept = np.flatnonzero(needed[self.slot[own]]) + own.start
+        n = self.n[kept]
+        gap, tf = _content(self.docs, self.at[kept]), _content(self.tfs, self.at[kept])
+        first = np.cumsum(n) - n
+        row = np.cumsum(gap)
+        row = row - np.repeat(row[first] - gap[first], n)
+        field, slot = np.repeat(self.field[kept], n), np.repeat(self.slot[kept], n)
+        size = np.zeros(len(row), np.int64)
+        for f in np.unique(self.field[kept]):
+            lengths = _content(self.tfs, np.array([self.lengths[window, f]]))
+            size[field == f] = lengths[row[field == f]]
+        return row, slot, self._parts(field, slot, tf, size), len(kept)
 
 
 def stored_search(
@@ -127,7 +158,7 @@ def stored_search(
     if lacking := [e.batch for e in entries if not e.postings]:
         raise ValueError(f"batches without postings: {lacking[:5]}; write them with fields, or compact with fields")
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("chunk_id", T.StringType()), T.StructField("score", T.DoubleType())])
-    nothing = topk_per_query(spark.createDataFrame([], schema), k)
+    nothing = _ranked(spark.createDataFrame([], schema), k, "chunk_id")
     asked = query_terms(queries).limit(limit + 1).toPandas()
     if len(asked) > limit:
         if asked["query_id"].nunique() > 1 or queries.select("query_id").distinct().count() > 1:
@@ -159,10 +190,11 @@ def stored_search(
     else:
         blocks = blocks.withColumn("hidden", F.lit(None).cast("array<int>"))
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
+    found_as = to_arrow_schema(schema)
+
+    def search(rows: pa.Table) -> pa.Table:
         terms, weights, table = sent.value
         part = _Part(rows, terms, weights)
-        gone = {w: np.asarray(h) for w, h, key in zip(rows["window"], rows["hidden"], rows["keys"]) if h is not None and key is not None}
         best = _BestText(table[0], k, "chunk_id")
         bounds = {w: part.bound(w, table) for w in part.keys}
         ids, starts, query, _ = table
@@ -176,17 +208,17 @@ def stored_search(
             row, slot, score, count = part.decode(window, needed)
             if decoded is not None:
                 decoded.add(count)
-            if window in gone:
-                left = ~np.isin(row, gone[window])
+            if window in part.gone:
+                left = ~np.isin(row, part.gone[window])
                 row, slot, score = row[left], slot[left], score[left]
-            keys = np.asarray(part.keys[window], dtype=object)
+            keys = part.keys[window]
             for _ in _offer_text(best, keys, [None] * len(keys), row, slot, score, table):
                 pass
             best.shrink()
         out = list(best.rows())
-        return out[0] if out else pd.DataFrame({"query_id": ids[:0], "chunk_id": np.zeros(0, object), "score": np.zeros(0)})
+        return pa.Table.from_pandas(out[0], found_as, preserve_index=False) if out else found_as.empty_table()
 
-    return topk_per_query(blocks.groupBy("folder", "part").applyInPandas(search, schema), k)
+    return _ranked(blocks.groupBy("folder", "part").applyInArrow(search, schema), k, "chunk_id")
 
 
 def _places(read: DataFrame, hidden: DataFrame, entries: list[Entry]) -> DataFrame:

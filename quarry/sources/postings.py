@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,53 +56,83 @@ def numbers(content: bytes) -> np.ndarray:
     return out
 
 
+def _unbeaten(block: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the pairs that no other pair of their block beats, by block and size: a higher frequency in a field not longer."""
+    order = np.lexsort((-tf, size, block))
+    height = block[order].astype(np.int64) * (int(tf.max(initial=0)) + 1) + tf[order]
+    before = np.concatenate([[-1], np.maximum.accumulate(height)[:-1]])
+    return order[height > before]
+
+
 def _impacts(tf: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that no other pair beats: a higher frequency in a field not longer."""
-    if len(tf) == 1:
-        return [(int(tf[0]), int(size[0]))]
-    kept: list[tuple[int, int]] = []
-    for at in np.lexsort((-tf, size)):
-        if not kept or tf[at] > kept[-1][0]:
-            kept.append((int(tf[at]), int(size[at])))
-    return kept
-
-
-def _blocks(part: int, window: int, rows: pd.DataFrame, fields: list[str], key: str) -> pd.DataFrame:
-    out: list[tuple] = [(part, window, KEYS, "", len(rows), 0, None, None, None, rows[key].tolist())]
+    """The pairs of one block."""
+    kept = _unbeaten(np.zeros(len(tf), np.int64), tf, size)
+    return list(zip(tf[kept].tolist(), size[kept].tolist()))
+
+
+def _binary(content: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(content)])
+
+
+def _blocks(part: int, window: int, rows: pa.Table, fields: list[str], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a window: its keys and lengths, then the terms of each field."""
+    heads = [(KEYS, LENGTHS, rows.num_rows, 0, None, rows[key].to_pylist())]
+    found = []
     for field in fields:
-        size = rows[field].map(len).to_numpy(np.int64)
+        tokens = rows[field].combine_chunks()
+        size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
         lengths, _ = varint(size)
-        out.append((part, window, field, LENGTHS, int((size > 0).sum()), int(size.sum()), None, None, lengths.tobytes(), None))
-        if not size.sum():
-            continue
-        code, names = pd.factorize(np.concatenate(rows[field].to_list()))
-        place, tf = np.unique(code.astype(np.int64) * WINDOW + np.repeat(np.arange(len(size)), size), return_counts=True)
-        term, doc = place // WINDOW, place % WINDOW
-        first = np.concatenate([[True], term[1:] != term[:-1]])
-        gap = doc - np.where(first, 0, np.concatenate([[0], doc[:-1]]))
-        docs, doc_at = varint(gap)
-        tfs, tf_at = varint(tf)
-        edges = np.append(np.flatnonzero(first), len(term))
-        for low, high in zip(edges[:-1], edges[1:]):
-            own = slice(low, high)
-            out.append((part, window, field, names[term[low]], int(high - low), 0, _impacts(tf[own], size[doc[own]]), docs[doc_at[low] : doc_at[high]].tobytes(), tfs[tf_at[low] : tf_at[high]].tobytes(), None))
-    return pd.DataFrame(out, columns=["part", "window", "field", "term", "n", "total", "impacts", "docs", "tfs", "keys"])
+        heads.append((field, LENGTHS, int((size > 0).sum()), int(size.sum()), lengths.tobytes(), None))
+        if size.sum():
+            found.append(_terms(part, window, field, tokens.flatten().dictionary_encode(), size))
+    column = [pa.array(c, t) for c, t in zip(zip(*heads), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.string())))]
+    field, term, n, total, tfs, keys = column
+    yield _rows(part, window, field, term, n, total, None, None, tfs, keys)
+    yield from found
+
+
+def _terms(part: int, window: int, field: str, tokens: pa.DictionaryArray, size: np.ndarray) -> pa.RecordBatch:
+    code = tokens.indices.to_numpy().astype(np.int64)
+    place, tf = np.unique(code * WINDOW + np.repeat(np.arange(len(size)), size), return_counts=True)
+    term, doc = place // WINDOW, place % WINDOW
+    first = np.concatenate([[True], term[1:] != term[:-1]])
+    gap = doc - np.where(first, 0, np.concatenate([[0], doc[:-1]]))
+    docs, doc_at = varint(gap)
+    tfs, tf_at = varint(tf)
+    edges = np.append(np.flatnonzero(first), len(term))
+    count, block = len(edges) - 1, np.cumsum(first) - 1
+    kept = _unbeaten(block, tf, size[doc])
+    pairs = pa.StructArray.from_arrays([pa.array(tf[kept], pa.int32()), pa.array(size[doc[kept]], pa.int32())], ["tf", "size"])
+    impacts = pa.ListArray.from_arrays(pa.array(np.searchsorted(block[kept], np.arange(count + 1)), pa.int32()), pairs)
+    names = tokens.dictionary.take(pa.array(term[edges[:-1]]))
+    n, total = pa.array(np.diff(edges), pa.int32()), pa.array(np.zeros(count, np.int64))
+    return _rows(part, window, pa.array([field] * count), names, n, total, impacts, _binary(docs, doc_at[edges]), _binary(tfs, tf_at[edges]), None)
+
+
+def _rows(part: int, window: int, field, term, n, total, impacts, docs, tfs, keys) -> pa.RecordBatch:
+    types = {"impacts": pa.list_(pa.struct([("tf", pa.int32()), ("size", pa.int32())])), "docs": pa.binary(), "keys": pa.list_(pa.string())}
+    columns = {
+        "part": pa.array(np.full(len(field), part, np.int64)), "window": pa.array(np.full(len(field), window, np.int32)),
+        "field": field, "term": term, "n": n, "total": total, "impacts": impacts, "docs": docs, "tfs": tfs, "keys": keys,
+    }
+    return pa.RecordBatch.from_pydict({name: pa.nulls(len(field), types[name]) if c is None else c for name, c in columns.items()})
 
 
 def write_postings(rows: DataFrame, fields: list[str], folder: str, key: str = "chunk_id") -> None:
     """Postings of the text columns ``fields``; sorted by term, so that a search skips the row groups of others."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, window, held = TaskContext.get().partitionId() << 32, 0, None
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            while len(held) >= WINDOW:
-                yield _blocks(own + window // PART, window % PART, held.iloc[:WINDOW], fields, key)
-                held, window = held.iloc[WINDOW:].reset_index(drop=True), window + 1
-        if held is not None and len(held):
-            yield _blocks(own + window // PART, window % PART, held, fields, key)
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            while held.num_rows >= WINDOW:
+                yield from _blocks(own + window // PART, window % PART, held.slice(0, WINDOW), fields, key)
+                held, window = held.slice(WINDOW), window + 1
+        if held is not None and held.num_rows:
+            yield from _blocks(own + window // PART, window % PART, held, fields, key)
 
     tokens = rows.select(F.col(key), *[fold_tokens(F.col(f)).alias(f) for f in fields])
-    tokens.mapInPandas(build, SCHEMA).sortWithinPartitions("term", "field", "part", "window").write.parquet(folder)
+    tokens.mapInArrow(build, SCHEMA).sortWithinPartitions("term", "field", "part", "window").write.parquet(folder)
