@@ -68,6 +68,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, unless the session asks for less: a worker holds several at a time, and what it makes of them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, "8m")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a table scan that comes in fewer partitions than there are cores.
 
