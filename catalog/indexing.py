@@ -394,9 +394,11 @@ def stream_landing_csv(spark, folder):
 
 
 def streamed_docs(spark, folder):
-    path = scratch(spark)
-    docs_v(spark, folder).repartition(4).write.parquet(path)
-    reader = spark.readStream.schema(docs_v(spark, folder).schema).option("maxFilesPerTrigger", 2)
+    """The documents in two micro-batches of as many files as the scan has partitions, at least four."""
+    path, docs = scratch(spark), docs_v(spark, folder)
+    each = max(2, -(-docs.rdd.getNumPartitions() // 2))
+    docs.repartition(2 * each).write.parquet(path)
+    reader = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", each)
     return reader.parquet(path)
 
 
