@@ -127,15 +127,16 @@ class _OrderedCache(StatefulProcessor):
         rows = list(self.waiting.get()) if self.waiting.exists() else []
         due = sorted((r for r in rows if r[2] <= done), key=lambda r: (r[2], not r[4], r[1] is None, r[1]))
         left = [r for r in rows if r[2] > done]
-        out = []
+        # The answers are read once and their changes written once, however many rows are due.
+        before = {own[0]: at[0] for own, at in self.answers.iterator()} if self.answers.exists() else {}
+        out, now, void = [], dict(before), False
         for own, number, at, settable, change in due:
             if change:
-                self.answers.clear()
+                now, void = {}, True
                 continue
-            before = self.answers.getValue((own,)) if self.answers.exists() and self.answers.containsKey((own,)) else None
-            hit = before is not None and at - before[0] <= self.ttl
+            hit = own in now and at - now[own] <= self.ttl
             if settable and not hit:
-                self.answers.updateValue((own,), (at,))
+                now[own] = at
             out.append((own, number, at, hit, settable and not hit))
         if due:
             if left:
@@ -143,7 +144,7 @@ class _OrderedCache(StatefulProcessor):
                 self._wake(min(r[2] for r in left))
             else:
                 self.waiting.clear()
-        self._expire(done)
+        self._keep(before, now, void, done)
         if out:
             frame = pd.DataFrame(out, columns=["key", "id", "ts", "cache_hit", "answer_set"])
             yield frame.assign(ts=pd.to_datetime(frame["ts"], unit="us"))
@@ -152,18 +153,20 @@ class _OrderedCache(StatefulProcessor):
         """A timer for the first millisecond that is not before the time."""
         self.handle.registerTimer(-(-at // 1_000))
 
-    def _expire(self, done: int) -> None:
-        """Forget answers that no later request can hit, and come back for the next one."""
-        if not self.answers.exists():
-            return
-        known = list(self.answers.iterator())
-        for own, (at,) in known:
-            if at + self.ttl < done:
-                self.answers.removeKey(own)
-        alive = [at for _, (at,) in known if at + self.ttl >= done]
+    def _keep(self, before: dict, now: dict, void: bool, done: int) -> None:
+        """Write the answers that changed, forget those that no later request can hit, and come back for the next one."""
+        alive = {own: at for own, at in now.items() if at + self.ttl >= done}
+        if before and (void or not alive):
+            self.answers.clear()
+            before = {}
+        for own in before.keys() - alive.keys():
+            self.answers.removeKey((own,))
+        for own, at in alive.items():
+            if before.get(own) != at:
+                self.answers.updateValue((own,), (at,))
         if alive:
             # A millisecond after, so that the watermark has passed the last moment of the answer.
-            self._wake(min(alive) + self.ttl + 1_000)
+            self._wake(min(alive.values()) + self.ttl + 1_000)
 
     def close(self) -> None:
         pass
