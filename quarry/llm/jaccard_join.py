@@ -1,8 +1,8 @@
 """Exact Jaccard self-join of shingle sets with a count-vector R-tree, and its components.
 
 A set is hashed into groups in two ways. Fine groups, as many as two linked sets can differ in and
-a few more, leave at least one group equal in both sets, so that sets meet only under the content of a
-fine group. Coarse groups give the point of a set, its count vector, whose coordinate minima
+a few more, leave some groups equal in both sets, so that sets meet only under the content of several
+fine groups. Coarse groups give the point of a set, its count vector, whose coordinate minima
 bound the overlap of two sets: points that meet go through an R-tree on these vectors, and
 surviving pairs are verified on the whole sets.
 """
@@ -29,6 +29,8 @@ TILE = 512
 # Rows, and bytes of sets, of one block of a tile whose sets are compared in place.
 DENSE = 1_024
 DENSE_BYTES = 1 << 23
+# Keys that two linked sets share where they can: keys beyond those that guarantee it are not written.
+SHARED = 8
 # Sizes of one band of sets grow by this factor.
 BAND = 1.6
 FIRST_BAND = 5
@@ -92,15 +94,14 @@ class Scheme:
         while size < 1 << 40:
             self.least.append(math.ceil(size))
             size *= BAND
-        self.parts, self.spare = [], []
+        self.parts = []
         for upper in self.least[1:]:
             small = upper - 1
             large = small * 100 // share
             # Elements in which two linked sets can differ.
-            differ = (100 - share) * (small + large) // (100 + share)
+            differ = self.differ(small, large)
             spare = 3 + differ // 12
             self.parts.append(differ + 1 + spare)
-            self.spare.append(spare)
 
     def bands(self, size: int) -> list[int]:
         """The band of a size, and the one below if a set there can be linked with it."""
@@ -108,22 +109,40 @@ class Scheme:
         smallest = -(-self.share * size // 100)
         return [own] if own == 0 or smallest >= self.least[own] else [own - 1, own]
 
+    def differ(self, size: int, other: int) -> int:
+        """Elements in which linked sets of these sizes can differ."""
+        return (100 - self.share) * (size + other) // (100 + self.share)
+
+    def groups(self, own: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Group of each element of a set, where each group that is not empty begins, and how many of these a linked set of the band has alike at least."""
+        part = ((own >> np.uint64(32)) * np.uint64(self.parts[band])) >> np.uint64(32)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+        other = len(own) * 100 // self.share
+        if len(own) >= self.least[band + 1]:
+            # In the band below its own the set is the larger one.
+            other = min(other, self.least[band + 1] - 1)
+        return part, first, len(first) - self.differ(len(own), other)
+
+    def shared(self, own: np.ndarray) -> int:
+        """Keys that a set has in common with any set linked with it, at least."""
+        return max(1, min(SHARED, *(self.groups(own, band)[2] for band in self.bands(len(own)))))
+
     def keys(self, own: np.ndarray) -> np.ndarray:
-        """Keys of a set: the content of each fine group that is not empty.
+        """Keys of a set: the content of fine groups that are not empty, in the order of the groups.
 
-        With ``spare`` groups more than needed an equal group that is not empty exists unless more
-        than ``spare`` groups are empty in both sets; sets with so many empty groups have keys for these, too.
+        Where a set has ``alike`` groups in common with any linked one, the last ``alike - SHARED`` are left out: of the
+        common groups ``SHARED`` or all come before these in both sets. A set that may have none in common but empty
+        ones has keys for all its groups, the empty ones too.
         """
         found = []
         value = mixed(own ^ _ODD[4])
         for band in self.bands(len(own)):
-            parts = self.parts[band]
-            part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-            content = np.add.reduceat(value, first)
-            at = part[first]
-            if parts - len(first) > self.spare[band]:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at)
+            part, first, alike = self.groups(own, band)
+            content, at = np.add.reduceat(value, first), part[first]
+            if alike > SHARED:
+                content, at = content[: SHARED - alike], at[: SHARED - alike]
+            elif alike < 1:
+                empty = np.setdiff1d(np.arange(self.parts[band], dtype=np.uint64), at)
                 content, at = np.concatenate([content, np.zeros(len(empty), np.uint64)]), np.concatenate([at, empty])
             found.append(mixed(content + at * _ODD[1] + np.uint64(band + 1) * _ODD[2]))
         return np.concatenate(found).view(np.int64)
@@ -167,21 +186,24 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, class_of: np.ndarray, shar
                     yield int(leaf[a]), int(other[b])
 
 
-def members(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """``doc_id``, key of the text, size and number of its set, and its point; null number for no set."""
+def members(docs: DataFrame, id_column: str, text_column: str, words: int, share: int) -> DataFrame:
+    """``doc_id``, key of the text, size and number of its set, its point and the keys it shares with any linked set; null number for no set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme = Scheme(share)
         for batch in batches:
-            sizes, nodes, points = [], [], []
+            sizes, nodes, points, shared = [], [], [], []
             with np.errstate(over="ignore"):
                 for text in batch.column(2):
                     own = shingles(text.as_py(), words)
                     sizes.append(len(own))
                     nodes.append(identity(own) if len(own) else None)
                     points.append(point(own) if len(own) else None)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], names=["doc_id", "text_key", "n", "node", "point"])
+                    shared.append(scheme.shared(own) if len(own) else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(shared, pa.int32())]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "n", "node", "point", "shared"])
 
-    return _read(docs, id_column, text_column).mapInArrow(run, "doc_id long, text_key long, n long, node long, point binary")
+    return _read(docs, id_column, text_column).mapInArrow(run, "doc_id long, text_key long, n long, node long, point binary, shared int")
 
 
 def _read(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -380,6 +402,21 @@ class Union:
         self.up[self.find(i)] = self.find(j)
 
 
+def crossing(groups: DataFrame, label: DataFrame, least: DataFrame) -> DataFrame:
+    """The rows of ``groups`` that can still join components: under keys of several, of sets with as many such keys as ``least`` says.
+
+    Sets that have but a few groups in common, as by one repeated passage, lose their rows here. What a round takes leaves keys
+    of a single component, which the next one takes.
+    """
+    rows = groups.join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    for _ in range(2):
+        several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        rows = stored(rows.join(several, "key"), "crossing")
+        enough = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(least, "node").where("c >= shared").select("node")
+        rows = rows.join(enough, "node")
+    return stored(rows.select("key", "node"), "crossing")
+
+
 def further_links(groups: DataFrame, label: DataFrame, points: DataFrame, pairs_of: Callable, verify: Callable, sets: Callable, share: int) -> DataFrame:
     """Links (``u``, ``v``) that join all linked sets under a key that are not yet in one component.
 
@@ -461,14 +498,15 @@ def link(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def rooted_rows(docs: DataFrame, id_column: str, text_column: str, words: int, share: int) -> DataFrame:
     """The rows of ``members`` with ``root``, the set that stands for their component; null for no set."""
     small_batches(docs.sparkSession)
-    seen = stored(members(docs, id_column, text_column, words), "members")
+    seen = stored(members(docs, id_column, text_column, words, share), "members")
     groups = stored(shared_groups(docs, id_column, text_column, words, share), "groups")
-    narrow = seen.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"))
+    narrow = seen.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("point").alias("point"), F.min("shared").alias("shared"))
     held = stored(groups.select("node").distinct().join(narrow, "node"), "points")
     args = (seen, docs, id_column, text_column, words, share)
     first = stored(verified(plausible(candidate_hubs(groups), held, share), *args), "links")
     label = components(first)
-    more = further_links(groups, label, held, lambda points, sizes, classes: tree_pairs(folded(points), sizes, classes, share), lambda pairs: verified(pairs, *args), lambda nodes: sets_of(nodes, *args[:-1]), share)
+    rest = crossing(groups, label, held.select("node", "shared"))
+    more = further_links(rest, label, held.drop("shared"), lambda points, sizes, classes: tree_pairs(folded(points), sizes, classes, share), lambda pairs: verified(pairs, *args), lambda nodes: sets_of(nodes, *args[:-1]), share)
     more = stored(more, "links")
     if not more.isEmpty():
         label = components(first.unionByName(more))
