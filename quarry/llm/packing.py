@@ -25,75 +25,85 @@ SLACK = 16
 PIECE = 384
 # Longest piece of a task's last pool, where one window more costs most.
 LAST_PIECE = 96
-# Words of one generation of a worker's cache, which has two.
+# Words that a worker keeps; beyond them it begins anew, as most of them come once.
 CACHED_CHUNKS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-# A lower-case Latin word, and words encoded as one text.
-_WORD = re.compile(r"[a-zß-öø-ÿ]+")
+# A Latin word, and words encoded as one text.
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 JOINED = 2_000
-# A Latin word with punctuation behind: the tokenizer parts the two.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#$%&]*)")
-
-
-def _encode(chunks: list[str], path: str, cache: dict[str, bytes]) -> None:
-    """Put the ids of ``chunks`` into ``cache``.
-
-    A Latin word with punctuation behind is put together from the lower-case word and the
-    punctuation, as the tokenizer itself lowers and parts them.
-    """
-    parts = {}
-    alone = set()
-    for chunk in chunks:
-        plain = _PLAIN.fullmatch(chunk)
-        if plain:
-            parts[chunk] = own = (plain[1].lower(), plain[2])
-            alone.update(x for x in own if x and x not in cache)
-        else:
-            alone.add(chunk)
-    words = [w for w in alone if _WORD.fullmatch(w)]
-    for at in range(0, len(words), JOINED):
-        part = words[at : at + JOINED]
-        found = tokenizer(path).encode(" ".join(part), add_special_tokens=False)
-        # One text of many words takes less time than as many texts; each word is one pre-token.
-        length = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
-        if len(length) == len(part) and length.all():
-            ids, edges = np.array(found.ids, "<u4").tobytes(), np.concatenate([[0], np.cumsum(length) * 4]).tolist()
-            for word, low, high in zip(part, edges[:-1], edges[1:], strict=True):
-                cache[word] = ids[low:high]
-    missing = [w for w in alone if w not in cache]
-    for at in range(0, len(missing), 20_000):
-        part = missing[at : at + 20_000]
-        for chunk, found in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[chunk] = np.array(found.ids, "<u4").tobytes()
-    for chunk, (word, tail) in parts.items():
-        cache[chunk] = cache[word] + cache[tail] if tail else cache[word]
+# Where the tokenizer parts a Latin letter from a sign behind it. Not where a special string has a sign.
+_PARTED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?*#$%&])"
+# What lower case before the tokenizer could change: special strings, and letters that compose with a mark in one case only.
+_CASED = "<\\||[\u0300-\u036f]"
+
+
+class _Words:
+    """Ids of the words that a worker has met, one behind the other."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        # The last token of a word of letters is told by the vocabulary's suffix.
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def add(self, chunks: list[str]) -> None:
+        """Put the ids of new ``chunks`` behind the others; a Latin word is looked up in lower case, as the tokenizer lowers it."""
+        words, others = [], []
+        for chunk in chunks:
+            (words if _WORD.fullmatch(chunk) else others).append(chunk)
+        ids, sizes, done = [self.ids], [self.size], words.copy()
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            # One text of many words takes less time than as many texts; each word is one pre-token.
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) == len(part) and ends[-1] == len(found):
+                ids.append(found)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                others += part
+                gone = set(part)
+                done = [w for w in done if w not in gone]
+        for at in range(0, len(others), 20_000):
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(others[at : at + 20_000], add_special_tokens=False)]
+            ids.append(np.array([i for own in each for i in own], "<u4"))
+            sizes.append(np.array([len(own) for own in each], np.int64))
+        self.number.update(zip(done + others, range(len(self.size), len(self.size) + len(chunks)), strict=True))
+        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
 
 
 def document_ids(texts: pa.Array, path: str, end_id: int) -> list[bytes]:
     """Token ids of whole texts with ``end_id`` behind, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so that what stands between blanks is encoded
-    alone: once for all texts, from the worker's cache or in one batch, and gathered by number.
+    The tokenizer drops white space and never joins across it nor across a Latin letter and a sign behind it, so that what
+    stands between these borders is encoded alone: once for all texts, from the worker's words or in one batch, and
+    gathered by number.
     """
-    generations = process_cache("word_ids_" + path, lambda: [{}, {}])
+    known = process_cache("words_" + path, lambda: _Words(path))
+    if len(known.number) > CACHED_CHUNKS:
+        known.clear()
+    texts = texts.cast(pa.large_string())
     for blank in "\n\t\r":
         texts = pc.replace_substring(texts, blank, " ")
-    chunks = pc.split_pattern(texts.cast(pa.large_string()), " ")
-    known = chunks.values.dictionary_encode()
-    words, at = known.dictionary.to_pylist(), known.indices.to_numpy()
-    if len(generations[0]) > CACHED_CHUNKS:
-        # What is used again moves to the new generation; the rest goes with the old one.
-        generations[:] = [{}, generations[0]]
-    cache, before = generations
-    cache.update((w, before[w]) for w in words if w not in cache and w in before)
-    _encode([w for w in words if w not in cache], path, cache)
-    own = [cache[w] for w in words]
-    ids, size = np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own], np.int64)
-    first = np.cumsum(size) - size
-    length = size[at]
+    # Behind the replacements: Arrow lowers a slice of an array wrongly.
+    texts = pc.if_else(pc.match_substring_regex(texts, _CASED), texts, pc.ascii_lower(texts))
+    chunks = pc.split_pattern(pc.replace_substring_regex(texts, _PARTED, r"\1 \2"), " ")
+    coded = chunks.values.dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    known.add([w for w in words if w not in known.number])
+    number = np.fromiter(map(known.number.__getitem__, words), np.int64, len(words))
+    first = (np.cumsum(known.size) - known.size)[number]
+    length = known.size[number][at]
     end = np.cumsum(length)
-    gathered = ids[np.arange(end[-1] if len(end) else 0) + np.repeat(first[at] - (end - length), length)]
+    gathered = known.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(first[at] - (end - length), length)]
     edges = np.concatenate([[0], end])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
     last = struct.pack("<I", end_id)
     return [gathered[low:high].tobytes() + last for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
