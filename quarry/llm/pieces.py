@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +195,12 @@ def sample(texts: list[str], keys: np.ndarray, lattices: Lattices) -> tuple[np.n
     if len(lattices.last) > CACHED_SEGMENTS:
         lattices.clear()
     known = lattices.last
-    missing = list({s for row in segments for s in row if s not in known})
+    every = list(chain.from_iterable(segments))
+    missing = list(set(every).difference(known))
     lattices.add(missing)
     borders, sums, pieces, sources = lattices.graph
-    counts = np.array([len(row) for row in segments], np.int64)
-    nodes = np.array([known[s] for row in segments for s in row], np.int64)
+    counts = np.fromiter(map(len, segments), np.int64, len(segments))
+    nodes = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
     for segment in missing:
         if len(segment) > CACHED_LENGTH:
             del known[segment]
@@ -275,18 +277,26 @@ def segment(
     return read.mapInArrow(run, f"doc_id {kind}, text string, pieces array<int>")
 
 
+def texts_of(lists: pa.Array, content: pa.Array) -> pa.Array:
+    """Texts of lists of piece ids, whose bytes ``content`` has, without the character that goes before each text; null for null."""
+    edges = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.list_value_length(lists), 0), np.int64))])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), content.take(lists.flatten())), b"")
+    joined = pc.if_else(lists.is_valid(), joined, None)
+    try:
+        return pc.utf8_slice_codeunits(joined.cast(pa.string()), 1, None)
+    except pa.ArrowInvalid:
+        # Ids in an order that no text has.
+        return pa.array([None if x is None else x.decode("utf-8", "replace")[1:] for x in joined.to_pylist()], pa.string())
+
+
 def decode(pieces: DataFrame, path: str, column: str = "pieces", into: str = "decoded") -> DataFrame:
     """``pieces`` with the text of its piece ids, also of ids that hold bytes; null for null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content = lattices_of(path, ALPHA).vocabulary.bytes_of
+        content = pa.array(lattices_of(path, ALPHA).vocabulary.bytes_of, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [
-                    b"".join(map(content.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace")[1:] if ids.is_valid else None
-                    for ids in part.column(column)
-                ]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
+                yield pa.record_batch([*part.columns, texts_of(part.column(column), content)], names=[*part.schema.names, into])
 
     return pieces.mapInArrow(run, T.StructType([*pieces.schema.fields, T.StructField(into, T.StringType())]))
