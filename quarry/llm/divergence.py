@@ -60,9 +60,7 @@ def repeated_words(words: Column) -> Column:
     first = F.slice(words, F.lit(1), n - 2)
     low = F.lit((1 << _PLACE) - 1)
     place = lambda x: x.bitwiseAND(low).cast("int")
-    packed = F.sort_array(
-        F.transform(first, lambda w, i: F.shiftleft(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), _PLACE).bitwiseOR(i.cast("long")))
-    )
+    hashes = F.transform(first, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
     def same(x: Column, y: Column) -> Column:
         p, q = place(x), place(y)
@@ -71,7 +69,13 @@ def repeated_words(words: Column) -> Column:
             equal = equal & (F.get(words, p + k) == F.get(words, q + k))
         return F.coalesce(equal, F.lit(False))
 
-    short = _let(packed, lambda s: F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))), place))
+    def repeated(h: Column) -> Column:
+        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, _PLACE).bitwiseOR(i.cast("long"))))
+        found = _let(packed, lambda s: F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i + 1)) | same(x, F.get(s, i - 1))), place))
+        # Most texts repeat no window and need no sorting.
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), found).otherwise(F.array().cast("array<int>"))
+
+    short = _let(hashes, repeated)
     windows = F.array_sort(F.transform(first, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))))
 
     def again(s: Column) -> Column:
@@ -124,13 +128,16 @@ def class_counts(text: Column) -> Column:
 
 def occurrences(words: Column, asked: Column) -> Column:
     """How often each of ``asked`` is among ``words``, none of which holds a blank: by what its removal saves."""
-    line = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+
+    def line(most: Column) -> Column:
+        # Longer words than the asked ones cannot be among them.
+        return F.concat(F.lit(" "), F.array_join(F.filter(words, lambda w: F.length(w) <= most), "  "), F.lit(" "))
 
     def count(text: Column) -> Column:
         saved = lambda w: F.octet_length(text) - F.octet_length(F.replace(text, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
         return F.transform(asked, lambda w: saved(w).cast("double") / (F.octet_length(w) + 2))
 
-    return _let(line, count)
+    return _let(_let(F.array_max(F.transform(asked, F.length)), line), count)
 
 
 def distance(p: Column, q: Column) -> Column:
