@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from quarry.operators.index import distinct_ids
 from quarry.schemas import AUDIT, INDEX
-from quarry.session import BROADCAST_ROWS, broadcast_if_small
+from quarry.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small
 from quarry.sources.id_filter import may_hold, write_filters
 from quarry.sources.manifest import Entry, Manifest, commit, read_manifest
 from quarry.sources.postings import write_postings
@@ -34,6 +35,10 @@ VERSION = T.StructType([T.StructField("ts", T.TimestampType()), _BATCH])
 # Indexes of fewer rows are read by their id column alone, which takes less time than asking filters.
 FILTERED_ROWS = 1_000_000
 
+# Rows of a file whose bits, as Spark makes them, tell which of them are hidden.
+BITS_POWER = 15
+BITS = 1 << BITS_POWER
+
 
 def _put(rows: DataFrame, path: str, batch: str) -> None:
     (
@@ -105,20 +110,50 @@ def stored_rows(spark: SparkSession, entries: list[Entry]) -> DataFrame:
 
 
 def visible(spark: SparkSession, at: Manifest, entries: list[Entry]) -> DataFrame:
-    """The stored rows of the entries that nothing in the manifest hides."""
+    """The stored rows of the entries that nothing in the manifest hides.
+
+    Where many rows hide others, ids and times alone are compared, and the hidden rows go to the scans as bits by their place
+    in the files: contents are not moved.
+    """
     chunks = _read(spark, entries, STORED)
-    if not entries:
+    hiding = at.of("deleted") + at.of("replaced")
+    if not entries or not hiding:
         return chunks
-    if deleted := at.of("deleted"):
-        gone = _read(spark, deleted, DELETED).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("deleted_at").alias("_deleted_at"))
+    if max(sum(e.rows for e in at.of(kind)) for kind in ("deleted", "replaced")) <= BROADCAST_ROWS or not _bits_fit(chunks, entries):
+        for kind in ("deleted", "replaced"):
+            chunks = _split(spark, at, entries, chunks, kind, "left_anti")
+        return chunks.select(*STORED.names)
+    places = chunks.select("doc_id", "chunk_id", "entry", "written_at", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    hidden = [_split(spark, at, entries, places, kind, "left_semi").select("entry", "_file", "_row") for kind in ("deleted", "replaced") if at.of(kind)]
+    bits = reduce(DataFrame.unionByName, hidden).groupBy(F.col("entry").alias("_in"), F.col("_file").alias("_of"), F.shiftright("_row", BITS_POWER).alias("_part"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("_row").bitwiseAND(BITS - 1)).alias("_bits"))
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    placed = chunks.select("*", name.alias("_file"), F.shiftright(row, BITS_POWER).alias("_at"), row.bitwiseAND(BITS - 1).cast("int").alias("_bit"))
+    same = (F.col("entry") == F.col("_in")) & (F.col("_file") == F.col("_of")) & (F.col("_at") == F.col("_part"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_hidden = F.getbit(byte, F.col("_bit").bitwiseAND(7)) == 1
+    return placed.join(F.broadcast(bits), same, "left").where(F.col("_bits").isNull() | ~is_hidden).select(*STORED.names)
+
+
+def _split(spark: SparkSession, at: Manifest, entries: list[Entry], rows: DataFrame, kind: str, how: str) -> DataFrame:
+    """Of ``rows`` those that deletions or, by ``kind``, later rows of a chunk hide (``left_semi``), or the others (``left_anti``)."""
+    hiding = at.of(kind)
+    if not hiding:
+        return rows
+    if kind == "deleted":
+        gone = _read(spark, hiding, DELETED).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("deleted_at").alias("_deleted_at"))
         hidden = (F.col("doc_id") == F.col("_doc")) & (F.col("written_at") < F.col("_deleted_at"))
-        chunks = chunks.join(_small(gone, deleted), hidden, "left_anti")
-    if replaced := at.of("replaced"):
-        newest = _read(spark, replaced, REPLACED).join(_numbers(spark, replaced), "entry").groupBy(F.col("chunk_id").alias("_chunk")).agg(F.max("number").alias("_number"))
-        # Of the rows of a chunk the one that was committed last stays.
-        hidden = (F.col("chunk_id") == F.col("_chunk")) & (F.col("number") < F.col("_number"))
-        chunks = chunks.join(_numbers(spark, entries), "entry").join(_small(newest, replaced), hidden, "left_anti")
-    return chunks.select(*STORED.names)
+        return rows.join(_small(gone, hiding), hidden, how)
+    newest = _read(spark, hiding, REPLACED).join(_numbers(spark, hiding), "entry").groupBy(F.col("chunk_id").alias("_chunk")).agg(F.max("number").alias("_number"))
+    # Of the rows of a chunk the one that was committed last stays.
+    hidden = (F.col("chunk_id") == F.col("_chunk")) & (F.col("number") < F.col("_number"))
+    return rows.join(_numbers(spark, entries), "entry").join(_small(newest, hiding), hidden, how)
+
+
+def _bits_fit(chunks: DataFrame, entries: list[Entry]) -> bool:
+    """The bits of all rows, with a part of a file at least for each file, are within the limit of a broadcast."""
+    parts = sum(e.rows for e in entries) // BITS + len(chunks.inputFiles())
+    return parts * BITS // 8 <= BROADCAST_BYTES
 
 
 def append_batch(
