@@ -348,7 +348,8 @@ def rebuild_index(spark, folder):
     """A first run over the labelled documents, then one over all of them."""
     root = scratch(spark)
     docs = spread(docs_v(spark, folder))
-    rebuild(docs.join(labelled_v(spark, folder), "id", "left_semi"), root, "first")
+    # Looked up in a hash table of the ids, so that contents are not sorted.
+    rebuild(docs.join(labelled_v(spark, folder).hint("shuffle_hash"), "id", "left_semi"), root, "first")
     rebuild(docs, root, "second")
     return chunk_table.read_index(spark, root).select("doc_id", "chunk_no", "chunk_text", "chunk_id")
 

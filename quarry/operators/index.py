@@ -42,7 +42,8 @@ def skip_indexed_docs(docs: DataFrame, index: DataFrame, force: bool = False) ->
     key = F.coalesce(F.col("id"), F.lit(""))
     known = index.select(F.col("doc_id").alias("_id")).filter("_id <> ''").distinct()
     fresh = docs.select(key.alias("_id")).distinct().join(known, "_id", "left_anti")
-    return docs.withColumn("_id", key).join(fresh, "_id", "left_semi").drop("_id")
+    # Looked up in a hash table of the new ids, so that contents are not sorted.
+    return docs.withColumn("_id", key).join(fresh.hint("shuffle_hash"), "_id", "left_semi").drop("_id")
 
 
 def existing_docs(ids: DataFrame, index: DataFrame) -> DataFrame:

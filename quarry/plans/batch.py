@@ -14,6 +14,7 @@ from quarry.operators.normalize import index_projection
 from quarry.operators.retrieval import embed_chunks
 from quarry.session import broadcast_if_small
 from quarry.sources.chunk_table import append_batch, note_version, read_index
+from quarry.sources.manifest import read_manifest
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -81,7 +82,10 @@ def rebuild(
     spark = docs.sparkSession
     now = F.lit(datetime.now(timezone.utc))
     ids = docs.select(F.col("id").alias("doc_id"))
-    fresh = skip_indexed_docs(docs, read_index(spark, root, without_batch=batch, doc_ids=ids), force)
+    at = read_manifest(spark, root)
+    # Where no other batch has chunks all documents are new, and none is looked up.
+    everything = force or all(e.batch == batch for e in at.of("chunks"))
+    fresh = docs if everything else skip_indexed_docs(docs, read_index(spark, root, without_batch=batch, doc_ids=ids, manifest=at))
     written = append_batch(new_chunks(fresh, embed, max_length, overlap), root, batch, now, deletes=docs if force else None)
     if written:
         note_version(spark, root, batch)
