@@ -7,7 +7,7 @@ import os
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +42,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "8m")
 
 
+def given_back(batches: Iterator) -> Iterator:
+    """The batches; what Arrow's pool keeps of freed ones goes back to the system at the end, as a worker lives on beside later stages."""
+    import pyarrow as pa
+
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

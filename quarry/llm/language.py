@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shielded, small_batches, stored, whole_text
+from quarry.llm.common import given_back, shielded, small_batches, stored, whole_text
 from quarry.session import broadcast_if_small
 
 # Bounds of the labelled sample that the text model is fitted on: rows of a language, rows of all languages
@@ -98,7 +98,7 @@ def scorer(table: np.ndarray, spark) -> Callable[[Column], Column]:
     @F.arrow_udf("array<double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for texts in batches:
+        for texts in given_back(batches):
             out = []
             for text in texts:
                 bins = trigrams(text.as_py() or "")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import process_cache, small_batches, tokenizer, whole_text
+from quarry.llm.common import given_back, process_cache, small_batches, tokenizer, whole_text
 
 CAPACITY = 4096
 # Windows balanced together, and tokens by which their mean stays below the
@@ -257,7 +257,7 @@ def pack(
         from pyspark import TaskContext
 
         packer = _Packer(TaskContext.get().partitionId(), capacity, windows, slack, keep_ids)
-        for batch in batches:
+        for batch in given_back(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 500):
                 part = ids[at : at + 500]
