@@ -119,33 +119,42 @@ def _inflated(data: bytes) -> Iterator[bytes]:
 
 def _parsed(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     """Headers and block of each record, found by their Content-Length; one record in memory at a time."""
-    parts, buffer = _inflated(data), bytearray()
+    parts, buffer, at = _inflated(data), bytearray(), 0
 
     def fill(size: int) -> bool:
-        while len(buffer) < size:
+        """Whether ``size`` bytes lie behind ``at``; what lies before it goes only when more is needed."""
+        nonlocal at
+        if len(buffer) - at < size:
+            del buffer[:at]
+            at = 0
+        while len(buffer) - at < size:
             part = next(parts, None)
             if part is None:
                 return False
             buffer.extend(part)
         return True
 
+    def cut(first: int, last: int) -> bytes:
+        with memoryview(buffer) as view, view[first:last] as own:
+            return bytes(own)
+
     while True:
-        while fill(1) and buffer[:1] in (b"\r", b"\n"):
-            del buffer[: len(buffer) - len(buffer.lstrip(b"\r\n"))]
+        while fill(1) and buffer[at] in b"\r\n":
+            at += 1
         if not fill(1):
             return
-        end, seen = -1, 0
-        while (end := buffer.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
-            seen = len(buffer)
+        seen = 0
+        while (end := buffer.find(b"\r\n\r\n", at + max(0, seen - 3))) < 0:
+            seen = len(buffer) - at
             if not fill(seen + 1):
                 raise ValueError("an archive ends inside a record's headers")
-        lines = bytes(buffer[:end]).decode("utf-8", "replace").split(EOL)
+        lines = cut(at, end).decode("utf-8", "replace").split(EOL)
         headers = [(name.strip().lower(), value.strip()) for name, _, value in (line.partition(":") for line in lines[1:])]
-        length = int(dict(headers)["content-length"])
-        if not fill(end + 4 + length):
+        length, head = int(dict(headers)["content-length"]), end + 4 - at
+        if not fill(head + length):
             raise ValueError("an archive ends inside a record")
-        yield headers, bytes(buffer[end + 4 : end + 4 + length])
-        del buffer[: end + 4 + length]
+        yield headers, cut(at + head, at + head + length)
+        at += head + length
 
 
 def _row(headers: list[tuple[str, str]], block: bytes) -> dict:
