@@ -42,12 +42,48 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "8m")
 
 
-def given_back(batches: Iterator) -> Iterator:
-    """The batches; what Arrow's pool keeps of freed ones goes back to the system at the end, as a worker lives on beside later stages."""
+def give_back() -> None:
+    """What Arrow's pool and the C library keep of freed memory goes back to the system."""
+    import ctypes
+
     import pyarrow as pa
 
-    yield from batches
     pa.default_memory_pool().release_unused()
+    # Only some C libraries have it.
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def given_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a task's work on its batches, with memory given back at the end, as a worker lives on beside later stages."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        # What ``run`` held is gone here.
+        give_back()
+
+    return task
+
+
+# Least seconds between two groups of a worker behind which memory is given back.
+REST = 0.25
+
+
+def given_back_by_group(run: Callable) -> Callable:
+    """``run``, the work on one group of many, with memory given back now and then: no group knows that it is the last."""
+
+    @functools.wraps(run)
+    def group(key: tuple, rows: object) -> object:
+        import time
+
+        made, last = run(key, rows), process_cache("given_back", dict)
+        if time.monotonic() - last.get("at", 0.0) > REST:
+            give_back()
+            last["at"] = time.monotonic()
+        return made
+
+    return group
 
 
 def whole_text(column: str | Column = "text") -> Column:

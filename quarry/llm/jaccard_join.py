@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shielded, small_batches, stored, whole_text
+from quarry.llm.common import given_back, given_back_by_group, shielded, small_batches, stored, whole_text
 from quarry.session import broadcast_if_small
 
 # Fewest coordinates of a point (a set of more elements has one for every one or two of them), points
@@ -189,6 +189,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, class_of: np.ndarray, shar
 def members(docs: DataFrame, id_column: str, text_column: str, words: int, share: int) -> DataFrame:
     """``doc_id``, key of the text, size and number of its set, its point and the keys it shares with any linked set; null number for no set."""
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme = Scheme(share)
         for batch in batches:
@@ -218,6 +219,7 @@ def shared_groups(docs: DataFrame, id_column: str, text_column: str, words: int,
     never held together.
     """
 
+    @given_back
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, known = Scheme(share), set()
         for batch in batches:
@@ -242,6 +244,7 @@ def shared_groups(docs: DataFrame, id_column: str, text_column: str, words: int,
             if keys:
                 yield pa.record_batch([np.concatenate(keys), np.concatenate(nodes)], names=["key", "node"])
 
+    @given_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that equal a neighbour in the key, each node once."""
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -282,6 +285,7 @@ def sets_of(nodes: DataFrame, seen: DataFrame, docs: DataFrame, id_column: str,
     texts = _read(docs, id_column, text_column)
     found = texts.join(broadcast_if_small(source), texts["doc_id"].eqNullSafe(F.col("_id")) & (texts["text_key"] == F.col("_key"))).select("node", "text")
 
+    @given_back
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with np.errstate(over="ignore"):
@@ -312,6 +316,7 @@ def verified(pairs: DataFrame, seen: DataFrame, docs: DataFrame, id_column: str,
     dealt = own.join(wanted, "node").select("hub", "salt", "role", "node", "own")
     dealt = dealt.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
+    @given_back
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -374,6 +379,7 @@ def plausible(pairs: DataFrame, points: DataFrame, share: int) -> DataFrame:
     """The pairs (``u``, ``v``) whose points do not rule a link out; sets are fetched for these alone."""
     sides = [points.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "uv"]
 
+    @given_back
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
@@ -441,6 +447,7 @@ def further_links(groups: DataFrame, label: DataFrame, points: DataFrame, pairs_
     def candidates(table: pa.Table) -> Iterator[tuple[int, int]]:
         return pairs_of(table.column("point").to_pylist(), table.column("n").to_numpy(), table.column("root").to_numpy())
 
+    @given_back_by_group
     def narrow(key: tuple, table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         found = list(islice(candidates(table), len(nodes) + 1))
@@ -449,6 +456,7 @@ def further_links(groups: DataFrame, label: DataFrame, points: DataFrame, pairs_
         left, right = (nodes[[p[i] for p in found]] if found else np.zeros(0, np.int64) for i in (0, 1))
         return pa.table({"u": np.minimum(left, right), "v": np.maximum(left, right), "dense": pa.nulls(len(found), pa.int64())})
 
+    @given_back_by_group
     def compare(_: tuple, table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         _, once = np.unique(nodes, return_index=True)

@@ -96,9 +96,10 @@ def scorer(table: np.ndarray, spark) -> Callable[[Column], Column]:
     shared = spark.sparkContext.broadcast(table)
 
     @F.arrow_udf("array<double>")
+    @given_back
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for texts in given_back(batches):
+        for texts in batches:
             out = []
             for text in texts:
                 bins = trigrams(text.as_py() or "")

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import given_back, process_cache, small_batches, tokenizer, whole_text
+from quarry.llm.common import give_back, given_back, process_cache, small_batches, tokenizer, whole_text
 
 CAPACITY = 4096
 # Windows balanced together, and tokens by which their mean stays below the
@@ -253,17 +253,20 @@ def pack(
         + [("ids", pa.binary())]
     )
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         packer = _Packer(TaskContext.get().partitionId(), capacity, windows, slack, keep_ids)
-        for batch in given_back(batches):
+        for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 500):
                 part = ids[at : at + 500]
                 for doc_id, own in zip(part, document_ids(texts.slice(at, 500), path, end_id), strict=True):
                     packer.add(doc_id, own)
-            yield packer.rows(schema)
+                # Sequences of a part leave before the next: a worker never holds the ids of a whole batch.
+                yield packer.rows(schema)
+            give_back()
         packer.end()
         yield packer.rows(schema)
 
