@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.functions.text import fold_tokens
-from quarry.session import BROADCAST_ROWS, broadcast_if_small, durable, is_small
+from quarry.session import BROADCAST_ROWS, broadcast_if_small, durable, is_small, stored
 
 # Field weights, vector weight, hit count and BM25 constants.
 FIELD_BOOSTS = {"chunk_text": 5.0, "title": 3.0}
@@ -229,7 +229,8 @@ def bm25_candidates(
     ``limit`` question terms, with their frequencies in the corpus, are sent to
     all tasks. A task adds up the scores of a strip of rows in a matrix, keeps its
     best ``k`` per query and emits them once: neither the tokens nor the many rows that
-    share only a common term with a question are ever shuffled. Questions with
+    share only a common term with a question are ever shuffled. Texts are cut into tokens
+    once: the asked terms of each row are stored and read for the frequencies in the corpus and for the scores. Questions with
     more terms than ``limit`` are dealt into blocks, each with a scan of its own, so
     that the output is bounded alike for any number of questions.
     """
@@ -252,27 +253,27 @@ def bm25_candidates(
         return spark.createDataFrame([], schema)
     asked["slot"], names = pd.factorize(asked["term"])
     table = _slot_table(asked, len(names))
-    weights = _field_weights(index, boosts, list(names))
-    sent = spark.sparkContext.broadcast((list(names), weights, table))
-    rows = index.select(key, *[fold_tokens(F.col(f)).alias(f) for f in fields])
+    rows = stored(_counted(index, fields, list(names), key), "counted")
+    weights = _boosted_weights(_summed_counts(rows, fields, list(names), _counts_of), boosts)
+    sent = spark.sparkContext.broadcast((weights, table))
     if also is None:
         rows = rows.withColumn("_wanted", F.array().cast(T.ArrayType(schema["query_id"].dataType)))
     else:
-        pairs = also.groupBy(key).agg(F.collect_set("query_id").alias("_wanted"))
-        rows = rows.join(broadcast_if_small(pairs), key, "left")
+        pairs = also.groupBy(F.col(key).alias("_key")).agg(F.collect_set("query_id").alias("_wanted"))
+        rows = rows.join(broadcast_if_small(pairs), "_key", "left")
     found_as = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weights, table = sent.value
-        best, values = _BestText(table[0], k, key), pa.array(terms, pa.string())
+        weights, table = sent.value
+        best = _BestText(table[0], k, key)
 
         def rows_of(found: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
             return (pa.RecordBatch.from_pandas(rows, found_as, preserve_index=False) for rows in found)
 
         for batch in batches:
-            found = [_field_parts(batch.column(f), values, *weights[f]) for f in fields]
+            found = [_parts_of(*_counts_of(batch, i), *weights[f]) for i, f in enumerate(fields)]
             row, slot, part = (np.concatenate(column) for column in zip(*found))
-            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            keys = batch.column("_key").to_numpy(zero_copy_only=False)
             yield from rows_of(_offer_text(best, keys, batch.column("_wanted").to_pylist(), row, slot, part, table))
         yield from rows_of(best.rows())
 
@@ -290,21 +291,61 @@ def _in_blocks(queries: DataFrame, limit: int, search: Callable[[DataFrame], Dat
     return reduce(DataFrame.unionByName, [search(queries.filter(block == b)) for b in range(blocks)])
 
 
+def _counted(index: DataFrame, fields: list[str], names: list[str], key: str) -> DataFrame:
+    """``_key`` of each row and, per field, its number of tokens and the asked terms it has with their frequencies."""
+    sent = index.sparkSession.sparkContext.broadcast(names)
+    columns = [T.StructField("_key", index.schema[key].dataType)]
+    for i in range(len(fields)):
+        columns.append(T.StructField(f"size{i}", T.LongType()))
+        columns += [T.StructField(f"{kind}{i}", T.ArrayType(T.IntegerType())) for kind in ("slot", "tf")]
+    schema = T.StructType(columns)
+    titles = schema.names
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(sent.value, pa.string())
+        for batch in batches:
+            made = [batch.column(0)]
+            for i in range(len(fields)):
+                row, slot, tf, size = _slots(batch.column(i + 1), values)
+                edges = pa.array(np.searchsorted(row, np.arange(len(size) + 1)), pa.int32())
+                made += [pa.array(size), *(pa.ListArray.from_arrays(edges, pa.array(x, pa.int32())) for x in (slot, tf))]
+            yield pa.RecordBatch.from_arrays(made, titles)
+
+    tokens = [fold_tokens(F.col(f)).alias(f"tokens{i}") for i, f in enumerate(fields)]
+    return index.select(F.col(key).alias("_key"), *tokens).mapInArrow(count, schema)
+
+
+def _counts_of(batch: pa.RecordBatch, i: int, _: pa.Array | None = None) -> tuple[np.ndarray, ...]:
+    """What ``_slots`` found for field ``i`` of rows of ``_counted``."""
+    slots, tfs = batch.column(f"slot{i}"), batch.column(f"tf{i}")
+    row = np.repeat(np.arange(len(slots)), pc.list_value_length(slots).to_numpy(zero_copy_only=False))
+    slot, tf = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (slots, tfs))
+    return row, slot, tf, batch.column(f"size{i}").to_numpy(zero_copy_only=False)
+
+
 def field_counts(index: DataFrame, fields: Iterable[str], names: list[str]) -> dict[str, tuple[np.ndarray, float, float]]:
-    """Per field: rows with each term, rows that are not empty, and their tokens.
+    """Per field: rows with each term, rows that are not empty, and their tokens."""
+    fields = list(fields)
+    tokens = index.select(*[fold_tokens(F.col(f)).alias(f) for f in fields])
+    return _summed_counts(tokens, fields, names, lambda batch, i, values: _slots(batch.column(i), values))
+
+
+def _summed_counts(
+    rows: DataFrame, fields: list[str], names: list[str], found_in: Callable[[pa.RecordBatch, int, pa.Array], tuple[np.ndarray, ...]]
+) -> dict[str, tuple[np.ndarray, float, float]]:
+    """``field_counts`` of rows in whose batches ``found_in`` finds row, slot, frequency and the rows' sizes of a field.
 
     A task counts in arrays of a place per question term and emits them once.
     """
-    fields = list(fields)
-    sent = index.sparkSession.sparkContext.broadcast(list(names))
+    sent = rows.sparkSession.sparkContext.broadcast(list(names))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = pa.array(sent.value, pa.string())
         df = {f: np.zeros(len(values), np.int64) for f in fields}
         docs, total = dict.fromkeys(fields, 0), dict.fromkeys(fields, 0)
         for batch in batches:
-            for f in fields:
-                _, slot, _, size = _slots(batch.column(f), values)
+            for i, f in enumerate(fields):
+                _, slot, _, size = found_in(batch, i, values)
                 df[f] += np.bincount(slot, minlength=len(values))
                 docs[f] += int((size > 0).sum())
                 total[f] += int(size.sum())
@@ -321,9 +362,8 @@ def field_counts(index: DataFrame, fields: Iterable[str], names: list[str]) -> d
                 }
             )
 
-    tokens = index.select(*[fold_tokens(F.col(f)).alias(f) for f in fields])
     counted = (
-        tokens.mapInArrow(count, "field string, slot int, df long, docs long, total long")
+        rows.mapInArrow(count, "field string, slot int, df long, docs long, total long")
         .groupBy("field", "slot")
         .agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("total").alias("total"))
         .toPandas()
@@ -336,12 +376,8 @@ def field_counts(index: DataFrame, fields: Iterable[str], names: list[str]) -> d
     return found
 
 
-def _field_weights(index: DataFrame, boosts: dict[str, float], names: list[str]) -> dict[str, tuple[np.ndarray, float]]:
-    """Boosted idf of each term and mean length, per field."""
-    return _boosted_weights(field_counts(index, boosts, names), boosts)
-
-
 def _boosted_weights(counts: dict[str, tuple[np.ndarray, float, float]], boosts: dict[str, float]) -> dict[str, tuple[np.ndarray, float]]:
+    """Boosted idf of each term and mean length, per field."""
     weights = {}
     for field, (df, docs, total) in counts.items():
         mean = total / docs if docs else 1.0
@@ -368,7 +404,10 @@ def _slots(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, ...]:
 
 def _field_parts(tokens: pa.ListArray, terms: pa.Array, idf: np.ndarray, mean: float, saturated: bool = True) -> tuple[np.ndarray, ...]:
     """Row, slot and score part of each distinct asked term of each row."""
-    row, slot, tf, size = _slots(tokens, terms)
+    return _parts_of(*_slots(tokens, terms), idf, mean, saturated)
+
+
+def _parts_of(row: np.ndarray, slot: np.ndarray, tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float, saturated: bool = True) -> tuple[np.ndarray, ...]:
     return row, slot, idf[slot] * (tf / (tf + K1 * (1 - B + B * size[row] / mean)) if saturated else tf)
 
 
